@@ -1,0 +1,32 @@
+"""Folding many rows of a key into arrays of limited length."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BLOCK_SIZE = 1000
+
+
+def fold_in_blocks(
+    rows: DataFrame, keys: Sequence[str], item: Sequence[str], into: str, block_size: int = BLOCK_SIZE
+) -> DataFrame:
+    """One row per key and block, holding a sorted array of the key's items.
+
+    A key with up to ``block_size`` distinct items has the single block 0. A
+    larger key is spread over as many blocks as it needs, by hash of the item,
+    so no task ever holds a whole hot key. Identical rows are counted before
+    they move and come out once, with their number in ``copies``.
+    """
+    keys, item = list(keys), list(item)
+    items = rows.groupBy(*keys, *item).agg(F.count(F.lit(1)).alias("copies"))
+    sizes = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("item_count"))
+    blocks = F.call_function("div", F.col("item_count") + (block_size - 1), F.lit(block_size))
+    return (
+        items.join(sizes, keys)
+        .withColumn("block", F.pmod(F.xxhash64(*item), blocks))
+        .groupBy(*keys, "item_count", "block")
+        .agg(F.sort_array(F.collect_list(F.struct(*item, "copies"))).alias(into))
+    )
