@@ -226,14 +226,19 @@ def executor_table(tasks: DataFrame, executors: DataFrame) -> DataFrame:
 def runtime_counters(tasks: DataFrame, approximate: bool = False) -> DataFrame:
     """Executors, jobs, stages and tasks of each application.
 
-    ``approximate`` counts with sketches, for identifiers too many to hold.
+    Tasks are first counted per executor and stage, so the distinct counts run
+    over that small table. ``approximate`` counts with sketches instead, for
+    identifiers too many to hold.
     """
-    count = F.approx_count_distinct if approximate else F.count_distinct
-    return tasks.groupBy("app_id").agg(
-        count("executor_id").alias("executors"),
-        count("job_id").alias("jobs"),
-        count("stage_id").alias("stages"),
-        _tasks().alias("tasks"),
+    if approximate:
+        return tasks.groupBy("app_id").agg(
+            *[F.approx_count_distinct(f"{name}_id").alias(f"{name}s") for name in ("executor", "job", "stage")],
+            _tasks().alias("tasks"),
+        )
+    seen = tasks.groupBy("app_id", "executor_id", "job_id", "stage_id").agg(_tasks().alias("tasks"))
+    return seen.groupBy("app_id").agg(
+        *[F.count_distinct(f"{name}_id").alias(f"{name}s") for name in ("executor", "job", "stage")],
+        F.sum("tasks").alias("tasks"),
     )
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,14 +21,28 @@ def fold_in_blocks(
     larger key is spread over as many blocks as it needs, by hash of the item,
     so no task ever holds a whole hot key. Identical rows are counted before
     they move and come out once, with their number in ``copies``.
+
+    Only keys that need more than one block take part in the join: at most one
+    per ``block_size`` items. The blocks are then shuffled by key and block,
+    because the partitioning of the join would bring a hot key together again.
+    Null keys are matched like any other, so a hot null is split too.
     """
     keys, item = list(keys), list(item)
     items = rows.groupBy(*keys, *item).agg(F.count(F.lit(1)).alias("copies"))
-    sizes = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("item_count"))
-    blocks = F.call_function("div", F.col("item_count") + (block_size - 1), F.lit(block_size))
-    return (
-        items.join(sizes, keys)
-        .withColumn("block", F.pmod(F.xxhash64(*item), blocks))
-        .groupBy(*keys, "item_count", "block")
-        .agg(F.sort_array(F.collect_list(F.struct(*item, "copies"))).alias(into))
+    large = (
+        items.groupBy(*[F.col(key).alias(f"large_{key}") for key in keys])
+        .agg(F.count_if(F.col("copies") > 0).alias("key_items"))
+        .filter(F.col("key_items") > block_size)
+    )
+    same_key = reduce(and_, [F.col(key).eqNullSafe(F.col(f"large_{key}")) for key in keys])
+    blocks = F.call_function("div", F.col("key_items") + (block_size - 1), F.lit(block_size))
+    placed = items.join(large, same_key, "left").withColumn(
+        "block", F.coalesce(F.pmod(F.xxhash64(*item), blocks), F.lit(0).cast("bigint"))
+    )
+    folded = (
+        placed.repartition(*keys, "block")
+        .groupBy(*keys, "block")
+        .agg(F.max("key_items").alias("key_items"), F.sort_array(F.collect_list(F.struct(*item, "copies"))).alias(into))
     )
+    count = F.coalesce(F.col("key_items"), F.size(into).cast("bigint")).alias("item_count")
+    return folded.select(*keys, count, "block", into)

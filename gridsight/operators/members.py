@@ -40,18 +40,28 @@ def permission_matrix(profiles: DataFrame, policies: DataFrame) -> DataFrame:
     """Whether each member may view or manage the workspace, or manage the organisation.
 
     A role counts only for the workspace or organisation the member is in.
+    Policies are reduced to one row per member and subject before the join.
     """
-    here = policies.join(profiles.select("member_id", "org_id", "workspace_id"), "member_id", "right")
+
+    def holds(*names: str) -> Column:
+        return F.bool_or(F.col("policy").isin(*names))
+
+    held = policies.groupBy("member_id", "subject_type", "subject_id").agg(
+        holds("workspace.manage", "workspace.read").alias("views"),
+        holds("workspace.manage").alias("manages"),
+        holds("org.manage").alias("manages_org"),
+    )
+    here = profiles.select("member_id", "org_id", "workspace_id").join(held, "member_id", "left")
     in_workspace = (F.col("subject_type") == "workspace") & (F.col("subject_id") == F.col("workspace_id"))
     in_org = (F.col("subject_type") == "org") & (F.col("subject_id") == F.col("org_id"))
 
-    def granted(where: Column, *names: str) -> Column:
-        return F.coalesce(F.bool_or(where & F.col("policy").isin(*names)), F.lit(False))
+    def granted(where: Column, flag: str) -> Column:
+        return F.coalesce(F.bool_or(where & F.col(flag)), F.lit(False))
 
     return here.groupBy("member_id", "org_id", "workspace_id").agg(
-        granted(in_workspace, "workspace.manage", "workspace.read").alias("can_view"),
-        granted(in_workspace, "workspace.manage").alias("can_manage"),
-        granted(in_org, "org.manage").alias("can_manage_org"),
+        granted(in_workspace, "views").alias("can_view"),
+        granted(in_workspace, "manages").alias("can_manage"),
+        granted(in_org, "manages_org").alias("can_manage_org"),
     )
 
 

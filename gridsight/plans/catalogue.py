@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import configure
 from .binding_sql import with_bindings
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -34,8 +35,7 @@ def query(covers: str, check: str | None = None, uses: Sequence[str] = ()) -> Ca
             raise ValueError(f"{name} is registered twice")
 
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return build(spark, folder)
+            return build(configure(spark), folder)
 
         CATALOGUE[name] = Named(run, covers, None if check is None else with_bindings(uses, check))
         return build

@@ -4,6 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+# Wall-clock times are read as UTC; a skewed join is split even when that costs a shuffle.
+SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Gives a session the settings the operators count on."""
+    for name, value in SETTINGS.items():
+        spark.conf.set(name, value)
+    return spark
+
 
 def local_session(cores: int | str = 8, app: str = "gridsight") -> SparkSession:
     """A local session; on a cluster the caller brings its own."""
@@ -14,12 +29,9 @@ def local_session(cores: int | str = 8, app: str = "gridsight") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.driver.host", "127.0.0.1")
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", partitions)
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return configure(spark)

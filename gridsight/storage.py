@@ -13,18 +13,20 @@ import uuid
 from pyspark.sql import SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+_local_roots: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
     """The shared folder of this session."""
-    root = spark.conf.get(CHECKPOINT_SETTING, None)
+    context = spark.sparkContext
+    root = spark.conf.get(CHECKPOINT_SETTING, None) or context.getConf().get(CHECKPOINT_SETTING)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="gridsight-")
-    spark.conf.set(CHECKPOINT_SETTING, root)
-    return root
+    if context.applicationId not in _local_roots:
+        _local_roots[context.applicationId] = tempfile.mkdtemp(prefix="gridsight-")
+    return _local_roots[context.applicationId]
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:

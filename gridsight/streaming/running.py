@@ -90,10 +90,16 @@ class StateTable:
 
 
 def upsert(table: StateTable, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """A batch step that lets incoming rows take the place of rows with the same key."""
+    """A batch step that lets incoming rows take the place of rows with the same key.
+
+    The batch is kept for the length of the step, since reading it again would
+    run the stateful part of the stream again.
+    """
 
     def step(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
         kept = table.before(batch.sparkSession, batch_id).join(batch.select(*keys), list(keys), "left_anti")
         table.replace(kept.unionByName(batch.select(*kept.columns)), batch_id)
+        batch.unpersist()
 
     return step

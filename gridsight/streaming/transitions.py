@@ -44,7 +44,7 @@ def merge_marks(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.unionByName(second).groupBy("cluster_id").agg(*[F.max(name).alias(name) for name in MARKS])
 
 
-def believed_changes(changes: DataFrame, span: str = "hour", carried: DataFrame | None = None) -> DataFrame:
+def believed_changes(changes: DataFrame, span: str = "minute", carried: DataFrame | None = None) -> DataFrame:
     """T5: the status changes that stay (cluster_id, ts, seq, status), leftovers dropped.
 
     ``carried`` holds the positions reached by earlier rows, as ``latest_marks``

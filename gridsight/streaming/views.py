@@ -172,7 +172,7 @@ def start_rollup(changes: DataFrame, folder: str, every: str | None = None) -> t
     return start_batches(changes, step, folder, every=every), clusters
 
 
-def start_believed(status: DataFrame, folder: str, span: str = "hour", every: str | None = None) -> StreamingQuery:
+def start_believed(status: DataFrame, folder: str, span: str = "minute", every: str | None = None) -> StreamingQuery:
     """T5: status changes without leftovers, one folder of rows per batch."""
     marks = StateTable(f"{folder}/marks", schema_of(transitions.MARKS_SCHEMA))
 
