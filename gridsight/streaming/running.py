@@ -75,10 +75,18 @@ class StateTable:
             return spark.createDataFrame([], self.schema)
         return spark.read.schema(self.schema).parquet(self._version(batch_id - 1))
 
+    def _shaped(self, rows: DataFrame) -> DataFrame:
+        return rows.select(*[rows[field.name].cast(field.dataType) for field in self.schema.fields])
+
+    def stage(self, rows: DataFrame, batch_id: int) -> DataFrame:
+        """Writes the incoming rows of a batch beside the table and returns the written form."""
+        place = f"{self.folder}/incoming-{batch_id % 2}"
+        self._shaped(rows).write.mode("overwrite").parquet(place)
+        return rows.sparkSession.read.schema(self.schema).parquet(place)
+
     def replace(self, rows: DataFrame, batch_id: int) -> DataFrame:
         """Writes the table for this batch and returns the written form."""
-        selected = rows.select(*[rows[field.name].cast(field.dataType) for field in self.schema.fields])
-        selected.write.mode("overwrite").parquet(self._version(batch_id))
+        self._shaped(rows).write.mode("overwrite").parquet(self._version(batch_id))
         self.last = batch_id
         return self.now(rows.sparkSession)
 
@@ -92,14 +100,13 @@ class StateTable:
 def upsert(table: StateTable, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
     """A batch step that lets incoming rows take the place of rows with the same key.
 
-    The batch is kept for the length of the step, since reading it again would
-    run the stateful part of the stream again.
+    The batch is written down first, so that reading it twice does not run the
+    stateful part of the stream twice.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        kept = table.before(batch.sparkSession, batch_id).join(batch.select(*keys), list(keys), "left_anti")
-        table.replace(kept.unionByName(batch.select(*kept.columns)), batch_id)
-        batch.unpersist()
+        changes = table.stage(batch, batch_id)
+        kept = table.before(batch.sparkSession, batch_id).join(changes.select(*keys), list(keys), "left_anti")
+        table.replace(kept.unionByName(changes), batch_id)
 
     return step
