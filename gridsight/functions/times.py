@@ -1,5 +1,7 @@
 """Spans of time and instants as numbers and text.
 
+Wall-clock times are ``timestamp_ntz`` in UTC. Sessions run in UTC, so turning
+them into instants and back is a cast, much cheaper than calendar arithmetic.
 Every function takes the present moment as an argument where it needs one.
 """
 
@@ -15,31 +17,38 @@ MINUTE_S, HOUR_S, DAY_S, MONTH_S, YEAR_S = 60, 3600, 86400, 2592000, 31536000
 SECOND, MINUTE, HOUR, DAY, MONTH, YEAR = 1000, 60000, 3600000, 86400000, 2592000000, 31536000000
 
 
-def epoch() -> Column:
-    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-
-
 def moment(text: str) -> Column:
     """A literal wall-clock time."""
     return F.lit(text).cast("timestamp_ntz")
 
 
+def _instant(ts: Column | str) -> Column:
+    """The instant at which a clock of the session's zone, UTC, shows the time."""
+    return (F.col(ts) if isinstance(ts, str) else ts).cast("timestamp")
+
+
 def epoch_ms(ts: Column | str) -> Column:
     """Milliseconds since 1970 of a wall-clock time."""
-    return F.timestamp_diff("MILLISECOND", epoch(), ts)
+    return F.unix_millis(_instant(ts))
 
 
 def epoch_s(ts: Column | str) -> Column:
-    return F.timestamp_diff("SECOND", epoch(), ts)
+    return F.unix_seconds(_instant(ts))
 
 
 def from_epoch_ms(ms: Column) -> Column:
     """Wall-clock time of milliseconds since 1970."""
-    return F.timestamp_add("MILLISECOND", ms, epoch())
+    return F.timestamp_millis(ms).cast("timestamp_ntz")
 
 
 def elapsed_ms(start: Column | str, end: Column | str) -> Column:
-    return F.timestamp_diff("MILLISECOND", start, end)
+    """Whole milliseconds between two wall-clock times."""
+    return int_div(F.unix_micros(_instant(end)) - F.unix_micros(_instant(start)), 1000)
+
+
+def elapsed_s(start: Column | str, end: Column | str) -> Column:
+    """Whole seconds between two wall-clock times."""
+    return int_div(F.unix_micros(_instant(end)) - F.unix_micros(_instant(start)), 1000000)
 
 
 def _text(number: Column, unit: str) -> Column:

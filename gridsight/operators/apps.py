@@ -18,12 +18,12 @@ from ..functions.names import normalise
 from ..functions.numbers import int_mean
 from ..functions.sizes import bytes_to_size
 from ..functions.times import (
-    elapsed_ms,
     format_interval_ms,
     format_interval_ms_decimal,
     readable_time,
     split_ms,
     time_elapsed,
+    time_elapsed_fraction,
 )
 
 STAGE_METRICS = [
@@ -367,17 +367,19 @@ def deployment_history(runs: DataFrame, now: Column) -> DataFrame:
     """Runs of each deployment, newest first, one row per run.
 
     An open run lasts until now. Rows are range sorted, so a deployment with
-    very many runs spreads over several tasks.
+    very many runs spreads over several tasks. Text is made after the sort,
+    which reads its input twice.
     """
-    return runs.select(
+    newest_first = runs.orderBy("deployment_id", F.col("started").desc(), F.col("run_id").desc())
+    return newest_first.select(
         "deployment_id",
         "run_id",
         normalise(F.col("status"), "run_status").alias("status"),
         normalise(F.col("trigger"), "trigger").alias("trigger"),
         "started",
         F.concat(time_elapsed("started", now), F.lit(" ago")).alias("triggered"),
-        format_interval_ms_decimal(elapsed_ms("started", F.coalesce("ended", now))).alias("runtime"),
-    ).orderBy("deployment_id", F.col("started").desc(), F.col("run_id").desc())
+        time_elapsed_fraction("started", F.col("ended"), now).alias("runtime"),
+    )
 
 
 def yarn_overview(nodes: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import normalise
-from ..functions.times import epoch_s, format_interval, time_elapsed
+from ..functions.times import elapsed_s, epoch_s, format_interval, time_elapsed
 from .folding import BLOCK_SIZE, fold_in_blocks
 
 DELETED = "deleted"
@@ -251,7 +251,7 @@ def apply_updates(current: DataFrame, updates: DataFrame, keys: Sequence[str]) -
 
 def idle_clusters(clusters: DataFrame, now: Column, timeout_s: int = 120) -> DataFrame:
     """Running clusters not heard from for more than the timeout."""
-    silent = F.timestamp_diff("SECOND", "last_updated", now)
+    silent = elapsed_s("last_updated", now)
     return (
         clusters.filter((F.col("status") == "running") & (silent > timeout_s))
         .select(F.col("id").alias("cluster_id"), "last_updated", silent.alias("idle_s"), format_interval(silent).alias("idle"))

@@ -563,7 +563,7 @@ def yarn_answers(spark: SparkSession, folder: str) -> DataFrame:
 
 def history(spark: SparkSession, folder: str) -> DataFrame:
     """An application per order with one to three attempts, newest first; status P leaves the newest open."""
-    key, start = F.col("o_orderkey"), epoch_ms("o_orderdate")
+    key, start = F.col("o_orderkey"), F.col("start")
 
     def attempt(place: Column) -> Column:
         begun = start - place.cast("bigint") * 7200000
@@ -579,7 +579,8 @@ def history(spark: SparkSession, folder: str) -> DataFrame:
         )
 
     places = F.sequence(F.lit(0), (key % 3).cast("int"))
-    return table(spark, folder, "orders").select(
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", epoch_ms("o_orderdate").alias("start"))
+    return orders.select(
         key.alias("app_id"), text("app-", key).alias("name"), F.transform(places, attempt).alias("attempts")
     )
 

@@ -12,16 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-LOCAL_SESSIONS = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+# State outside the heap with small commits, and sessions merged before they are shuffled.
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+}
 
 
 def prepare(spark: SparkSession) -> None:
-    """State outside the heap, and sessions merged before they are shuffled."""
-    if spark.conf.get(STATE_STORE, None) != ROCKSDB:
-        spark.conf.set(STATE_STORE, ROCKSDB)
-    spark.conf.set(LOCAL_SESSIONS, "true")
+    """Gives a session the settings the streams count on."""
+    for name, value in SETTINGS.items():
+        spark.conf.set(name, value)
 
 
 def _trigger(every: str | None) -> dict[str, object]:

@@ -16,7 +16,6 @@ from pyspark.sql.types import StructType
 from ..functions.numbers import percent
 from ..functions.parsing import parse_progress
 from ..functions.sizes import bytes_to_size
-from ..functions.times import epoch
 from ..operators.alerts import evaluate_alerts
 from ..operators.kafka import latest_window
 from ..operators.registry import process_counts, rollup_expression
@@ -26,11 +25,11 @@ from .running import StateTable, start_batches, upsert
 
 def instant(ts: str) -> Column:
     """The instant at which a UTC clock shows the wall-clock time."""
-    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch(), ts))
+    return F.col(ts).cast("timestamp")
 
 
 def wall_clock(ts: Column) -> Column:
-    return F.timestamp_add("MICROSECOND", F.unix_micros(ts), epoch())
+    return ts.cast("timestamp_ntz")
 
 
 def schema_of(text: str) -> StructType:
