@@ -565,12 +565,12 @@ def history(spark: SparkSession, folder: str) -> DataFrame:
     """An application per order with one to three attempts, newest first; status P leaves the newest open."""
     key, start = F.col("o_orderkey"), F.col("start")
 
-    def attempt(place: Column) -> Column:
-        begun = start - place.cast("bigint") * 7200000
-        open_ended = (place == 0) & (F.col("o_orderstatus") == "P")
+    def attempt(place: int) -> Column:
+        begun = start - place * 7200000
+        open_ended = (F.col("o_orderstatus") == "P") if place == 0 else F.lit(False)
         length = (key % 5000) * 1000 + 500
         return F.struct(
-            (place + 1).cast("string").alias("attempt_id"),
+            F.lit(str(place + 1)).alias("attempt_id"),
             begun.alias("start_ms"),
             F.when(open_ended, F.lit(-1).cast("bigint")).otherwise(begun + length).alias("end_ms"),
             (~open_ended).alias("completed"),
@@ -578,11 +578,9 @@ def history(spark: SparkSession, folder: str) -> DataFrame:
             text("u", key % 9).alias("spark_user"),
         )
 
-    places = F.sequence(F.lit(0), (key % 3).cast("int"))
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", epoch_ms("o_orderdate").alias("start"))
-    return orders.select(
-        key.alias("app_id"), text("app-", key).alias("name"), F.transform(places, attempt).alias("attempts")
-    )
+    attempts = F.slice(F.array(attempt(0), attempt(1), attempt(2)), F.lit(1), (key % 3 + 1).cast("int"))
+    return orders.select(key.alias("app_id"), text("app-", key).alias("name"), attempts.alias("attempts"))
 
 
 def tasks_of(lineitem: DataFrame) -> DataFrame:

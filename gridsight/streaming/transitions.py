@@ -4,79 +4,133 @@ While a cluster is starting, ``new`` and ``terminated`` are leftovers; while it
 is terminating, ``running`` is. A leftover is dropped and does not change the
 state it is compared with.
 
-Every other status is always believed. So the state before a row follows from
-three positions: the last status that is none of the three, the last
-``running`` and the last ``new`` or ``terminated``. All three are running
-maxima, which combine: the rows of a cluster are cut into spans of time, each
-span is reduced to its maxima, and a row looks at the maxima of earlier spans
-and at the rows before it in its own span.
+Every other status is always believed, so it settles the state; call it an
+anchor. After a ``starting`` anchor leftovers end with the first ``running``,
+after a ``terminating`` one with the first ``new`` or ``terminated``. Whether a
+row is a leftover therefore follows from three row numbers before it: those of
+the last anchor, the last ``running`` and the last ``new`` or ``terminated``.
+
+Rows of a cluster are numbered in one sort. A cluster with very many rows is
+cut into spans of time instead; each span is summed up by the state it settles
+or releases, the sums are followed from span to span, and rows are numbered
+within their span.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 ENDED = ["new", "terminated"]
-MARKS = ["anchor", "ran", "ended"]
-MARKS_SCHEMA = (
-    "cluster_id bigint, anchor struct<ts:timestamp_ntz,seq:bigint,status:string>, "
-    "ran struct<ts:timestamp_ntz,seq:bigint>, ended struct<ts:timestamp_ntz,seq:bigint>"
-)
-
-
-def _marks() -> dict[str, Column]:
-    place = F.struct("ts", "seq")
-    return {
-        "anchor": F.when(~F.col("status").isin("running", *ENDED), F.struct("ts", "seq", "status")),
-        "ran": F.when(F.col("status") == "running", place),
-        "ended": F.when(F.col("status").isin(ENDED), place),
-    }
+# States that matter: leftovers of a start, leftovers of a stop, or none.
+STARTING, TERMINATING, OPEN = 1, 2, 3
+CHANGE = ["cluster_id", "ts", "seq", "status"]
+CHANGE_SCHEMA = "cluster_id bigint, ts timestamp_ntz, seq bigint, status string"
+SPLIT_ABOVE = 1_000_000
+MOST_HOT_KEYS = 10_000
+
+
+def hot_clusters(changes: DataFrame, split_above: int) -> list[int] | None:
+    """Clusters with more rows than that, or ``None`` when there are too many to list."""
+    counted = changes.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > split_above)
+    found = [row["cluster_id"] for row in counted.select("cluster_id").limit(MOST_HOT_KEYS + 1).collect()]
+    return None if len(found) > MOST_HOT_KEYS else found
+
+
+def _settles(status: Column) -> Column:
+    """The state an anchor settles; null for the statuses that may be leftovers."""
+    return (
+        F.when(status == "starting", STARTING)
+        .when(status == "terminating", TERMINATING)
+        .when((status != "running") & ~status.isin(ENDED), OPEN)
+    )
 
 
-def latest_marks(changes: DataFrame) -> DataFrame:
-    """The three positions of each cluster at the end of the rows."""
-    return changes.groupBy("cluster_id").agg(*[F.max(mark).alias(name) for name, mark in _marks().items()])
+def _state_before(settled: Column, ran: Column, ended: Column, number: Column, window: WindowSpec, first: Column) -> Column:
+    """State before a numbered row, from what each row settles or releases; ``first`` holds before the first."""
+    earlier = window.rowsBetween(Window.unboundedPreceding, -1)
+    anchor = F.max(F.when(settled.isNotNull(), number * 4 + settled)).over(earlier)
+    last_ran = F.coalesce(F.max(F.when(ran, number)).over(earlier), F.lit(0))
+    last_ended = F.coalesce(F.max(F.when(ended, number)).over(earlier), F.lit(0))
+    state = F.when(anchor.isNull(), first).otherwise(anchor % 4)
+    place = F.when(anchor.isNull(), 0).otherwise(F.floor(anchor / 4))
+    released = ((state == STARTING) & (last_ran > place)) | ((state == TERMINATING) & (last_ended > place))
+    return F.when(released, OPEN).otherwise(state)
 
 
-def merge_marks(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Positions after both inputs."""
-    return first.unionByName(second).groupBy("cluster_id").agg(*[F.max(name).alias(name) for name in MARKS])
+def _span_states(changes: DataFrame) -> DataFrame:
+    """State before each span of each cluster."""
+    place = F.struct("ts", "seq")
+    settles = _settles(F.col("status"))
+    ended = F.col("status").isin(ENDED)
+    sums = changes.groupBy("cluster_id", "span", "first_state").agg(
+        F.max(F.when(settles.isNotNull(), F.struct("ts", "seq", settles.alias("state")))).alias("anchor"),
+        F.max(F.when(F.col("status") == "running", place)).alias("ran"),
+        F.max(F.when(ended, place)).alias("ended"),
+    )
+    anchored = F.struct(F.col("anchor.ts").alias("ts"), F.col("anchor.seq").alias("seq"))
+
+    def released_by(name: str) -> Column:
+        return F.coalesce(F.col(name) > anchored, F.lit(False))
+
+    state = F.col("anchor.state")
+    settled = F.when(
+        ((state == STARTING) & released_by("ran")) | ((state == TERMINATING) & released_by("ended")), OPEN
+    ).otherwise(state)
+    in_order = Window.partitionBy("cluster_id").orderBy("span")
+    numbered = sums.select(
+        "cluster_id", "span", "first_state",
+        settled.alias("settled"),
+        (settled.isNull() & F.col("ran").isNotNull()).alias("ran"),
+        (settled.isNull() & F.col("ended").isNotNull()).alias("ended"),
+        F.row_number().over(in_order).alias("number"),
+    )
+    before = _state_before(
+        F.col("settled"), F.col("ran"), F.col("ended"), F.col("number"), in_order, F.col("first_state")
+    )
+    return numbered.select("cluster_id", "span", before.alias("span_state"))
 
 
-def believed_changes(changes: DataFrame, span: str = "minute", carried: DataFrame | None = None) -> DataFrame:
-    """T5: the status changes that stay (cluster_id, ts, seq, status), leftovers dropped.
+def believed_changes(
+    changes: DataFrame, carried: DataFrame | None = None, span: str = "minute", split_above: int = SPLIT_ABOVE
+) -> DataFrame:
+    """T5: the status changes that stay, leftovers dropped.
 
-    ``carried`` holds the positions reached by earlier rows, as ``latest_marks``
-    gives them.
+    ``carried`` holds the last believed change of each cluster so far. Clusters
+    with more than ``split_above`` rows are cut into spans; finding them counts
+    the rows first.
     """
-    marked = changes.select(
-        "cluster_id", "ts", "seq", "status", F.date_trunc(span, "ts").cast("timestamp_ntz").alias("span"),
-        *[mark.alias(name) for name, mark in _marks().items()],
+    rows = changes.select(*CHANGE)
+    if carried is None:
+        rows = rows.withColumn("first_state", F.lit(OPEN))
+    else:
+        states = carried.select("cluster_id", _settles(F.col("status")).alias("carried_state"))
+        rows = rows.join(states, "cluster_id", "left").select(*CHANGE, F.coalesce("carried_state", F.lit(OPEN)).alias("first_state"))
+    hot = hot_clusters(changes, split_above)
+    whole = F.lit(None).cast("timestamp")
+    pieces = F.date_trunc(span, "ts")
+    rows = rows.withColumn("span", pieces if hot is None else F.when(F.col("cluster_id").isin(hot), pieces).otherwise(whole))
+    if hot == []:
+        rows = rows.withColumn("state", F.col("first_state"))
+    else:
+        spans = _span_states(rows.filter(F.col("span").isNotNull()))
+        rows = rows.join(spans, ["cluster_id", "span"], "left").withColumn("state", F.coalesce("span_state", "first_state"))
+    in_order = Window.partitionBy("cluster_id", "span").orderBy("ts", "seq")
+    status = F.col("status")
+    numbered = rows.withColumn("number", F.row_number().over(in_order))
+    before = _state_before(
+        _settles(status), status == "running", status.isin(ENDED), F.col("number"), in_order, F.col("state")
     )
-    per_span = marked.groupBy("cluster_id", "span").agg(*[F.max(name).alias(name) for name in MARKS])
-    earlier_spans = Window.partitionBy("cluster_id").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    before = per_span.select(
-        "cluster_id", "span", *[F.max(name).over(earlier_spans).alias(f"{name}_before") for name in MARKS]
+    judged = numbered.select(*CHANGE, before.alias("before"))
+    leftover = ((F.col("before") == STARTING) & status.isin(ENDED)) | (
+        (F.col("before") == TERMINATING) & (status == "running")
     )
-    if carried is not None:
-        old = carried.select("cluster_id", *[F.col(name).alias(f"{name}_carried") for name in MARKS])
-        before = before.join(old, "cluster_id", "left").select(
-            "cluster_id",
-            "span",
-            *[F.coalesce(f"{name}_before", f"{name}_carried").alias(f"{name}_before") for name in MARKS],
-        )
-    earlier_rows = Window.partitionBy("cluster_id", "span").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    seen = marked.join(before, ["cluster_id", "span"]).select(
-        "cluster_id", "ts", "seq", "status",
-        *[F.coalesce(F.max(name).over(earlier_rows), F.col(f"{name}_before")).alias(name) for name in MARKS],
-    )
-    place = F.struct(F.col("anchor.ts").alias("ts"), F.col("anchor.seq").alias("seq"))
+    return judged.filter(~leftover).select(*CHANGE)
 
-    def happened_since(name: str) -> Column:
-        return F.coalesce(F.col(name) > place, F.lit(False))
 
-    leftover = (
-        (F.col("anchor.status") == "starting") & F.col("status").isin(ENDED) & ~happened_since("ran")
-    ) | ((F.col("anchor.status") == "terminating") & (F.col("status") == "running") & ~happened_since("ended"))
-    return seen.filter(~F.coalesce(leftover, F.lit(False))).select("cluster_id", "ts", "seq", "status")
+def last_believed(carried: DataFrame, kept: DataFrame) -> DataFrame:
+    """The last believed change of each cluster after more changes were kept."""
+    newest = F.max(F.struct("ts", "seq", "status")).alias("newest")
+    return carried.select(*CHANGE).unionByName(kept.select(*CHANGE)).groupBy("cluster_id").agg(newest).select(
+        "cluster_id", "newest.*"
+    )

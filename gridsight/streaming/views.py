@@ -171,15 +171,16 @@ def start_rollup(changes: DataFrame, folder: str, every: str | None = None) -> t
     return start_batches(changes, step, folder, every=every), clusters
 
 
-def start_believed(status: DataFrame, folder: str, span: str = "minute", every: str | None = None) -> StreamingQuery:
+def start_believed(status: DataFrame, folder: str, every: str | None = None) -> StreamingQuery:
     """T5: status changes without leftovers, one folder of rows per batch."""
-    marks = StateTable(f"{folder}/marks", schema_of(transitions.MARKS_SCHEMA))
+    carried = StateTable(f"{folder}/carried", schema_of(transitions.CHANGE_SCHEMA))
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        old = marks.before(batch.sparkSession, batch_id)
-        kept = transitions.believed_changes(batch, span, old)
-        kept.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
-        marks.replace(transitions.merge_marks(old, transitions.latest_marks(batch)), batch_id)
+        spark, place = batch.sparkSession, f"{folder}/rows/batch={batch_id}"
+        before = carried.before(spark, batch_id)
+        transitions.believed_changes(batch, before).write.mode("overwrite").parquet(place)
+        kept = spark.read.schema(transitions.CHANGE_SCHEMA).parquet(place)
+        carried.replace(transitions.last_believed(before, kept), batch_id)
 
     return start_batches(status, step, folder, every=every)
 

@@ -52,10 +52,26 @@ def believed(rows):
     return sorted(kept, key=repr)
 
 
-@pytest.mark.parametrize("span", ["second", "minute", "hour", "year"])
-def test_believed_changes_follow_the_rule(spark, rows, status_rows, span):
+@pytest.mark.parametrize("span, split_above", [("minute", 10**6), ("second", 0), ("minute", 225), ("hour", 0), ("year", 0)])
+def test_believed_changes_follow_the_rule(spark, rows, status_rows, span, split_above):
     changes = spark.createDataFrame(status_rows, STATUS)
-    assert rows(transitions.believed_changes(changes, span)) == believed(status_rows)
+    assert rows(transitions.believed_changes(changes, None, span, split_above)) == believed(status_rows)
+
+
+@pytest.mark.parametrize("split_above", [10**6, 0])
+def test_believed_changes_go_on_from_a_carried_state(spark, rows, status_rows, split_above):
+    first, second = status_rows[:400], status_rows[400:]
+    kept = transitions.believed_changes(spark.createDataFrame(first, STATUS))
+    carried = transitions.last_believed(spark.createDataFrame([], STATUS), kept)
+    rest = transitions.believed_changes(spark.createDataFrame(second, STATUS), carried, split_above=split_above)
+    assert rows(kept.union(rest)) == believed(status_rows)
+
+
+def test_many_hot_clusters_are_all_cut(spark, rows, status_rows, monkeypatch):
+    monkeypatch.setattr(transitions, "MOST_HOT_KEYS", 1)
+    changes = spark.createDataFrame(status_rows, STATUS)
+    assert transitions.hot_clusters(changes, 0) is None
+    assert rows(transitions.believed_changes(changes, split_above=0)) == believed(status_rows)
 
 
 def test_believed_stream(spark, tmp_path, rows, status_rows):
