@@ -27,14 +27,38 @@ STARTING, TERMINATING, OPEN = 1, 2, 3
 CHANGE = ["cluster_id", "ts", "seq", "status"]
 CHANGE_SCHEMA = "cluster_id bigint, ts timestamp_ntz, seq bigint, status string"
 SPLIT_ABOVE = 1_000_000
-MOST_HOT_KEYS = 10_000
+ROWS_PER_SPAN = 10_000
+MOST_BROADCAST = 10_000
 
 
-def hot_clusters(changes: DataFrame, split_above: int) -> list[int] | None:
-    """Clusters with more rows than that, or ``None`` when there are too many to list."""
-    counted = changes.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > split_above)
-    found = [row["cluster_id"] for row in counted.select("cluster_id").limit(MOST_HOT_KEYS + 1).collect()]
-    return None if len(found) > MOST_HOT_KEYS else found
+def _micros(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
+def hot_clusters(changes: DataFrame, split_above: int, rows_per_span: int) -> DataFrame | None:
+    """Clusters with more rows than that, with the start and width of their spans; ``None`` without any.
+
+    Spans are of equal length and hold ``rows_per_span`` rows on average, far
+    fewer than a task can sort, so a burst many times as dense is no trouble.
+    The table is broadcast when it has few rows and joined by key otherwise.
+    """
+    spans = F.greatest(F.call_function("div", F.col("rows"), F.lit(rows_per_span)), F.lit(1).cast("bigint"))
+    hot = (
+        changes.groupBy("cluster_id")
+        .agg(F.count(F.lit(1)).alias("rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+        .filter(F.col("rows") > split_above)
+        .select(
+            "cluster_id",
+            _micros("first_ts").alias("span_start"),
+            (F.call_function("div", _micros("last_ts") - _micros("first_ts"), spans) + 1).alias("span_width"),
+        )
+    )
+    few = hot.limit(MOST_BROADCAST + 1).collect()
+    if not few:
+        return None
+    if len(few) > MOST_BROADCAST:
+        return hot
+    return F.broadcast(changes.sparkSession.createDataFrame(few, hot.schema))
 
 
 def _settles(status: Column) -> Column:
@@ -92,7 +116,10 @@ def _span_states(changes: DataFrame) -> DataFrame:
 
 
 def believed_changes(
-    changes: DataFrame, carried: DataFrame | None = None, span: str = "minute", split_above: int = SPLIT_ABOVE
+    changes: DataFrame,
+    carried: DataFrame | None = None,
+    split_above: int = SPLIT_ABOVE,
+    rows_per_span: int = ROWS_PER_SPAN,
 ) -> DataFrame:
     """T5: the status changes that stay, leftovers dropped.
 
@@ -106,13 +133,12 @@ def believed_changes(
     else:
         states = carried.select("cluster_id", _settles(F.col("status")).alias("carried_state"))
         rows = rows.join(states, "cluster_id", "left").select(*CHANGE, F.coalesce("carried_state", F.lit(OPEN)).alias("first_state"))
-    hot = hot_clusters(changes, split_above)
-    whole = F.lit(None).cast("timestamp")
-    pieces = F.date_trunc(span, "ts")
-    rows = rows.withColumn("span", pieces if hot is None else F.when(F.col("cluster_id").isin(hot), pieces).otherwise(whole))
-    if hot == []:
-        rows = rows.withColumn("state", F.col("first_state"))
+    hot = hot_clusters(changes, split_above, rows_per_span)
+    if hot is None:
+        rows = rows.withColumn("span", F.lit(0).cast("bigint")).withColumn("state", F.col("first_state"))
     else:
+        span = F.call_function("div", _micros("ts") - F.col("span_start"), F.col("span_width"))
+        rows = rows.join(hot, "cluster_id", "left").select(*CHANGE, "first_state", span.alias("span"))
         spans = _span_states(rows.filter(F.col("span").isNotNull()))
         rows = rows.join(spans, ["cluster_id", "span"], "left").withColumn("state", F.coalesce("span_state", "first_state"))
     in_order = Window.partitionBy("cluster_id", "span").orderBy("ts", "seq")

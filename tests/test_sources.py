@@ -130,3 +130,21 @@ def test_json_rows(spark, tmp_path, rows):
     target = os.path.join(tmp_path, "out")
     files.write_json_rows(df, target)
     assert spark.read.schema("n int, s string").json(target).count() == 2
+
+
+def test_topic_records_take_the_shape_of_the_log(spark, rows):
+    records = spark.sql(
+        "SELECT CAST('k' AS BINARY) AS key, CAST('value' AS BINARY) AS value, 't' AS topic, 1 AS partition, 7L AS offset, "
+        "timestamp'2024-01-01 00:00:00.5' AS timestamp UNION ALL SELECT NULL, NULL, 't', 1, 8L, timestamp'2024-01-01 00:00:01'"
+    )
+    assert rows(topics.shape_records(records)) == [
+        ("t", 1, 7, 1704067200500, "k", "value", 6), ("t", 1, 8, 1704067201000, None, None, 0),
+    ]
+
+
+def test_a_folder_of_files_is_a_stream(spark, tmp_path):
+    spark.range(10).repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = topics.stream_files(spark, spark.range(1).schema, str(tmp_path / "in"), files_per_trigger=1)
+    query = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck"))
+    query.trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 10
