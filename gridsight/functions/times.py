@@ -46,11 +46,6 @@ def elapsed_ms(start: Column | str, end: Column | str) -> Column:
     return int_div(F.unix_micros(_instant(end)) - F.unix_micros(_instant(start)), 1000)
 
 
-def elapsed_s(start: Column | str, end: Column | str) -> Column:
-    """Whole seconds between two wall-clock times."""
-    return int_div(F.unix_micros(_instant(end)) - F.unix_micros(_instant(start)), 1000000)
-
-
 def _text(number: Column, unit: str) -> Column:
     return F.concat(number.cast("string"), F.lit(f" {unit}"))
 

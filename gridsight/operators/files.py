@@ -67,19 +67,21 @@ def list_page(files: DataFrame, marker: str | None = None, n: int = 1000) -> Dat
 
 
 def hdfs_entries(status: DataFrame) -> DataFrame:
-    """typed listing of decoded status rows, with a decimal display size."""
+    """typed listing of decoded status rows, with display sizes; that of the block is decimal."""
     is_directory = F.col("type") == "DIRECTORY"
     return status.select(
         "directory",
         F.col("pathSuffix").alias("name"),
         "type",
         F.col("length").alias("size"),
-        F.when(is_directory, F.lit("--")).otherwise(bytes_to_decimal_size(F.col("length"))).alias("size_text"),
+        F.when(is_directory, F.lit("--")).otherwise(bytes_to_size(F.col("length"))).alias("size_text"),
         "owner",
         F.col("group").alias("owner_group"),
         "permission",
         "replication",
-        F.col("blockSize").alias("block_size"),
+        bytes_to_decimal_size(F.col("blockSize")).alias("block_size"),
+        F.when(F.col("accessTime") > 0, F.col("accessTime")).alias("accessed_ms"),
+        F.col("modificationTime").alias("modified_ms"),
     )
 
 

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import normalise
-from ..functions.times import elapsed_s, epoch_s, format_interval, time_elapsed
+from ..functions.times import epoch_s, format_interval, time_elapsed
 from .folding import BLOCK_SIZE, fold_in_blocks
 
 DELETED = "deleted"
+# Fixed value: a running cluster is idle after this many seconds without a sign of life.
+IDLE_TIMEOUT_S = 120
 # Providers counted against each quota.
 LOCAL_PROVIDERS = ["sandbox", "sandbox-docker"]
 REMOTE_PROVIDERS = ["spark-standalone", "k8s", "yarn"]
@@ -228,36 +230,63 @@ def rows_to_insert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]
     return first.join(existing.filter(_live()).select(*keys), keys, "left_anti")
 
 
-def apply_updates(current: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFrame:
+def apply_updates(
+    current: DataFrame,
+    updates: DataFrame,
+    keys: Sequence[str],
+    fields: Sequence[str] = ("status", "status_detail"),
+    touched: str | None = "last_updated",
+) -> DataFrame:
     """Rows with their newest update; a soft delete is the state ``deleted``.
 
-    ``updates`` carries the keys, updated_at, seq, status and status_detail. The
-    newest update is found by a combining aggregate, so a hot key is reduced
-    before it is shuffled.
+    ``updates`` carries the keys, updated_at, seq and the fields; an empty field
+    keeps the old value. ``touched`` names the column that takes the time of the
+    update. The newest update is found by a combining aggregate, so a hot key is
+    reduced before it is shuffled.
     """
-    keys = list(keys)
+    keys, fields = list(keys), list(fields)
     newest = updates.groupBy(*keys).agg(
-        F.max_by(F.struct("updated_at", "status", "status_detail"), F.struct("updated_at", "seq")).alias("update")
+        F.max_by(F.struct("updated_at", *fields), F.struct("updated_at", "seq")).alias("update")
     )
-    kept = [name for name in current.columns if name not in {*keys, "status", "status_detail", "last_updated"}]
-    return current.join(newest, keys, "left").select(
-        *keys,
-        *kept,
-        F.coalesce("update.status", "status").alias("status"),
-        F.coalesce("update.status_detail", "status_detail").alias("status_detail"),
-        F.coalesce("update.updated_at", "last_updated").alias("last_updated"),
+    replaced = [*fields, *([touched] if touched else [])]
+    kept = [name for name in current.columns if name not in {*keys, *replaced}]
+    changed = [F.coalesce(f"update.{name}", name).alias(name) for name in fields]
+    if touched:
+        changed.append(F.coalesce("update.updated_at", touched).alias(touched))
+    return current.join(newest, keys, "left").select(*keys, *kept, *changed)
+
+
+def start_processes(processes: DataFrame, cluster_updates: DataFrame) -> DataFrame:
+    """Processes after their clusters were updated; those of a starting cluster are starting.
+
+    ``cluster_updates`` carries id, updated_at, seq and status.
+    """
+    newest = cluster_updates.groupBy(F.col("id").alias("cluster_id")).agg(
+        F.max_by("status", F.struct("updated_at", "seq")).alias("cluster_status")
     )
+    status = F.when(F.col("cluster_status") == "starting", F.lit("starting")).otherwise(F.col("status"))
+    return processes.join(newest, "cluster_id", "left").withColumn("status", status).select(*processes.columns)
+
+
+def _silence(now: Column) -> Column:
+    """Whole seconds between the clock seconds of the last update and now."""
+    return epoch_s(now) - epoch_s("last_updated")
 
 
-def idle_clusters(clusters: DataFrame, now: Column, timeout_s: int = 120) -> DataFrame:
+def idle_clusters(clusters: DataFrame, now: Column, timeout_s: int = IDLE_TIMEOUT_S) -> DataFrame:
     """Running clusters not heard from for more than the timeout."""
-    silent = elapsed_s("last_updated", now)
-    return (
-        clusters.filter((F.col("status") == "running") & (silent > timeout_s))
-        .select(F.col("id").alias("cluster_id"), "last_updated", silent.alias("idle_s"), format_interval(silent).alias("idle"))
+    silent = _silence(now)
+    return clusters.filter((F.col("status") == "running") & (silent > timeout_s)).select(
+        F.col("id").alias("cluster_id"), "last_updated", silent.alias("idle_s"), format_interval(silent).alias("idle")
     )
 
 
+def inactivate_idle(clusters: DataFrame, now: Column, timeout_s: int = IDLE_TIMEOUT_S) -> DataFrame:
+    """All clusters, the idle ones being inactive now."""
+    idle = (F.col("status") == "running") & (_silence(now) > timeout_s)
+    return clusters.withColumn("status", F.when(idle, F.lit("inactive")).otherwise(F.col("status")))
+
+
 def rollup_expression(total: Column, running: Column, stopped: Column, current: Column) -> Column:
     """Cluster state that follows from its process states; none keeps the current one."""
     return (

@@ -152,8 +152,8 @@ def hdfs_answers(spark: SparkSession, folder: str) -> DataFrame:
 
     def entry(place: int) -> Column:
         return F.struct(
-            (doc + 1700000000000).alias("accessTime"),
-            F.lit(134217728).alias("blockSize"),
+            (doc % 5 * 1000000000000).alias("accessTime"),
+            (doc % 3 * 67108864).alias("blockSize"),
             F.lit("supergroup").alias("group"),
             (F.lit(0).cast("bigint") if place == 1 else F.col("n_chars") * (doc % 1000 + 1)).alias("length"),
             (doc + 1700000000000).alias("modificationTime"),
@@ -284,6 +284,26 @@ def cluster_updates(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def process_updates(spark: SparkSession, folder: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    return table(spark, folder, "orders").select(
+        F.col("o_custkey").alias("cluster_id"),
+        pick(F.call_function("div", key, F.lit(3)), PROCESS_NAMES).alias("name"),
+        F.col("o_orderdate").alias("updated_at"),
+        key.alias("seq"),
+        pick(key, ["running", "stopped"]).alias("status"),
+        F.when(key % 4 == 0, key + 1).alias("pid"),
+    )
+
+
+def service_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests for a service in a workspace."""
+    key = F.col("c_custkey")
+    return table(spark, folder, "customer").select(
+        key.alias("request_id"), (F.col("c_nationkey") + key % 2 * 100).alias("workspace_id"), pick(key, SERVICES).alias("service_name")
+    )
+
+
 def members(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "supplier").select(
         F.col("s_suppkey").alias("id"),

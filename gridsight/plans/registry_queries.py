@@ -131,6 +131,21 @@ def rows_to_insert(spark, folder):
     )
 
 
+@query(
+    "R9",
+    "SELECT request_id, workspace_id, service_name, existing_id IS NULL AND request_id = first_request AS inserted, existing_id, CASE WHEN "
+    "existing_id IS NULL AND request_id <> first_request THEN first_request END AS same_as_request FROM (SELECT *, min(request_id) OVER "
+    "(PARTITION BY workspace_id, service_name) AS first_request FROM (SELECT c_custkey AS request_id, CAST(c_nationkey + c_custkey % 2 * 100 "
+    f"AS BIGINT) AS workspace_id, {pick('c_custkey', b.SERVICES)} AS service_name FROM customer)) r LEFT JOIN (SELECT workspace_id, "
+    "service_name, min(id) AS existing_id FROM clusters WHERE status <> 'deleted' AND provider = 'local' GROUP BY ALL) c "
+    "USING (workspace_id, service_name)",
+    ["clusters"],
+)
+def one_service_per_workspace(spark, folder):
+    local = b.clusters(spark, folder).filter(F.col("provider") == "local")
+    return registry.insert_if_absent(local, b.service_requests(spark, folder), ["workspace_id", "service_name"])
+
+
 @query(
     "R10",
     "SELECT id, name, workspace_id, service_name, coalesce(u.status, c.status) AS status, u.status_detail, "
@@ -147,6 +162,44 @@ def apply_updates(spark, folder):
     return registry.apply_updates(current, b.cluster_updates(spark, folder), ["id"])
 
 
+@query(
+    "R10",
+    "SELECT p.cluster_id, p.name, host_ip, port, coalesce(u.status, p.status) AS status, coalesce(u.pid, p.pid) AS pid FROM processes p "
+    f"LEFT JOIN (SELECT o_custkey AS cluster_id, {pick('o_orderkey // 3', b.PROCESS_NAMES)} AS name, "
+    f"{pick('o_orderkey', ['running', 'stopped'])} AS status, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey + 1 END AS pid FROM orders QUALIFY "
+    "row_number() OVER (PARTITION BY o_custkey, o_orderkey // 3 % 3 ORDER BY o_orderdate DESC, o_orderkey DESC) = 1) u "
+    "ON u.cluster_id = p.cluster_id AND u.name = p.name",
+    ["processes"],
+)
+def apply_process_updates(spark, folder):
+    return registry.apply_updates(
+        b.processes(spark, folder), b.process_updates(spark, folder), ["cluster_id", "name"], ["status", "pid"], None
+    )
+
+
+@query(
+    "R10",
+    "SELECT p.cluster_id, name, host_ip, port, CASE WHEN u.status = 'starting' THEN 'starting' ELSE p.status END AS status, pid FROM "
+    "processes p LEFT JOIN (SELECT o_custkey AS cluster_id, "
+    + pick("o_orderkey", ["running", "terminated", "deleted", "starting"])
+    + " AS status FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1) u "
+    "ON u.cluster_id = p.cluster_id",
+    ["processes"],
+)
+def start_processes(spark, folder):
+    return registry.start_processes(b.processes(spark, folder), b.cluster_updates(spark, folder))
+
+
+@query(
+    "R11",
+    f"SELECT id, CASE WHEN status = 'running' AND date_diff('second', last_updated, {NOW}) > 120 THEN 'inactive' ELSE status END AS status "
+    "FROM clusters",
+    ["clusters"],
+)
+def inactivate_idle(spark, folder):
+    return registry.inactivate_idle(b.clusters(spark, folder), b.now()).select("id", "status")
+
+
 @query(
     "R11 X1",
     f"SELECT id AS cluster_id, last_updated, idle_s, {interval_s('idle_s')} AS idle FROM (SELECT *, "

@@ -176,11 +176,13 @@ def list_page(spark, folder):
 
 
 @query(
-    "F4 S5 X8",
-    f"SELECT directory, name, type, size, CASE WHEN type = 'DIRECTORY' THEN '--' ELSE {bytes_to_decimal_size('size')} END AS size_text, "
-    "owner, 'supergroup' AS owner_group, '644' AS permission, replication, CAST(134217728 AS BIGINT) AS block_size FROM (SELECT "
+    "F4 S5 X7 X8",
+    f"SELECT directory, name, type, size, CASE WHEN type = 'DIRECTORY' THEN '--' ELSE {bytes_to_size('size')} END AS size_text, "
+    f"owner, 'supergroup' AS owner_group, '644' AS permission, replication, {bytes_to_decimal_size('block')} AS block_size, "
+    "nullif(accessed, 0) AS accessed_ms, modified_ms FROM (SELECT "
     "'/' || source || '/' || lang AS directory, 'part-' || doc_id || '-' || p AS name, CASE p WHEN 0 THEN 'FILE' ELSE 'DIRECTORY' END AS type, "
-    "CASE p WHEN 0 THEN n_chars * (doc_id % 1000 + 1) ELSE 0 END AS size, 'owner' || (doc_id % 3) AS owner, "
+    "CASE p WHEN 0 THEN n_chars * (doc_id % 1000 + 1) ELSE 0 END AS size, 'owner' || (doc_id % 3) AS owner, doc_id % 3 * 67108864 AS block, "
+    "doc_id % 5 * 1000000000000 AS accessed, doc_id + 1700000000000 AS modified_ms, "
     "CAST(CASE p WHEN 0 THEN 3 ELSE 0 END AS INTEGER) AS replication FROM documents, (VALUES (0), (1)) v(p) WHERE p = 0 OR doc_id % 4 <> 0)",
 )
 def hdfs_entries(spark, folder):

@@ -65,6 +65,29 @@ def test_newest_update_wins_and_empty_detail_keeps_the_old_one(spark, clusters,
     assert rows(result, "id", "status", "status_detail") == [(1, "deleted", None), (2, "deleted", None), (3, "new", None), (4, "running", None)]
 
 
+def test_process_updates(spark, rows):
+    processes = spark.createDataFrame(
+        [(1, "m", "running", 5), (1, "w", "running", 6), (2, "m", "running", 7)], "cluster_id bigint, name string, status string, pid bigint"
+    )
+    updates = spark.createDataFrame(
+        [(1, "m", datetime(2024, 1, 1), 1, "stopped", None), (2, "m", datetime(2024, 1, 1), 1, "running", 9)],
+        "cluster_id bigint, name string, updated_at timestamp_ntz, seq bigint, status string, pid bigint",
+    )
+    result = registry.apply_updates(processes, updates, ["cluster_id", "name"], ["status", "pid"], None)
+    assert rows(result) == [(1, "m", "stopped", 5), (1, "w", "running", 6), (2, "m", "running", 9)]
+    commands = spark.createDataFrame(
+        [(1, datetime(2024, 1, 1), 1, "starting"), (2, datetime(2024, 1, 1), 1, "starting"), (2, datetime(2024, 1, 2), 1, "running")],
+        "id bigint, updated_at timestamp_ntz, seq bigint, status string",
+    )
+    assert rows(registry.start_processes(processes, commands), "cluster_id", "name", "status") == [
+        (1, "m", "starting"), (1, "w", "starting"), (2, "m", "running"),
+    ]
+
+
+def test_idle_clusters_become_inactive(clusters, rows):
+    assert rows(registry.inactivate_idle(clusters, now()), "id", "status") == [(1, "running"), (2, "deleted"), (3, "new"), (4, "inactive")]
+
+
 def test_rollup(spark, clusters, rows):
     processes = spark.createDataFrame(
         [(1, "m", "stopped"), (1, "w", "stopped"), (2, "m", "running"), (3, "m", "running"), (3, "w", "stopped")],

@@ -92,8 +92,8 @@ def test_hdfs_status(spark, rows):
         [("/x", json.dumps({"FileStatuses": {"FileStatus": [entry, folder]}})), ("/y", json.dumps({"FileStatus": entry}))],
         "directory string, json string",
     )
-    assert rows(listing.hdfs_entries(files.decode_hdfs_status(answers)), "directory", "name", "type", "size_text", "owner_group") == [
-        ("/x", "d", "DIRECTORY", "--", "g"), ("/x", "f", "FILE", "1.5 KB", "g"), ("/y", "f", "FILE", "1.5 KB", "g"),
+    assert rows(listing.hdfs_entries(files.decode_hdfs_status(answers)), "directory", "name", "type", "size_text", "block_size") == [
+        ("/x", "d", "DIRECTORY", "--", "128 Bytes"), ("/x", "f", "FILE", "1.5 KB", "128 Bytes"), ("/y", "f", "FILE", "1.5 KB", "128 Bytes"),
     ]
 
 
