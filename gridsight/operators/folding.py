@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .joins import join_reduced
+
 BLOCK_SIZE = 1000
 
 
@@ -25,18 +25,17 @@ def fold_in_blocks(
     Only keys that need more than one block take part in the join: at most one
     per ``block_size`` items. The blocks are then shuffled by key and block,
     because the partitioning of the join would bring a hot key together again.
-    Null keys are matched like any other, so a hot null is split too.
+    Null keys count like any other, so a hot null is split too.
     """
     keys, item = list(keys), list(item)
     items = rows.groupBy(*keys, *item).agg(F.count(F.lit(1)).alias("copies"))
     large = (
-        items.groupBy(*[F.col(key).alias(f"large_{key}") for key in keys])
+        items.groupBy(*keys)
         .agg(F.count_if(F.col("copies") > 0).alias("key_items"))
         .filter(F.col("key_items") > block_size)
     )
-    same_key = reduce(and_, [F.col(key).eqNullSafe(F.col(f"large_{key}")) for key in keys])
     blocks = F.call_function("div", F.col("key_items") + (block_size - 1), F.lit(block_size))
-    placed = items.join(large, same_key, "left").withColumn(
+    placed = join_reduced(items, large, keys, "left").withColumn(
         "block", F.coalesce(F.pmod(F.xxhash64(*item), blocks), F.lit(0).cast("bigint"))
     )
     folded = (

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions.names import normalise
 from ..functions.times import epoch_s, format_interval, time_elapsed
 from .folding import BLOCK_SIZE, fold_in_blocks
+from .joins import join_reduced
 
 DELETED = "deleted"
 # Fixed value: a running cluster is idle after this many seconds without a sign of life.
@@ -209,11 +210,14 @@ def insert_if_absent(existing: DataFrame, incoming: DataFrame, keys: Sequence[st
     id of the live row, or the request that was inserted in its place.
     """
     keys = list(keys)
-    taken = existing.filter(_live()).groupBy(*keys).agg(F.min("id").alias("existing_id"))
-    first = incoming.groupBy(*keys).agg(F.min("request_id").alias("first_request"))
-    decided = first.join(taken, keys, "left")
+    absent = F.lit(None).cast("bigint")
+    taken = existing.filter(_live()).select(*keys, F.col("id").alias("existing_id"), absent.alias("request"))
+    asked = incoming.select(*keys, absent.alias("existing_id"), F.col("request_id").alias("request"))
+    decided = taken.unionByName(asked).groupBy(*keys).agg(
+        F.min("existing_id").alias("existing_id"), F.min("request").alias("first_request")
+    )
     won = F.col("existing_id").isNull() & (F.col("request_id") == F.col("first_request"))
-    return incoming.join(decided, keys).select(
+    return join_reduced(incoming, decided, keys).select(
         "request_id",
         *keys,
         won.alias("inserted"),
@@ -253,7 +257,7 @@ def apply_updates(
     changed = [F.coalesce(f"update.{name}", name).alias(name) for name in fields]
     if touched:
         changed.append(F.coalesce("update.updated_at", touched).alias(touched))
-    return current.join(newest, keys, "left").select(*keys, *kept, *changed)
+    return join_reduced(current, newest, keys, "left").select(*keys, *kept, *changed)
 
 
 def start_processes(processes: DataFrame, cluster_updates: DataFrame) -> DataFrame:
@@ -265,7 +269,7 @@ def start_processes(processes: DataFrame, cluster_updates: DataFrame) -> DataFra
         F.max_by("status", F.struct("updated_at", "seq")).alias("cluster_status")
     )
     status = F.when(F.col("cluster_status") == "starting", F.lit("starting")).otherwise(F.col("status"))
-    return processes.join(newest, "cluster_id", "left").withColumn("status", status).select(*processes.columns)
+    return join_reduced(processes, newest, ["cluster_id"], "left").withColumn("status", status).select(*processes.columns)
 
 
 def _silence(now: Column) -> Column:

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.joins import join_reduced
+
 KEY = ["cluster_id", "process"]
 BUDGET_SCHEMA = (
     "cluster_id bigint, process string, status string, last_ts timestamp_ntz, restarts_used bigint, "
@@ -74,7 +76,7 @@ def restart_budget(
     armed = known.join(limit_down, KEY, "left")
     spent = F.col("settled") >= max_retry
     giving_up = (
-        new_down.join(armed.filter(F.col("given_up_at").isNull()).select(*KEY, "settled", "exhausted_at"), KEY)
+        join_reduced(new_down, armed.filter(F.col("given_up_at").isNull()).select(*KEY, "settled", "exhausted_at"), KEY)
         .groupBy(*KEY)
         .agg(F.min(F.when(spent | (F.col("ts") >= F.col("exhausted_at")), F.col("ts"))).alias("gives_up_at"))
     )
@@ -85,7 +87,7 @@ def restart_budget(
     )
     horizon = _horizon(retry_s, F.coalesce("new_ts", "last_ts"))
     happened = (
-        down.join(decided.filter(~F.col("was_over")).select(*KEY, horizon.alias("horizon")), KEY)
+        join_reduced(down, decided.filter(~F.col("was_over")).select(*KEY, horizon.alias("horizon")), KEY)
         .filter(F.col("ts") <= F.col("horizon"))
         .groupBy(*KEY)
         .agg(F.count(F.lit(1)).alias("happened"))
@@ -111,4 +113,4 @@ def pending_restarts(
     down = _down(checks) if pending is None else _down(checks).unionByName(pending.select(*KEY, "ts"))
     open_ended = budget.filter(F.col("given_up_at").isNull()).select(*KEY, "last_ts")
     ahead = _later("ts", retry_s) > F.col("last_ts")
-    return down.join(open_ended, KEY).filter(ahead).select(*KEY, "ts")
+    return join_reduced(down, open_ended, KEY).filter(ahead).select(*KEY, "ts")
