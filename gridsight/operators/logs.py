@@ -88,6 +88,18 @@ def search_logs(
     return found if n is None else found.orderBy("log_offset").limit(n)
 
 
+def search_log_lines(lines: DataFrame, query: str = "", levels: Sequence[str] = (), **filters) -> DataFrame:
+    """L2 on lines as written: those that cannot match are passed over before they are taken apart.
+
+    A message holds the text only if its line does, and the same goes for levels.
+    """
+    if query:
+        lines = lines.filter(F.contains(F.col("line"), F.lit(query)))
+    if levels:
+        lines = lines.filter(reduce(or_, [F.contains(F.col("line"), F.lit(level)) for level in levels]))
+    return search_logs(parse_log_lines(lines), query, levels, **filters)
+
+
 def log_facets(logs: DataFrame) -> DataFrame:
     """L3: size, first and last time and last offset of a result, whole and per level and class.
 

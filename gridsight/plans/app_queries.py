@@ -187,7 +187,7 @@ _OFF_HEAP = "CASE WHEN region IN ('metaspace', 'code_cache') THEN used ELSE 0 EN
 
 @query(
     "A15 X10",
-    f"SELECT app_id, executor_id, ts, {_IN_HEAP} AS heap_used, max_memory AS heap_max, CAST(round({_IN_HEAP} * 100 / max_memory) AS "
+    f"SELECT app_id, executor_id, ts, {_IN_HEAP} AS heap_used, max_memory AS heap_max, CAST(round(({_IN_HEAP} / max_memory) * 100) AS "
     f"BIGINT) || '%' AS heap_text, CAST(round({_IN_HEAP} * 100 / max_memory) AS BIGINT) AS heap_percent, CASE WHEN region = 'eden' THEN "
     f"used ELSE 0 END AS eden_used, {_OFF_HEAP} AS non_heap_used, CASE WHEN region = 'code_cache' THEN used ELSE 0 END AS "
     "code_cache_used, executor_cpu AS process, system_cpu AS system FROM samples",

@@ -32,9 +32,9 @@ def rejected_log_lines(spark, folder):
     ["logs"],
 )
 def searched_logs(spark, folder):
-    return logs.search_logs(
-        _logs(spark, folder), ": 7", ["ERROR", "WARN"], ["org.app.error", "org.app.signup"],
-        moment("2024-01-05 00:00:00"), moment("2024-01-20 00:00:00"), 2000,
+    return logs.search_log_lines(
+        b.log_lines(spark, folder), ": 7", ["ERROR", "WARN"], classes=["org.app.error", "org.app.signup"],
+        start=moment("2024-01-05 00:00:00"), end=moment("2024-01-20 00:00:00"), last_offset=2000,
     )
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import files as files_ops
 from ..operators import kafka
-from ..sources.files import decode_hdfs_status
+from ..sources.files import decode_hdfs_status, read_file_listing
 from . import bindings as b
 from .binding_sql import bytes_to_decimal_size, bytes_to_size, readable_size
 from .catalogue import listed, query
@@ -208,3 +208,9 @@ def file_kinds(spark, folder):
 )
 def size_by_extension(spark, folder):
     return files_ops.size_by_extension(b.files(spark, folder))
+
+
+@query("S4 F5")
+def stored_table_kinds(spark, folder):
+    """Files of the tables themselves by extension; no check, since SQL does not see the folder."""
+    return files_ops.size_by_extension(read_file_listing(spark, folder))

@@ -54,7 +54,11 @@ def read_jdbc(
 
 
 def write_jdbc(df: DataFrame, connection: JdbcConnection, table: str, mode: str = "append", batch_size: int = 10000) -> int:
-    """Writes the rows and returns how many there were, counted on the way."""
+    """Writes the rows and returns how many there were, counted on the way.
+
+    A task that is run again after a lost executor appends its rows again, as
+    JDBC has no commit over tasks; append to a fresh table where that matters.
+    """
     observed = Observation()
     counted = df.observe(observed, F.count(F.lit(1)).alias("rows"))
     writer = counted.write.format("jdbc").options(**connection.options())

@@ -42,6 +42,8 @@ def latest_state(status: DataFrame) -> DataFrame:
     return status.groupBy("cluster_id").agg(newest).select("cluster_id", "newest.ts", "newest.status")
 
 
+# Fixed value: how often readers of cluster state look again.
+REFRESH_EVERY = "2 seconds"
 LATEST_STATE = "cluster_id bigint, ts timestamp_ntz, status string"
 
 

@@ -100,6 +100,16 @@ def test_a_stream_carries_on_from_its_checkpoint(spark, tmp_path, rows, status_r
     assert rows(table.now(spark)) == sorted(newest.values(), key=repr)
 
 
+def test_a_live_stream_keeps_refreshing(spark, tmp_path, rows, status_rows):
+    stream = stream_of(spark, tmp_path, status_rows, STATUS, 2)
+    query, table = views.start_keyed(views.latest_state(stream), str(tmp_path / "w"), views.LATEST_STATE, views.REFRESH_EVERY)
+    try:
+        query.processAllAvailable()
+        assert query.isActive and table.now(spark).count() == 4
+    finally:
+        query.stop()
+
+
 def test_idle_gap_is_longer_than_the_timeout(spark, tmp_path, rows):
     seconds = [0, 119, 239, 360, 361, 1000]
     data = [(1, START + timedelta(seconds=second), number, "running") for number, second in enumerate(seconds)]
