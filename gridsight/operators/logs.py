@@ -104,16 +104,23 @@ def log_facets(logs: DataFrame) -> DataFrame:
     """L3: size, first and last time and last offset of a result, whole and per level and class.
 
     One row per facet value instead of arrays, so the number of classes does
-    not matter. All three groupings come from one pass.
+    not matter. Lines are reduced per level and class first; the three groupings
+    are made of that table.
     """
     level, class_name = F.col("level"), F.col("class_name")
-    grouped = logs.groupingSets([[], [level], [class_name]], level, class_name).agg(
-        F.grouping_id().alias("grouping"),
+    pairs = logs.groupBy(level, class_name).agg(
         F.count(F.lit(1)).alias("lines"),
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
         F.max("log_offset").alias("last_offset"),
     )
+    grouped = pairs.groupingSets([[], [level], [class_name]], level, class_name).agg(
+        F.grouping_id().alias("grouping"),
+        F.sum("lines").alias("lines"),
+        F.min("first_ts").alias("first_ts"),
+        F.max("last_ts").alias("last_ts"),
+        F.max("last_offset").alias("last_offset"),
+    )
     facet = (
         F.when(F.col("grouping") == 3, F.lit("all")).when(F.col("grouping") == 1, F.lit("level")).otherwise(F.lit("class"))
     )
