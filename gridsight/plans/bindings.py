@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from ..functions.times import epoch_ms, moment
 
 NOW = "2024-01-31 00:00:00"
-NOW_MS = 1706659200000
 HISTORY_NOW_MS = 1004572800000
 
 
@@ -487,9 +486,6 @@ def job_configs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-LEVELS = {"error": "ERROR", "signup": "WARN "}
-
-
 def log_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Lines in the fixed layout; every 97th is malformed."""
     event = F.col("event_type")
