@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, naming, packing, quality, records, token_counts, toxicity
+from . import mixing, naming, packing, quality, records, token_counts, toxicity, weak_rules
 from .common import table
 
 
@@ -18,6 +18,11 @@ def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
+def op3_weak_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics of each document and whether it is kept."""
+    return weak_rules.judged(table(spark, folder, "documents"))
+
+
 def op4_records(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as they are read back from binary records."""
     return records.record_digests(table(spark, folder, "documents"), vocabulary())
@@ -66,6 +71,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM p
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op3_weak_rules": op3_weak_rules,
     "op4_records": op4_records,
     "op5_token_counts": op5_token_counts,
     "op6_toxicity": op6_toxicity,
