@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, naming, packing, quality, records, token_counts, toxicity, weak_rules
+from . import mixing, naming, packing, parity_join, quality, records, token_counts, toxicity, weak_rules
 from .common import table
 
 
@@ -38,6 +38,11 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.document_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op7_parity_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of near duplicates."""
+    return parity_join.near_duplicates(table(spark, folder, "documents"))
+
+
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of documents in sequences of 1024 tokens."""
     return packing.pack(table(spark, folder, "documents"), vocabulary())
@@ -75,6 +80,7 @@ QUERIES = {
     "op4_records": op4_records,
     "op5_token_counts": op5_token_counts,
     "op6_toxicity": op6_toxicity,
+    "op7_parity_join": op7_parity_join,
     "op8_packing": op8_packing,
     "op9_block_naming": op9_block_naming,
     "op10_quality": op10_quality,

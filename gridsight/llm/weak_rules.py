@@ -93,7 +93,7 @@ def rules() -> dict[str, tuple[Column, Column]]:
         "repeated": (share["n_repeat_words"] > 0.35, share["n_repeat_words"] < 0.1),
         "lines": ((lines > 0.4) & (F.col("n_dup_lines") >= 3), never),
         "capitals": (capitals > 0.4, capitals < 0.15),
-        "letters": (letters < 0.9, letters > 0.94),
+        "letters": (letters < 0.75, letters > 0.94),
         "stops": ((share["n_stops"] > 0.5) | ((share["n_stops"] < 0.005) & (n >= 100)), share["n_stops"].between(0.02, 0.3)),
         "length": ((mean < 2) | (mean > 15), mean.between(3, 10)),
     }
