@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, naming, packing, parity_join, quality, records, token_counts, toxicity, weak_rules
+from . import mixing, naming, packing, parity_join, quality, records, token_counts, tool_calls, toxicity, weak_rules
 from .common import table
 
 
@@ -13,6 +13,12 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """Calls of all conversations linked with their results."""
+    calls, results = tool_calls.conversation_calls(table(spark, folder, "conversations"))
+    return tool_calls.link(calls, results, tool_calls.SCHEMAS)
+
+
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Words of each document that a mix of the sources takes."""
     return mixing.mix(table(spark, folder, "documents"))
@@ -75,6 +81,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM p
 
 
 QUERIES = {
+    "op1_tool_calls": op1_tool_calls,
     "op2_mixing": op2_mixing,
     "op3_weak_rules": op3_weak_rules,
     "op4_records": op4_records,
