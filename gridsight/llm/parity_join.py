@@ -256,7 +256,7 @@ def _linked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _sides(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
     for side in ("a", "b"):
         own = sets.select(F.col("doc_id").alias(side), *[F.col(name).alias(f"{name}_{side}") for name in columns])
-        pairs = pairs.join(own, side)
+        pairs = pairs.join(own.hint("merge"), side)
     return pairs
 
 
@@ -288,7 +288,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     best = led.groupBy("doc_id").agg(F.max(F.struct("keys", (-F.col("lead")).alias("minus"))).alias("best"))
     first = saved(best.select((-F.col("best.minus")).alias("a"), F.col("doc_id").alias("b")), "parity-first")
     needed = saved(shared.select("doc_id").distinct(), "parity-needed")
-    texts = rows.join(needed, "doc_id", "left_semi").mapInPandas(_sets, "doc_id long, n long, sketch binary, elements binary")
+    texts = rows.join(needed.hint("merge"), "doc_id", "left_semi").mapInPandas(_sets, "doc_id long, n long, sketch binary, elements binary")
     sets = saved(texts, "parity-sets")
     checked = saved(verified(near_pairs(first, sets), sets), "parity-checked").where("linked")
 
