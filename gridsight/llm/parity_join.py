@@ -14,7 +14,7 @@ by 1.25, so a document takes part in its own class and in the one below.
 Join. Keys of a batch of documents travel as packed arrays, one row per bucket of keys. A bucket finds the keys that
 several documents share. First each document is compared with the one that leads most of its keys; what is linked forms
 trees. Only keys whose documents are then still in different trees are opened: their remaining pairs are filtered by
-size and sketch, and verified on whole sets. No pair that shares a key is left unless its documents are
+size and sketch inside the task, block by block, and the few that are left verified on whole sets. No pair that shares a key is left unless its documents are
 already connected. Documents with the same set in a task send keys once.
 """
 
@@ -41,6 +41,8 @@ FLUSH_KEYS = 500_000
 #: Distinct sets a worker remembers to spot repeats.
 REMEMBERED = 200_000
 SKETCH_BITS = 512
+#: Documents of a key compared together, rows a slot of keys about holds, and rows compared with the others at a time.
+BLOCK_DOCS, SLOT_ROWS, TILE = 2048, 50_000, 64
 KEY_BYTES, SET_BYTES = 5, 6
 
 _U = np.uint64
@@ -268,6 +270,44 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return _sides(pairs, sets, ["elements"]).mapInPandas(_linked, "a long, b long, linked boolean")
 
 
+def _across(rows: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of a slot that share a key, have different roots and are not ruled out by size or sketch."""
+    rows = rows.sort_values(["key", "low_block", "high_block", "doc_id"])
+    group = rows[["key", "low_block", "high_block"]].to_numpy()
+    begins = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]).any(axis=1))))
+    ids, roots, sizes = (rows[name].to_numpy() for name in ("doc_id", "root", "n"))
+    marks = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1)
+    left, right = [], []
+    for begin, end in zip(begins, np.append(begins[1:], len(rows))):
+        for top in range(begin, end, TILE):
+            one, other = slice(top, min(top + TILE, end)), slice(top, end)
+            most = (sizes[one, None] + sizes[None, other]) // 9
+            close = (roots[one, None] != roots[None, other]) & (np.abs(sizes[one, None] - sizes[None, other]) <= most)
+            close &= ids[one, None] < ids[None, other]
+            x, y = np.nonzero(close)
+            distance = np.bitwise_count(marks[top + x] ^ marks[top + y]).sum(axis=1, dtype=np.int64)
+            near = distance <= most[x, y]
+            left.append(ids[top + x[near]])
+            right.append(ids[top + y[near]])
+    return pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)})
+
+
+def across_roots(opened: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows (key, size, doc_id, root, n, sketch) that share a key and may be linked across roots.
+
+    Only pairs that size and sketch leave open become rows. A key with more documents than a block is compared block by
+    block, so that no task holds a whole key of unbounded size.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK_DOCS).cast("int")
+    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+    rows = opened.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.withColumn("low_block", F.least("own", "other")).withColumn("high_block", F.greatest("own", "other"))
+    slots = F.lit(max(BUCKETS, opened.count() // SLOT_ROWS))
+    rows = rows.withColumn("slot", F.pmod(F.xxhash64("key", "low_block", "high_block"), slots))
+    columns = ["slot", "key", "low_block", "high_block", "doc_id", "root", "n", "sketch"]
+    return rows.select(*columns).groupBy("slot").applyInPandas(_across, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of the table: doc_id, n_shingles, component_id.
 
@@ -300,15 +340,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     # keys whose documents are not yet connected: their other pairs
     rooted = shared.join(roots, shared["doc_id"] == roots["node"], "left")
     rooted = rooted.select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    open_keys = open_keys.where("low <> high").select("key")
-    sized = saved(rooted.join(open_keys, "key").join(sets.select("doc_id", "n"), "doc_id"), "parity-open")
-    left = sized.select("key", F.col("doc_id").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"))
-    right = sized.select(F.col("key").alias("key_b"), F.col("doc_id").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"))
-    close = F.abs(F.col("n_a") - F.col("n_b")) * 9 <= F.col("n_a") + F.col("n_b")
-    across = (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & close
-    pairs = left.join(right, across).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    late = saved(verified(near_pairs(pairs, sets), sets), "parity-late").where("linked")
+    open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"))
+    open_keys = open_keys.where("low <> high").select("key", "size")
+    marks = sets.select("doc_id", "n", "sketch").hint("merge")
+    opened = saved(rooted.join(open_keys, "key").join(marks, "doc_id"), "parity-open")
+    pairs = across_roots(opened).distinct().join(first, ["a", "b"], "left_anti")
+    late = saved(verified(pairs, sets), "parity-late").where("linked")
 
     known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     links = known.union(late.select("a", "b")).union(twins.select(F.col("node").alias("a"), F.col("parent").alias("b")))
