@@ -95,6 +95,7 @@ def exact_duplicates(
     named = identities(docs, id_column, text_column, size)
     rank = F.struct((-F.col("n_chars")).alias("chars"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
     groups = named.groupBy("round", "name").agg(F.count(F.lit(1)).alias("group_size"), F.min(rank).alias("best"))
+    groups = saved(groups, "naming-groups")  # a join of two shuffles is one that a hot name does not hold up
     return named.join(groups, ["round", "name"]).select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size",
         (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256", "n_chars",
