@@ -16,7 +16,7 @@ from array import array
 from collections.abc import Iterable, Sequence
 
 #: Parts kept by a worker, and the longest that is worth keeping, in characters.
-KEPT_PARTS = 600_000
+KEPT_PARTS = 500_000
 LONGEST_KEPT = 64
 #: Characters that are always a token of their own when letters stand before them and nothing after.
 STOPS = ".,;:!?|"

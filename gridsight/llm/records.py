@@ -43,6 +43,8 @@ MASK = 0xA282EAD8
 INDEX = "doc_id bigint, file string, shard int, place bigint, offset bigint, bytes bigint, width int, ids_before bigint, n_tokens bigint"
 #: Texts encoded together, in characters; bounds a worker's memory whatever the length of a batch.
 BATCH_CHARS = 2_000_000
+#: Records handed on together when read.
+READ_TOGETHER = 256
 
 
 def masked(data: bytes) -> int:
@@ -157,23 +159,38 @@ def read_index(spark, folder: str) -> DataFrame:
     return spark.read.parquet(folder + "/index")
 
 
-def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    path, file = None, None
+def _payloads(rows: pd.DataFrame, held: dict) -> Iterator[bytes]:
+    """Ids of index rows that are in order of file and offset; ``held`` keeps the open file."""
+    for name, offset, size, width in zip(rows["file"], rows["offset"], rows["bytes"], rows["width"]):
+        if held.get("name") != name:
+            if "file" in held:
+                held["file"].close()
+            held["name"], held["file"] = name, opened(name, "rb")
+        if held["file"].tell() != offset:
+            held["file"].seek(offset)
+        payload = unframe(held["file"].read(size + 16))
+        yield payload if width == 4 else np.frombuffer(payload, "<u2").astype("<u4").tobytes()
+
+
+def _ordered(frames: Iterator[pd.DataFrame], rows_together: int) -> Iterator[pd.DataFrame]:
     for rows in frames:
         rows = rows.sort_values(["file", "offset"], kind="stable")
-        payloads = []
-        for name, offset, size, width in zip(rows["file"], rows["offset"], rows["bytes"], rows["width"]):
-            if name != path:
-                if file is not None:
-                    file.close()
-                path, file = name, opened(name, "rb")
-            if file.tell() != offset:
-                file.seek(offset)
-            payload = unframe(file.read(size + 16))
-            payloads.append(payload if width == 4 else np.frombuffer(payload, "<u2").astype("<u4").tobytes())
-        yield rows[[*rows.columns]].assign(ids=payloads)
-    if file is not None:
-        file.close()
+        for start in range(0, len(rows), rows_together):
+            yield rows[start : start + rows_together]
+
+
+def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held: dict = {}
+    for rows in _ordered(frames, READ_TOGETHER):
+        yield rows.assign(ids=list(_payloads(rows, held)))
+
+
+def _digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held: dict = {}
+    for rows in _ordered(frames, 10_000):
+        found = [(len(ids) // 4, zlib.crc32(ids)) for ids in _payloads(rows, held)]
+        digests = pd.DataFrame(found, columns=["n_tokens", "ids_crc32"], index=rows.index)
+        yield pd.concat([rows[["doc_id", "start"]].astype({"doc_id": "Int64"}), digests], axis=1)
 
 
 def read_records(index: DataFrame) -> DataFrame:
@@ -195,16 +212,9 @@ def with_starts(index: DataFrame, block: int = 1024) -> DataFrame:
     return index.join(files, "shard").withColumn("start", F.col("file_start") + F.col("ids_before")).drop("file_start")
 
 
-@F.pandas_udf(T.LongType())
-def ids_crc32(ids: pd.Series) -> pd.Series:
-    """Unsigned CRC-32 of packed ids."""
-    return ids.map(zlib.crc32).astype("int64")
-
-
 def record_digests(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
     """Writes the records of a table, reads them back and returns one row per document with what was read."""
     folder = new_folder(docs.sparkSession, "records")
     index = write_records(docs, vocabulary, folder, end_id)
-    read = read_records(with_starts(index))
-    n_tokens = (F.octet_length("ids") / 4).cast("long")
-    return read.select("doc_id", "start", n_tokens.alias("n_tokens"), ids_crc32("ids").alias("ids_crc32"))
+    # digested where they are read: ids do not pass through the JVM
+    return with_starts(index).mapInPandas(_digest, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
