@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .labelled import held_out, sample
 
 #: Labelled documents the model is fitted on at most, and characters of one at most.
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 3000
 SAMPLE_CHARS = 100_000
 FOLDS, HELD = 5, 0
 BUCKETS = 1 << 20
