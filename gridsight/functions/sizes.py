@@ -7,26 +7,29 @@ from pyspark.sql import functions as F
 
 from .numbers import half_up, int_div, tenths_text
 
-# Unit names in order of size, and the largest count shown in exbibytes' lower unit.
+# Unit names in order of size.
 BINARY_LETTERS = ["K", "M", "G", "T", "P", "E"]
 DISPLAY_UNITS = ["Bytes", "KB", "MB", "GB", "TB"]
-LARGEST_THRESHOLD = 1152865209611504844
 
 
 def readable_size(size: Column) -> Column:
-    """Signed size with one decimal in binary units."""
-    lowest, highest = -(2**63), 2**63 - 1
-    amount = F.when(size == lowest, F.lit(highest)).otherwise(F.abs(F.when(size != lowest, size)))
-    sign = F.when(size < 0, F.lit("-")).otherwise(F.lit(""))
-    text = F.when(amount < 1024, F.concat(size.cast("string"), F.lit(" B")))
-    for step, letter in enumerate(BINARY_LETTERS):
-        scaled = F.shiftright(amount, 10 * step)
-        shown = F.concat(sign, tenths_text(half_up(scaled, 1024, 10)), F.lit(f" {letter}B"))
-        if step < 5:
-            text = text.when(amount <= (LARGEST_THRESHOLD >> (40 - 10 * step)), shown)
-        else:
-            text = text.otherwise(shown)
-    return text
+    """Signed size with one decimal in binary units.
+
+    A unit is left for the next one where its text would read 1024.0, which is from 1023.95 of it. The value shown is
+    rounded from whole units of the next smaller kind.
+    """
+    # the lowest integer has no positive counterpart; it shows like its neighbour
+    amount = F.abs(F.greatest(size, F.lit(1 - 2**63)))
+    sign = F.when(size < 0, "-").otherwise("")
+
+    def shown(power: int) -> Column:
+        tenths = half_up(int_div(amount, 1024 ** (power - 1)), 1024, 10)
+        return F.concat(sign, tenths_text(tenths), F.lit(f" {BINARY_LETTERS[power - 1]}B"))
+
+    text = shown(len(BINARY_LETTERS))
+    for power in range(len(BINARY_LETTERS) - 1, 0, -1):
+        text = F.when(amount <= 20479 * 1024**power // 20, shown(power)).otherwise(text)
+    return F.when(amount < 1024, F.concat(size.cast("string"), F.lit(" B"))).otherwise(text)
 
 
 def _display(size: Column, divisor: int) -> Column:

@@ -216,7 +216,7 @@ def executor_table(tasks: DataFrame, executors: DataFrame) -> DataFrame:
         "cores", "max_memory", "used_memory", "disk_used", "active_tasks", "failed_tasks", "completed_tasks", "task_ms",
         "input_bytes", "shuffle_read_bytes", "shuffle_write_bytes",
     ]
-    total = executors.join(work, "executor_id", "left").rollup("executor_id").agg(
+    total = executors.join(work, "executor_id", "full").rollup("executor_id").agg(
         F.grouping("executor_id").cast("boolean").alias("is_total"),
         *[F.coalesce(F.sum(name), F.lit(0)).cast("bigint").alias(name) for name in sums],
     )
@@ -255,7 +255,9 @@ def app_overview(samples: DataFrame, tasks: DataFrame) -> DataFrame:
         int_mean(F.sum("used"), F.count("used")).alias("memory_avg"),
     )
     states = tasks.groupBy("app_id").agg(*[_in_state(state).alias(f"{state}_tasks") for state in STATES])
-    return states.join(load, "app_id", "left")
+    counts = [F.coalesce(f"{state}_tasks", F.lit(0)).alias(f"{state}_tasks") for state in STATES]
+    joined = states.join(load, "app_id", "full")  # an application may have samples and no task yet
+    return joined.select("app_id", *counts, *[name for name in load.columns if name != "app_id"])
 
 
 def compare_runs(runs: DataFrame, tasks: DataFrame, samples: DataFrame) -> DataFrame:

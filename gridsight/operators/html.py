@@ -42,19 +42,19 @@ def _last_value(items: Column, titles: list[str], title: str) -> Column:
             keep = keep & ~F.contains(head, F.lit(other))
         return keep
 
-    found = F.element_at(F.filter(items, wanted), -1)
-    return squeeze(F.regexp_extract(found, r"(?is)</strong>(.*)$", 1))
+    found = F.try_element_at(F.filter(items, wanted), F.lit(-1))
+    return squeeze(F.regexp_extract(found, r"(?is)</strong>([^<]*)", 1))
 
 
 def master_summary(pages: DataFrame, version: str = "3.0.3") -> DataFrame:
-    """H1: address, workers, cores, memory and status from a master page."""
+    """H1: address, workers, cores, memory and status from a master page; what a page lacks is null."""
     name = SUMMARY_CLASS.get(version, SUMMARY_CLASS["3.0.3"])
     block = F.regexp_extract("html", rf'(?is)<ul class="{name}">(.*?)</ul>', 1)
     titles = ["URL", "Cores", "Memory", "Workers", "Status"]
     listed = pages.select("page_id", F.regexp_extract_all(block, F.lit(ITEM), F.lit(1)).alias("items")).filter(
         F.size("items") > 0
     )
-    text = {title: F.try_element_at(F.array(_last_value(F.col("items"), titles, title)), F.lit(1)) for title in titles}
+    text = {title: _last_value(F.col("items"), titles, title) for title in titles}
     fields = listed.select("page_id", *[text[title].alias(title.lower()) for title in titles])
 
     def part(column: str, index: int, word: str) -> Column:

@@ -26,6 +26,11 @@ START_TRANSITIONS = {
     "terminated": "starting",
     "inactive": "starting",
 }
+# Where a service of its own reacts in another way.
+SERVICE_TRANSITIONS = {
+    ("hadoop", "terminated_with_errors"): "starting",
+    ("hadoop", "failed_while_downloading"): "downloading",
+}
 # Ports of the services of a sandbox option.
 SANDBOX_PORTS = {
     ("Spark Standalone", None): [(18080, "Spark History Server"), (8080, "Master Web UI")],
@@ -328,7 +333,10 @@ def next_state(clusters: DataFrame, command: str) -> DataFrame:
         after = F.lit("terminating")
     elif command == "start":
         table = F.create_map(*[F.lit(part) for pair in START_TRANSITIONS.items() for part in pair])
-        after = F.coalesce(F.try_element_at(table, F.col("status")), F.col("status"))
+        own = F.lit(None).cast("string")
+        for (service, status), state in SERVICE_TRANSITIONS.items():
+            own = F.when((F.col("service_name") == service) & (F.col("status") == status), state).otherwise(own)
+        after = F.coalesce(own, F.try_element_at(table, F.col("status")), F.col("status"))
     else:
         raise ValueError(f"unknown command {command!r}")
     return clusters.filter(_live()).select(

@@ -117,11 +117,11 @@ def bytes_to_decimal_size(size: str) -> str:
 
 
 def readable_size(size: str) -> str:
-    """X6, for amounts from 0 to below a pebibyte."""
+    """X6, for amounts from 0 to below a pebibyte: the first unit whose text, rounded to tenths, stays below 1024.0."""
     text = f"CASE WHEN {size} < 1024 THEN {size} || ' B'"
-    for step, letter in enumerate("KMGT"):
-        limit = 1152865209611504844 >> (40 - 10 * step)
-        text += f" WHEN {size} <= {limit} THEN {tenths(half_up(f'({size} >> {10 * step})', 1024, 10))} || ' {letter}B'"
+    for power, letter in enumerate("KMGT"):
+        rounded = f"((CAST({size} AS HUGEINT) // {1024**power}) * 20 + 1024) // 2048"
+        text += f" WHEN {rounded} < 10240 THEN {tenths(rounded)} || ' {letter}B'"
     return text + " END"
 
 

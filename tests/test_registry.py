@@ -182,3 +182,11 @@ def test_key_validity_and_tokens(spark, rows):
     tokens = spark.sql("SELECT 1 AS id, 7 AS member_id, timestamp_ntz'2024-01-10 00:00:00' AS expiry UNION ALL SELECT 2, 8, timestamp_ntz'2024-01-10 00:00:01'")
     result = members.unexpired_tokens(tokens, now())
     assert rows(result, "member_id") == [(8,)] and "id" not in result.columns
+
+
+def test_hadoop_starts_again_from_its_own_failures(spark):
+    states = [("hadoop", "terminated_with_errors"), ("hadoop", "failed_while_downloading"), ("spark", "terminated_with_errors")]
+    rows = [(place, service, state) for place, (service, state) in enumerate(states)]
+    live = spark.createDataFrame(rows, "id bigint, service_name string, status string")
+    found = registry.next_state(live, "start").orderBy("cluster_id").collect()
+    assert [row["next_status"] for row in found] == ["starting", "downloading", "downloading"]
