@@ -23,13 +23,14 @@ def fires(measured: Column, operator: Column, limit: Column) -> Column:
     return F.when(operator == ABOVE, measured > limit).when(operator == EQUALS, measured == limit)
 
 
-def alert_metrics(tasks: DataFrame) -> DataFrame:
-    """The five metrics of each job as rows, times in milliseconds.
+def alert_metrics(tasks: DataFrame, *context: Column) -> DataFrame:
+    """The five metrics of each job, and of each value of the context, as rows; times in milliseconds.
 
-    Formulas are ours: an application has succeeded (1) when no task failed;
-    its run time is first launch to last finish.
+    ``job_id`` is the platform's job, unique across applications. Formulas are
+    ours: a job has succeeded (1) when no task failed; its run time is first
+    launch to last finish.
     """
-    totals = tasks.groupBy("job_id").agg(
+    totals = tasks.groupBy(*context, "job_id").agg(
         F.when(F.count_if(F.col("state") == "failed") == 0, 1).otherwise(0).cast("bigint").alias("appFinalStatus"),
         (F.max(F.col("launch_ms") + F.col("duration_ms")) - F.min("launch_ms")).alias("appRuntime"),
         F.sum("duration_ms").alias("totalExecutorRuntime"),
@@ -37,7 +38,8 @@ def alert_metrics(tasks: DataFrame) -> DataFrame:
         F.max("duration_ms").alias("maxTaskRuntime"),
     )
     rows = F.array(*[F.struct(F.lit(name).alias("metric"), F.col(name).cast("bigint").alias("measured")) for name in METRICS])
-    return totals.select("job_id", F.inline(rows))
+    kept = [name for name in totals.columns if name not in METRICS]
+    return totals.select(*kept, F.inline(rows))
 
 
 def evaluate_alerts(metrics: DataFrame, rules: DataFrame) -> DataFrame:

@@ -166,7 +166,7 @@ def stage_list(tasks: DataFrame) -> DataFrame:
 
 
 def stage_summary(tasks: DataFrame) -> DataFrame:
-    """Least, mean (half up), greatest and total of ten task metrics per stage, in one pass."""
+    """Least, mean (half up), greatest and total of ten task metrics per stage of an application, in one pass."""
     measures = []
     for name in STAGE_METRICS:
         measures += [
@@ -175,7 +175,7 @@ def stage_summary(tasks: DataFrame) -> DataFrame:
             F.max(name).alias(f"{name}_max"),
             F.sum(name).alias(f"{name}_total"),
         ]
-    return tasks.groupBy("stage_id").agg(*measures)
+    return tasks.groupBy("app_id", "stage_id").agg(*measures)
 
 
 def stage_metric_rows(summary: DataFrame) -> DataFrame:
@@ -189,21 +189,23 @@ def stage_metric_rows(summary: DataFrame) -> DataFrame:
             for name in STAGE_METRICS
         ]
     )
-    return summary.select("stage_id", F.inline(rows))
+    return summary.select("app_id", "stage_id", F.inline(rows))
 
 
 def task_timeline(tasks: DataFrame) -> DataFrame:
-    """A10: total time of each task phase per stage."""
-    return tasks.groupBy("stage_id").agg(*[F.sum(name).alias(name) for name in PHASES])
+    """A10: total time of each task phase per stage of an application."""
+    return tasks.groupBy("app_id", "stage_id").agg(*[F.sum(name).alias(name) for name in PHASES])
 
 
 def executor_table(tasks: DataFrame, executors: DataFrame) -> DataFrame:
-    """Work and memory of each executor, and a row with the totals.
+    """Work and memory of each executor, and a row with the totals of each application.
 
-    Tasks are reduced per executor before the join, so the rollup sees one row
-    per executor. Memory used is a whole percent of the maximum.
+    Tasks are reduced per executor before the join, so the grouping sees one row
+    per executor; one known from either side alone counts too. Memory used is a
+    whole percent of the maximum.
     """
-    work = tasks.groupBy("executor_id").agg(
+    app, executor = F.col("app_id"), F.col("executor_id")
+    work = tasks.groupBy(app, executor).agg(
         _in_state("active").alias("active_tasks"),
         _in_state("failed").alias("failed_tasks"),
         _in_state("completed").alias("completed_tasks"),
@@ -216,7 +218,8 @@ def executor_table(tasks: DataFrame, executors: DataFrame) -> DataFrame:
         "cores", "max_memory", "used_memory", "disk_used", "active_tasks", "failed_tasks", "completed_tasks", "task_ms",
         "input_bytes", "shuffle_read_bytes", "shuffle_write_bytes",
     ]
-    total = executors.join(work, "executor_id", "full").rollup("executor_id").agg(
+    joined = executors.join(work, ["app_id", "executor_id"], "full")
+    total = joined.groupingSets([[app, executor], [app]], app, executor).agg(
         F.grouping("executor_id").cast("boolean").alias("is_total"),
         *[F.coalesce(F.sum(name), F.lit(0)).cast("bigint").alias(name) for name in sums],
     )

@@ -1,7 +1,7 @@
 """Log lines and errors.
 
 A line reads ``time||LEVEL||thread||class||message``. ``lines`` has log_offset
-(unique, in file order) and line; parsed logs add ts, level, thread,
+(unique, in file order, a number or any type with an order) and line; parsed logs add ts, level, thread,
 class_name and message.
 """
 
@@ -64,7 +64,7 @@ def search_logs(
     classes: Sequence[str] = (),
     start: Column | None = None,
     end: Column | None = None,
-    last_offset: int | None = None,
+    last_offset: Column | int | None = None,
     n: int | None = None,
 ) -> DataFrame:
     """L2: lines that contain the text and pass the filters, after an offset.

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parsing import parse_version
-from .folding import BLOCK_SIZE, fold_in_blocks
+from .counting import with_copies
 
 # The first words that make a statement an update.
 UPDATE_WORDS = ["create", "insert", "update", "delete", "drop"]
@@ -85,9 +85,9 @@ def parsed_versions(packages: DataFrame) -> DataFrame:
     )
 
 
-def package_versions(packages: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame:
-    """C4: versions of each package that are not deprecated."""
-    return fold_in_blocks(packages.filter(~F.col("is_deprecated")), ["name"], ["version"], "versions", block_size)
+def package_versions(packages: DataFrame) -> DataFrame:
+    """C4: versions of each package that are not deprecated, a row each."""
+    return with_copies(packages.filter(~F.col("is_deprecated")), ["name", "version"])
 
 
 def to_json_rows(rows: DataFrame) -> DataFrame:

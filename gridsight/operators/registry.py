@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from ..functions.names import normalise
 from ..functions.times import epoch_s, format_interval, time_elapsed
-from .folding import BLOCK_SIZE, fold_in_blocks
+from .counting import with_copies
+from .joins import join_reduced
 from .joins import join_reduced
 
 DELETED = "deleted"
@@ -39,6 +40,8 @@ SANDBOX_PORTS = {
     ],
     ("Spark on YARN", "spark"): [(18080, "Spark History Server")],
 }
+# Fixed value: ports that no browser can open.
+PORTS_WITHOUT_PAGE = [9000]
 
 
 def _live() -> Column:
@@ -69,7 +72,7 @@ def clusters_by_status(clusters: DataFrame, status: str, now: Column) -> DataFra
     return _view(clusters.filter(F.col("status") == status), now)
 
 
-def cluster_ids_by_service(clusters: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame:
+def cluster_ids_by_service(clusters: DataFrame, block_size: int = 1000) -> DataFrame:
     """Ids of the live clusters of each service, in blocks of neighbouring ids.
 
     Ids are unique, so a block holds at most ``block_size`` of them however
@@ -93,38 +96,19 @@ def union_services(service_tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def cluster_packages(
-    clusters: DataFrame,
-    service_tables: Mapping[str, DataFrame],
-    processes: DataFrame,
-    block_size: int = BLOCK_SIZE,
+    clusters: DataFrame, service_tables: Mapping[str, DataFrame], processes: DataFrame
 ) -> DataFrame:
-    """Live clusters with version, user configuration and processes.
-
-    One row per cluster; a cluster with more than ``block_size`` processes has
-    one row per block of them.
-    """
-    folded = fold_in_blocks(processes, ["cluster_id"], ["name", "host_ip", "port"], "processes", block_size)
+    """Processes of the live clusters, a row each, with version and user configuration of the cluster."""
     known = clusters.filter(_live()).select(
         F.col("id").alias("cluster_id"), "workspace_id", F.col("name").alias("cluster_name"), "status", "service_name"
     )
-    return (
-        known.join(union_services(service_tables), ["cluster_id", "service_name"])
-        .join(folded, "cluster_id")
-        .select(
-            "cluster_id",
-            "workspace_id",
-            "cluster_name",
-            "status",
-            "service_name",
-            "version",
-            "scala_version",
-            F.coalesce(
-                F.split("configuration_params", "\n"), F.array().cast("array<string>")
-            ).alias("user_config"),
-            "block",
-            "processes",
-        )
+    config = F.coalesce(F.split("configuration_params", "\n"), F.array().cast("array<string>"))
+    described = known.join(union_services(service_tables), ["cluster_id", "service_name"]).select(
+        "cluster_id", "workspace_id", "cluster_name", "status", "service_name", "version", "scala_version",
+        config.alias("user_config"),
     )
+    counted = with_copies(processes, ["cluster_id", "name", "host_ip", "port"]).withColumnRenamed("name", "process_name")
+    return join_reduced(counted, described, ["cluster_id"])
 
 
 def cluster_info(
@@ -161,19 +145,13 @@ def find_process(processes: DataFrame, clusters: DataFrame, pattern: str) -> Dat
     )
 
 
-def host_inventory(hosts: DataFrame, clusters: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame:
-    """Hosts of each workspace with the services of their live clusters.
-
-    The array is split into blocks when a host serves more than ``block_size``
-    clusters.
-    """
+def host_inventory(hosts: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Hosts of each workspace with the services of their live clusters, a row per host and service."""
     served = clusters.filter(_live()).select(
         F.col("id").alias("cluster_id"), "workspace_id", "service_name", "service_version"
     )
     parts = hosts.select("name", "cluster_id").withColumnRenamed("name", "host").join(served, "cluster_id")
-    return fold_in_blocks(
-        parts, ["workspace_id", "host"], ["cluster_id", "service_name", "service_version"], "components", block_size
-    )
+    return with_copies(parts, ["workspace_id", "host", "cluster_id", "service_name", "service_version"])
 
 
 def quota_check(clusters: DataFrame, workspaces: DataFrame, plans: DataFrame) -> DataFrame:
@@ -344,31 +322,27 @@ def next_state(clusters: DataFrame, command: str) -> DataFrame:
     )
 
 
-def cluster_state(
-    clusters: DataFrame, apps: DataFrame, nodes: DataFrame, block_size: int = BLOCK_SIZE
-) -> DataFrame:
-    """Applications of each cluster by outcome, and its nodes.
+def cluster_state(clusters: DataFrame, apps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Nodes of each cluster, a row each, with the cluster's applications by outcome.
 
     Formulas are ours: running applications are active, ``completed`` and
-    ``succeeded`` are completed, ``failed`` is failed. Nodes come in blocks.
+    ``succeeded`` are completed, ``failed`` is failed. A cluster without nodes
+    has one row whose node columns are null.
     """
     counted = apps.groupBy("cluster_id").agg(
         F.count_if(F.col("status") == "running").alias("active_apps"),
         F.count_if(F.col("status").isin("completed", "succeeded")).alias("completed_apps"),
         F.count_if(F.col("status") == "failed").alias("failed_apps"),
     )
-    folded = fold_in_blocks(nodes, ["cluster_id"], ["node_id", "host", "cpu_cores", "memory"], "nodes", block_size)
     zero = F.lit(0).cast("bigint")
     return (
         clusters.select(F.col("id").alias("cluster_id"))
         .join(counted, "cluster_id", "left")
-        .join(folded.select("cluster_id", "block", "nodes"), "cluster_id", "left")
         .select(
             "cluster_id",
             *[F.coalesce(name, zero).alias(name) for name in ["active_apps", "completed_apps", "failed_apps"]],
-            F.coalesce("block", zero).alias("block"),
-            F.coalesce("nodes", F.array().cast(folded.schema["nodes"].dataType)).alias("nodes"),
         )
+        .join(with_copies(nodes, ["cluster_id", "node_id", "host", "cpu_cores", "memory"]), "cluster_id", "left")
     )
 
 
@@ -388,7 +362,7 @@ SERVICE_OPTIONS = T.ArrayType(
 
 
 def sandbox_options(sandboxes: DataFrame, repository: str) -> DataFrame:
-    """Service options of each sandbox version, with image name and ports.
+    """Service options of each sandbox version, with image name and named ports.
 
     The image is named after the services of the option, ordered by first letter.
     """
@@ -411,12 +385,18 @@ def sandbox_options(sandboxes: DataFrame, repository: str) -> DataFrame:
         "sandbox_id", "version", F.col("option.id").alias("option_id"), image.alias("image"),
         F.explode("option.services").alias("service"),
     )
-    ports = F.lit(None).cast("string")
+    ports = F.lit(None)
     for (option, service), numbers in SANDBOX_PORTS.items():
         matches = F.lower("option_id") == option.lower()
         if service is not None:
             matches = matches & (F.lower("service.name") == service)
-        ports = F.when(matches, F.lit(",".join(str(number) for number, _ in numbers))).otherwise(ports)
+        known = [
+            F.struct(
+                F.lit(number).alias("port"), F.lit(name).alias("name"), F.lit(number not in PORTS_WITHOUT_PAGE).alias("has_page")
+            )
+            for number, name in numbers
+        ]
+        ports = F.when(matches, F.array(*known)).otherwise(ports)
     return rows.select(
         "sandbox_id",
         "version",

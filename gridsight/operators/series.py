@@ -19,16 +19,17 @@ OFFHEAP_REGIONS = ["metaspace", "code_cache", "compressed_class"]
 
 
 def executors_overview(samples: DataFrame) -> DataFrame:
-    """Executors, peak memory, allocation and storage of each worker, and the totals.
+    """Executors, peak memory, allocation and storage of each worker, and the totals of each application.
 
     The peak is the largest single sample, the allocation the sum of each
     executor's maximum, storage the sum of each executor's largest use. The
     worker rows are the list of workers.
     """
-    per_executor = samples.groupBy("worker_id", "executor_id").agg(
+    per_executor = samples.groupBy("app_id", "worker_id", "executor_id").agg(
         F.max("used").alias("used"), F.max("max_memory").alias("max_memory")
     )
-    return per_executor.rollup("worker_id").agg(
+    app, worker = F.col("app_id"), F.col("worker_id")
+    return per_executor.groupingSets([[app, worker], [app]], app, worker).agg(
         F.grouping("worker_id").cast("boolean").alias("is_total"),
         F.count_distinct("executor_id").alias("executors"),
         F.max("used").alias("peak_used"),
@@ -43,17 +44,18 @@ def worker_memory_series(samples: DataFrame) -> DataFrame:
     Samples are reduced to the largest use per hour first, so an array has at
     most 24 points however many samples there are.
     """
-    hourly = samples.groupBy("worker_id", "executor_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(
+    executor = ["app_id", "worker_id", "executor_id"]
+    hourly = samples.groupBy(*executor, F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(
         F.max("used").alias("used")
     )
-    return hourly.groupBy("worker_id", "executor_id", F.to_date("hour").alias("day")).agg(
+    return hourly.groupBy(*executor, F.to_date("hour").alias("day")).agg(
         F.sort_array(F.collect_list(F.struct("hour", "used"))).alias("points")
     )
 
 
 def executor_summary(samples: DataFrame) -> DataFrame:
-    """Memory limit, mean use and mean CPU of each executor, rounded half up."""
-    return samples.groupBy("executor_id").agg(
+    """Memory limit, mean use and mean CPU of each executor of an application, rounded half up."""
+    return samples.groupBy("app_id", "executor_id").agg(
         F.max("max_memory").alias("max_memory"),
         int_mean(F.sum("used"), F.count("used")).alias("avg_used"),
         int_mean(F.sum("executor_cpu"), F.count("executor_cpu")).alias("avg_cpu"),

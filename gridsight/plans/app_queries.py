@@ -99,7 +99,11 @@ def _measures(name: str) -> str:
     )
 
 
-@query("A8", "SELECT stage_id, " + ", ".join(_measures(name) for name in apps.STAGE_METRICS) + " FROM tasks GROUP BY stage_id", ["tasks"])
+@query(
+    "A8",
+    "SELECT app_id, stage_id, " + ", ".join(_measures(name) for name in apps.STAGE_METRICS) + " FROM tasks GROUP BY app_id, stage_id",
+    ["tasks"],
+)
 def stage_summary(spark, folder):
     return apps.stage_summary(b.tasks(spark, folder))
 
@@ -107,8 +111,8 @@ def stage_summary(spark, folder):
 @query(
     "A9",
     " UNION ALL ".join(
-        f"SELECT stage_id, '{name}' AS name, min({name}) AS min, {mean(f'sum({name})', 'count(*)')} AS mean, max({name}) AS max, "
-        f"CAST(sum({name}) AS BIGINT) AS total FROM tasks GROUP BY stage_id"
+        f"SELECT app_id, stage_id, '{name}' AS name, min({name}) AS min, {mean(f'sum({name})', 'count(*)')} AS mean, max({name}) AS max, "
+        f"CAST(sum({name}) AS BIGINT) AS total FROM tasks GROUP BY app_id, stage_id"
         for name in apps.STAGE_METRICS
     ),
     ["tasks"],
@@ -119,7 +123,9 @@ def stage_metric_rows(spark, folder):
 
 @query(
     "A10",
-    "SELECT stage_id, " + ", ".join(f"CAST(sum({name}) AS BIGINT) AS {name}" for name in apps.PHASES) + " FROM tasks GROUP BY stage_id",
+    "SELECT app_id, stage_id, "
+    + ", ".join(f"CAST(sum({name}) AS BIGINT) AS {name}" for name in apps.PHASES)
+    + " FROM tasks GROUP BY app_id, stage_id",
     ["tasks"],
 )
 def task_timeline(spark, folder):
@@ -132,14 +138,14 @@ _EXECUTOR = ["cores", "max_memory", "used_memory", "disk_used", "active_tasks",
 
 @query(
     "A11",
-    f"SELECT *, {mean('used_memory * 100', 'max_memory')} AS memory_percent FROM (SELECT executor_id, grouping(executor_id) = 1 AS is_total, "
+    f"SELECT *, {mean('used_memory * 100', 'max_memory')} AS memory_percent FROM (SELECT app_id, executor_id, grouping(executor_id) = 1 AS is_total, "
     + ", ".join(f"CAST(coalesce(sum({name}), 0) AS BIGINT) AS {name}" for name in _EXECUTOR)
-    + " FROM (SELECT DISTINCT s_suppkey % 9 AS executor_id, s_suppkey % 9 % 4 + 1 AS cores, (s_suppkey % 9 + 1) * 1000000 AS max_memory, "
-    "(s_suppkey % 9 + 1) * 123456 AS used_memory, s_suppkey % 9 * 777 AS disk_used FROM supplier) LEFT JOIN (SELECT executor_id, "
+    + " FROM (SELECT DISTINCT s_suppkey % 6 AS app_id, s_suppkey % 9 AS executor_id, s_suppkey % 9 % 4 + 1 AS cores, (s_suppkey % 9 + 1) * 1000000 AS max_memory, "
+    "(s_suppkey % 9 + 1) * 123456 AS used_memory, s_suppkey % 9 * 777 AS disk_used FROM supplier) FULL JOIN (SELECT app_id, executor_id, "
     "count(*) FILTER (state = 'active') AS active_tasks, count(*) FILTER (state = 'failed') AS failed_tasks, count(*) FILTER "
     "(state = 'completed') AS completed_tasks, sum(duration_ms) AS task_ms, sum(input_bytes) AS input_bytes, sum(shuffle_read_bytes) AS "
-    "shuffle_read_bytes, sum(shuffle_write_bytes) AS shuffle_write_bytes FROM tasks GROUP BY executor_id) USING (executor_id) "
-    "GROUP BY ROLLUP (executor_id))",
+    "shuffle_read_bytes, sum(shuffle_write_bytes) AS shuffle_write_bytes FROM tasks GROUP BY ALL) USING (app_id, executor_id) "
+    "GROUP BY GROUPING SETS ((app_id, executor_id), (app_id)))",
     ["tasks"],
 )
 def executor_table(spark, folder):
@@ -148,9 +154,10 @@ def executor_table(spark, folder):
 
 @query(
     "A12",
-    "SELECT worker_id, grouping(worker_id) = 1 AS is_total, count(DISTINCT executor_id) AS executors, max(used) AS peak_used, "
-    "CAST(sum(max_memory) AS BIGINT) AS allocated, CAST(sum(used) AS BIGINT) AS storage_used FROM (SELECT worker_id, executor_id, "
-    "max(used) AS used, max(max_memory) AS max_memory FROM samples GROUP BY ALL) GROUP BY ROLLUP (worker_id)",
+    "SELECT app_id, worker_id, grouping(worker_id) = 1 AS is_total, count(DISTINCT executor_id) AS executors, max(used) AS peak_used, "
+    "CAST(sum(max_memory) AS BIGINT) AS allocated, CAST(sum(used) AS BIGINT) AS storage_used FROM (SELECT app_id, worker_id, "
+    "executor_id, max(used) AS used, max(max_memory) AS max_memory FROM samples GROUP BY ALL) GROUP BY GROUPING SETS "
+    "((app_id, worker_id), (app_id))",
     ["samples"],
 )
 def executors_overview(spark, folder):
@@ -159,8 +166,8 @@ def executors_overview(spark, folder):
 
 @query(
     "A13",
-    "SELECT worker_id, executor_id, CAST(hour AS DATE) AS day, string_agg(strftime(hour, '%Y-%m-%d %H:%M:%S') || '=' || used, ',' "
-    "ORDER BY hour) AS points FROM (SELECT worker_id, executor_id, date_trunc('hour', ts) AS hour, max(used) AS used FROM samples "
+    "SELECT app_id, worker_id, executor_id, CAST(hour AS DATE) AS day, string_agg(strftime(hour, '%Y-%m-%d %H:%M:%S') || '=' || used, ',' "
+    "ORDER BY hour) AS points FROM (SELECT app_id, worker_id, executor_id, date_trunc('hour', ts) AS hour, max(used) AS used FROM samples "
     "GROUP BY ALL) GROUP BY ALL",
     ["samples"],
 )
@@ -174,8 +181,8 @@ def worker_memory_series(spark, folder):
 
 @query(
     "A14",
-    f"SELECT executor_id, max(max_memory) AS max_memory, {mean('sum(used)', 'count(used)')} AS avg_used, "
-    f"{mean('sum(executor_cpu)', 'count(executor_cpu)')} AS avg_cpu FROM samples GROUP BY executor_id",
+    f"SELECT app_id, executor_id, max(max_memory) AS max_memory, {mean('sum(used)', 'count(used)')} AS avg_used, "
+    f"{mean('sum(executor_cpu)', 'count(executor_cpu)')} AS avg_cpu FROM samples GROUP BY app_id, executor_id",
     ["samples"],
 )
 def executor_summary(spark, folder):
@@ -289,11 +296,13 @@ def series_range(spark, folder):
 
 
 _STATES = ", ".join(f"count(*) FILTER (state = '{state}') AS {state}_tasks" for state in apps.STATES)
+_COUNTED = ", ".join(f"coalesce({state}_tasks, 0) AS {state}_tasks" for state in apps.STATES)
 
 
 @query(
     "A21",
-    f"SELECT * FROM (SELECT app_id, {_STATES} FROM tasks GROUP BY app_id) LEFT JOIN (SELECT app_id, max(executor_cpu) AS cpu_peak, "
+    f"SELECT app_id, {_COUNTED}, cpu_peak, cpu_avg, memory_peak, memory_avg FROM (SELECT app_id, {_STATES} FROM tasks GROUP BY app_id) "
+    "FULL JOIN (SELECT app_id, max(executor_cpu) AS cpu_peak, "
     f"{mean('sum(executor_cpu)', 'count(executor_cpu)')} AS cpu_avg, max(used) AS memory_peak, {mean('sum(used)', 'count(used)')} AS "
     "memory_avg FROM samples GROUP BY app_id) USING (app_id)",
     ["tasks", "samples"],

@@ -219,7 +219,7 @@ BINDINGS: dict[str, tuple[list[str], str]] = {
     ),
     "tasks": (
         [],
-        "SELECT (l_orderkey % 40) // 8 AS app_id, (l_orderkey % 40) // 4 AS job_id, l_orderkey % 40 AS stage_id, "
+        "SELECT (l_orderkey % 40) // 8 AS app_id, (l_orderkey % 40) // 4 AS job_id, l_orderkey % 8 AS stage_id, "
         f"l_suppkey % 8 AS executor_id, (epoch_us(l_shipdate) // 1000) AS launch_ms, {rounded('l_quantity * 1000')} AS duration_ms, "
         f"{rounded('l_tax * 10000')} AS gc_ms, {rounded('l_extendedprice * 100')} AS input_bytes, "
         "CAST(l_linenumber AS BIGINT) AS input_records, l_partkey * 10 AS output_bytes, "
@@ -232,7 +232,7 @@ BINDINGS: dict[str, tuple[list[str], str]] = {
     ),
     "samples": (
         [],
-        "SELECT user_id % 5 AS app_id, user_id % 8 % 3 AS worker_id, user_id % 8 AS executor_id, ts, "
+        "SELECT user_id % 6 AS app_id, user_id % 8 % 3 AS worker_id, user_id % 8 AS executor_id, ts, "
         f"{rounded('value * 100')} AS used, CAST(60000 AS BIGINT) AS max_memory, CASE event_type WHEN 'click' THEN 'eden' "
         "WHEN 'view' THEN 'old' WHEN 'purchase' THEN 'survivor' WHEN 'signup' THEN 'metaspace' ELSE 'code_cache' END AS region, "
         f"user_id % 8 + 1 AS cores, user_id % 5 AS tasks, CASE WHEN user_id % 2 = 0 THEN {rounded('value')} % 100 END AS executor_cpu, "

@@ -600,14 +600,14 @@ def history(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tasks_of(lineitem: DataFrame) -> DataFrame:
-    """One row per task. Stages 0 to 39, four to a job, two jobs to an application."""
+    """One row per task. Five applications of two jobs and eight stages; stages and executors count from 0 in each."""
     stage = F.col("l_orderkey") % 40
     duration = rounded(F.col("l_quantity") * 1000)
     line = F.col("l_linenumber").cast("bigint")
     return lineitem.select(
         F.call_function("div", stage, F.lit(8)).alias("app_id"),
         F.call_function("div", stage, F.lit(4)).alias("job_id"),
-        stage.alias("stage_id"),
+        (stage % 8).alias("stage_id"),
         (F.col("l_suppkey") % 8).alias("executor_id"),
         epoch_ms("l_shipdate").alias("launch_ms"),
         duration.alias("duration_ms"),
@@ -639,8 +639,11 @@ def tasks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def executors(spark: SparkSession, folder: str) -> DataFrame:
-    ids = table(spark, folder, "supplier").select((F.col("s_suppkey") % 9).alias("executor_id")).distinct()
-    return ids.select(
+    """Some executors of six applications; tasks know others, and none of the last application."""
+    supplier = F.col("s_suppkey")
+    ids = table(spark, folder, "supplier").select((supplier % 6).alias("app_id"), (supplier % 9).alias("executor_id"))
+    return ids.distinct().select(
+        "app_id",
         "executor_id",
         (F.col("executor_id") % 4 + 1).alias("cores"),
         ((F.col("executor_id") + 1) * 1000000).alias("max_memory"),
@@ -657,7 +660,7 @@ def samples_of(events: DataFrame) -> DataFrame:
     regions = F.create_map(*[F.lit(part) for pair in REGION_OF_EVENT.items() for part in pair])
     cpu = rounded(F.col("value")) % 100
     return events.select(
-        (user % 5).alias("app_id"),
+        (user % 6).alias("app_id"),
         (user % 8 % 3).alias("worker_id"),
         (user % 8).alias("executor_id"),
         "ts",

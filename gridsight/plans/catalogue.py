@@ -46,10 +46,3 @@ def query(covers: str, check: str | None = None, uses: Sequence[str] = ()) -> Ca
 def listed(values: Column, separator: str = ",") -> Column:
     """An array as text, so that both engines can be compared on it."""
     return F.array_join(F.transform(values, lambda value: value.cast("string")), separator)
-
-
-def listed_structs(values: Column, fields: Sequence[str], separator: str = ",") -> Column:
-    """An array of structs as text, fields joined by colons."""
-    return F.array_join(
-        F.transform(values, lambda value: F.concat_ws(":", *[value[field].cast("string") for field in fields])), separator
-    )

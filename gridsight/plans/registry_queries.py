@@ -7,7 +7,7 @@ from ..functions.times import moment
 from ..operators import members, query as query_ops, registry
 from . import bindings as b
 from .binding_sql import NOW, elapsed, interval_ms, interval_ms_days, interval_s, pick
-from .catalogue import listed, listed_structs, query
+from .catalogue import listed, query
 
 _VIEW = (
     "SELECT id AS cluster_id, workspace_id, name, service_name, service_version, provider_cluster_id, provider, status, "
@@ -38,22 +38,17 @@ def cluster_ids_by_service(spark, folder):
 
 @query(
     "R4",
-    "SELECT c.id AS cluster_id, workspace_id, c.name AS cluster_name, c.status, service_name, version, scala_version, "
-    "coalesce(replace(configuration_params, chr(10), '|'), '') AS user_config, CAST(0 AS BIGINT) AS block, processes FROM clusters c "
-    "JOIN services s ON s.cluster_id = c.id AND s.service_name = c.service_name JOIN (SELECT cluster_id, string_agg(name || ':' || "
-    "host_ip || ':' || port || ':' || n, ',' ORDER BY name, host_ip, port) AS processes FROM (SELECT cluster_id, name, host_ip, port, "
-    "count(*) AS n FROM processes GROUP BY ALL) GROUP BY cluster_id) p ON p.cluster_id = c.id WHERE c.status <> 'deleted'".replace(
-        "status, service_name,", "status, c.service_name,"
-    ),
+    "SELECT cluster_id, workspace_id, c.name AS cluster_name, c.status, c.service_name, version, scala_version, "
+    "coalesce(replace(configuration_params, chr(10), '|'), '') AS user_config, p.name AS process_name, host_ip, port, count(*) AS copies "
+    "FROM processes p JOIN services s USING (cluster_id) JOIN clusters c ON c.id = cluster_id AND c.service_name = s.service_name "
+    "WHERE c.status <> 'deleted' GROUP BY ALL",
     ["clusters", "services", "processes"],
 )
 def cluster_packages(spark, folder):
     result = registry.cluster_packages(
         b.clusters(spark, folder), b.service_tables(spark, folder), b.processes(spark, folder)
     )
-    return result.withColumn("user_config", listed(F.col("user_config"), "|")).withColumn(
-        "processes", listed_structs(F.col("processes"), ["name", "host_ip", "port", "copies"])
-    )
+    return result.withColumn("user_config", listed(F.col("user_config"), "|"))
 
 
 @query(
@@ -82,14 +77,12 @@ def find_process(spark, folder):
 
 @query(
     "R7",
-    "SELECT workspace_id, 'host-' || workspace_id AS host, count(*) AS item_count, CAST(0 AS BIGINT) AS block, string_agg(id || ':' || "
-    "service_name || ':' || service_version || ':1', ',' ORDER BY id) AS components FROM clusters WHERE status <> 'deleted' GROUP BY 1",
+    "SELECT workspace_id, 'host-' || workspace_id AS host, id AS cluster_id, service_name, service_version, CAST(1 AS BIGINT) AS copies "
+    "FROM clusters WHERE status <> 'deleted'",
     ["clusters"],
 )
 def host_inventory(spark, folder):
-    result = registry.host_inventory(b.hosts(spark, folder), b.clusters(spark, folder))
-    fields = ["cluster_id", "service_name", "service_version", "copies"]
-    return result.withColumn("components", listed_structs(F.col("components"), fields))
+    return registry.host_inventory(b.hosts(spark, folder), b.clusters(spark, folder))
 
 
 @query(
@@ -330,15 +323,15 @@ def login_directory(spark, folder):
 
 @query(
     "R23",
-    "SELECT id AS cluster_id, count(*) FILTER (o_orderstatus = 'O') AS active_apps, count(*) FILTER (o_orderstatus = 'F') AS "
-    "completed_apps, count(*) FILTER (o_orderstatus = 'P') AS failed_apps, CAST(0 AS BIGINT) AS block, CASE WHEN id IN (SELECT s_suppkey "
-    "FROM supplier) THEN 'n' || id || '-0:host-' || (id % 40) || ':' || (id % 8 + 1) || ':1073741824:1,n' || id || '-1:host-' || "
-    "(id % 40) || ':' || (id % 8 + 1) || ':2147483648:1' ELSE '' END AS nodes FROM clusters LEFT JOIN orders ON o_custkey = id GROUP BY id",
+    "SELECT cluster_id, active_apps, completed_apps, failed_apps, node_id, host, cpu_cores, memory, copies FROM (SELECT id AS cluster_id, "
+    "count(*) FILTER (o_orderstatus = 'O') AS active_apps, count(*) FILTER (o_orderstatus = 'F') AS completed_apps, count(*) FILTER "
+    "(o_orderstatus = 'P') AS failed_apps FROM clusters LEFT JOIN orders ON o_custkey = id GROUP BY id) LEFT JOIN (SELECT s_suppkey AS "
+    "cluster_id, 'n' || s_suppkey || '-' || k AS node_id, 'host-' || (s_suppkey % 40) AS host, s_suppkey % 8 + 1 AS cpu_cores, "
+    "(k + 1) * CAST(1073741824 AS BIGINT) AS memory, CAST(1 AS BIGINT) AS copies FROM supplier, (VALUES (0), (1)) v(k)) USING (cluster_id)",
     ["clusters"],
 )
 def cluster_state(spark, folder):
-    result = registry.cluster_state(b.clusters(spark, folder), b.cluster_apps(spark, folder), b.cluster_nodes(spark, folder))
-    return result.withColumn("nodes", listed_structs(F.col("nodes"), ["node_id", "host", "cpu_cores", "memory", "copies"]))
+    return registry.cluster_state(b.clusters(spark, folder), b.cluster_apps(spark, folder), b.cluster_nodes(spark, folder))
 
 
 @query(
@@ -346,12 +339,17 @@ def cluster_state(spark, folder):
     "SELECT p_partkey AS sandbox_id, 'v' || (p_partkey % 5) AS version, option_id, image || ':v' || (p_partkey % 5) AS image, "
     "service_name, CASE WHEN option_id = 'Spark Standalone' THEN '3.' || (p_partkey % 4) || '.0' WHEN service_name = 'spark' THEN "
     "'3.2.0' ELSE '3.3.' || (p_partkey % 3) END AS service_version, ports FROM part JOIN (VALUES "
-    "('Spark Standalone', 'registry/spark', 'spark', '18080,8080'), ('Spark on YARN', 'registry/hadoop-spark', 'spark', '18080'), "
-    "('Spark on YARN', 'registry/hadoop-spark', 'hadoop', '8088,50070,50075,9000')) v(option_id, image, service_name, ports) "
+    "('Spark Standalone', 'registry/spark', 'spark', '18080 Spark History Server true,8080 Master Web UI true'), "
+    "('Spark on YARN', 'registry/hadoop-spark', 'spark', '18080 Spark History Server true'), "
+    "('Spark on YARN', 'registry/hadoop-spark', 'hadoop', '8088 Resource Manager true,50070 HDFS Web UI true,50075 Data Node true,"
+    "9000 HDFS Service false')) v(option_id, image, service_name, ports) "
     "ON option_id = 'Spark Standalone' OR p_partkey % 2 = 0",
 )
 def sandbox_options(spark, folder):
-    return registry.sandbox_options(b.sandboxes(spark, folder), "registry")
+    result = registry.sandbox_options(b.sandboxes(spark, folder), "registry")
+    fields = ["port", "name", "has_page"]
+    ports = F.transform("ports", lambda entry: F.concat_ws(" ", *[entry[field].cast("string") for field in fields]))
+    return result.withColumn("ports", listed(ports))
 
 
 @query(
@@ -390,13 +388,11 @@ def parsed_versions(spark, folder):
 
 @query(
     "C4",
-    "SELECT name, count(*) AS item_count, CAST(0 AS BIGINT) AS block, string_agg(version || ':' || n, ',' ORDER BY version) AS versions "
-    "FROM (SELECT name, version, count(*) AS n FROM packages WHERE NOT is_deprecated GROUP BY ALL) GROUP BY name",
+    "SELECT name, version, count(*) AS copies FROM packages WHERE NOT is_deprecated GROUP BY ALL",
     ["packages"],
 )
 def package_versions(spark, folder):
-    result = query_ops.package_versions(b.packages(spark, folder), 100000)
-    return result.withColumn("versions", listed_structs(F.col("versions"), ["version", "copies"]))
+    return query_ops.package_versions(b.packages(spark, folder))
 
 
 @query(

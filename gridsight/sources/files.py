@@ -85,19 +85,24 @@ YARN_NODES = T.StructType(
 )
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme and authority of its store, as listings spell it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
 def read_file_listing(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
-    """Name, size and modification time of the files below a path.
+    """Name, size and modification time of the files below a path, which is a folder.
 
-    The content column is pruned, so no file is opened. Object stores list no
-    owner here.
+    Names are relative to the path. The content column is pruned, so no file is
+    opened. Object stores list no owner here, and empty folders do not show.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob)
-    base = path.rstrip("/") + "/"
-    name = F.regexp_replace("path", "^[a-z0-9]+:/*(?=/)", "")
+    base = qualified(spark, path).rstrip("/") + "/"
     return reader.load(path).select(
-        F.replace(name, F.lit(base), F.lit("")).alias("name"),
+        F.substring("path", F.lit(len(base) + 1), F.length("path")).alias("name"),
         F.col("length").alias("size"),
         F.unix_seconds("modificationTime").alias("last_modified"),
         F.lit(None).cast("string").alias("owner"),
@@ -167,13 +172,18 @@ def read_html_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Log lines with their file and the start of the split they were read from."""
-    lines = spark.read.text(path)
-    return lines.select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-        F.col("value").alias("line"),
+    """Log lines with their offset, ready for L1 to L4.
+
+    An offset is a struct of file, start of the split and place among the lines
+    the task read, so it is unique and in file order. No line moves to be
+    numbered. Places repeat only while files and split size stay the same, so
+    the pages of a search belong to one set of files.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    offset = F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block_start"), place.alias("place")
     )
+    return spark.read.text(path).select(offset.alias("log_offset"), F.col("value").alias("line"))
 
 
 def write_json_rows(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:

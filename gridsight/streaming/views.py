@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 from ..functions.numbers import percent
 from ..functions.parsing import parse_progress
 from ..functions.sizes import bytes_to_size
-from ..operators.alerts import evaluate_alerts
+from ..operators.alerts import alert_metrics, evaluate_alerts
 from ..operators.kafka import latest_window
 from ..operators.registry import process_counts, rollup_expression
 from . import restarts, transitions
@@ -116,22 +116,7 @@ def alert_stream(tasks: DataFrame, rules: DataFrame, size: str, delay: str = "0
     are a table read once per micro-batch; the join is on job and metric.
     """
     timed = tasks.withColumn("at", F.timestamp_millis("launch_ms")).withWatermark("at", delay)
-    totals = timed.groupBy(F.window("at", size).alias("span"), "job_id").agg(
-        F.count_if(F.col("state") == "failed").alias("failures"),
-        (F.max(F.col("launch_ms") + F.col("duration_ms")) - F.min("launch_ms")).alias("appRuntime"),
-        F.sum("duration_ms").alias("totalExecutorRuntime"),
-        F.sum("gc_ms").alias("totalJVMGCtime"),
-        F.max("duration_ms").alias("maxTaskRuntime"),
-    )
-    succeeded = F.when(F.col("failures") == 0, 1).otherwise(0).cast("bigint")
-    rows = F.array(
-        F.struct(F.lit("appFinalStatus").alias("metric"), succeeded.alias("measured")),
-        *[
-            F.struct(F.lit(name).alias("metric"), F.col(name).cast("bigint").alias("measured"))
-            for name in ("appRuntime", "totalExecutorRuntime", "totalJVMGCtime", "maxTaskRuntime")
-        ],
-    )
-    metrics = totals.select("span", "job_id", F.inline(rows))
+    metrics = alert_metrics(timed, F.window("at", size).alias("span"))
     fired = evaluate_alerts(metrics, rules)
     return fired.select(
         wall_clock(F.col("span.start")).alias("window_start"),

@@ -61,13 +61,31 @@ def test_jobs_and_attempts(tasks, rows):
 
 def test_stage_summary_as_rows(tasks, rows):
     found = apps.stage_metric_rows(apps.stage_summary(tasks)).filter("stage_id = 1 AND name = 'duration_ms'")
-    assert rows(found) == [(1, "duration_ms", 1000, 1501, 2001, 3001)]
+    assert rows(found) == [(1, 1, "duration_ms", 1000, 1501, 2001, 3001)]
+
+
+def test_stages_and_executors_of_two_applications_stay_apart(spark, rows):
+    both = tasks_of(spark, [(1, 1, 0, 0, 0, 100, 1, "completed"), (2, 2, 0, 0, 0, 900, 1, "failed")])
+    assert rows(apps.stage_summary(both), "app_id", "stage_id", "duration_ms_min", "duration_ms_max") == [(1, 0, 100, 100), (2, 0, 900, 900)]
+    assert rows(apps.task_timeline(both.withColumn("compute", F.col("duration_ms"))), "app_id", "compute") == [(1, 100), (2, 900)]
+    executors = spark.createDataFrame(
+        [(1, 0, 2, 100, 50, 1)], "app_id bigint, executor_id bigint, cores bigint, max_memory bigint, used_memory bigint, disk_used bigint"
+    )
+    table = apps.executor_table(both, executors).filter("NOT is_total")
+    assert rows(table, "app_id", "executor_id", "cores", "failed_tasks", "task_ms") == [(1, 0, 2, 0, 100), (2, 0, 0, 1, 900)]
+    samples = spark.sql(
+        "SELECT a AS app_id, 0 AS worker_id, 0 AS executor_id, timestamp_ntz'2024-01-01 00:10:00' AS ts, u AS used, 100L AS max_memory, "
+        "CAST(NULL AS BIGINT) AS executor_cpu FROM VALUES (1, 10L), (2, 30L) AS v(a, u)"
+    )
+    assert rows(series.executors_overview(samples).filter("is_total"), "app_id", "executors", "storage_used") == [(1, 1, 10), (2, 1, 30)]
+    assert rows(series.executor_summary(samples), "app_id", "avg_used") == [(1, 10), (2, 30)]
+    assert series.worker_memory_series(samples).count() == 2
 
 
 def test_executor_table_has_a_total(spark, tasks, rows):
     executors = spark.createDataFrame(
-        [(1, 2, 100, 50, 1), (2, 4, 100, 25, 1), (3, 4, 0, 0, 0)],
-        "executor_id bigint, cores bigint, max_memory bigint, used_memory bigint, disk_used bigint",
+        [(1, 1, 2, 100, 50, 1), (1, 2, 4, 100, 25, 1), (1, 3, 4, 0, 0, 0)],
+        "app_id bigint, executor_id bigint, cores bigint, max_memory bigint, used_memory bigint, disk_used bigint",
     )
     table = apps.executor_table(tasks, executors)
     assert rows(table, "executor_id", "is_total", "cores", "completed_tasks", "task_ms", "memory_percent") == [

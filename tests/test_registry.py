@@ -1,11 +1,13 @@
 from datetime import datetime
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from check_queries import compare
 from gridsight.functions.times import moment
 from gridsight.operators import members, registry
-from gridsight.operators.folding import fold_in_blocks
+from gridsight.operators.counting import with_copies
 
 
 def now():
@@ -105,21 +107,34 @@ def test_next_state(spark, clusters, rows):
         registry.next_state(clusters, "explode")
 
 
-def test_folding_splits_a_hot_key_and_keeps_every_row(spark):
-    hot = spark.range(5000).select(F.lit("hot").alias("k"), F.col("id").alias("v"))
-    copies = spark.range(3000).select(F.lit("copies").alias("k"), F.lit(7).cast("bigint").alias("v"))
-    nothing = spark.range(1200).select(F.lit(None).cast("string").alias("k"), F.col("id").alias("v"))
-    small = spark.createDataFrame([("small", 2), ("small", 1)], "k string, v bigint")
-    folded = fold_in_blocks(hot.union(copies).union(nothing).union(small), ["k"], ["v"], "items", 100).collect()
-    by_key = {}
-    for row in folded:
-        by_key.setdefault(row["k"], []).append(row)
-    assert len(by_key["hot"]) == 50 and len(by_key["small"]) == 1 and len(by_key["copies"]) == 1 and len(by_key[None]) == 12
-    assert max(len(row["items"]) for row in folded) < 200
-    assert sorted(item["v"] for row in by_key["hot"] for item in row["items"]) == list(range(5000))
-    assert {row["item_count"] for row in by_key["hot"]} == {5000}
-    assert [(item["v"], item["copies"]) for item in by_key["copies"][0]["items"]] == [(7, 3000)]
-    assert [item["v"] for item in by_key["small"][0]["items"]] == [1, 2]
+def test_a_large_key_gives_rows_of_the_same_kind(spark, tmp_path):
+    customers = spark.range(1, 3001).selectExpr("id AS c_custkey", "'c' || id AS c_name", "CAST(7 AS INT) AS c_nationkey")
+    customers.coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    parts = spark.range(1, 5001).selectExpr("id AS p_partkey", "'one' AS p_brand", "CAST(id AS INT) AS p_size")
+    parts.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    engine = duckdb.connect()
+    for name in ("customer", "part"):
+        engine.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("host_inventory", "package_versions"):
+        good, text = compare(spark, engine, str(tmp_path), name)
+        assert good, text
+
+
+def test_copies_are_counted(spark):
+    copies = spark.createDataFrame([("a", 1), ("a", 1), (None, 2), (None, 2), (None, 3)], "k string, v int")
+    assert {tuple(row) for row in with_copies(copies, ["k", "v"]).collect()} == {(None, 2, 2), (None, 3, 1), ("a", 1, 2)}
+
+
+def test_nodes_of_clusters(spark, clusters, rows):
+    apps = spark.createDataFrame([(1, "running"), (1, "failed"), (2, "succeeded")], "cluster_id bigint, status string")
+    nodes = spark.createDataFrame(
+        [(1, "n1", "h1", 2, 10), (1, "n2", "h1", 2, 10), (1, "n2", "h1", 2, 10)],
+        "cluster_id bigint, node_id string, host string, cpu_cores int, memory bigint",
+    )
+    found = registry.cluster_state(clusters, apps, nodes)
+    assert {tuple(row) for row in found.select("cluster_id", "active_apps", "completed_apps", "failed_apps", "node_id", "copies").collect()} == {
+        (1, 1, 0, 1, "n1", 1), (1, 1, 0, 1, "n2", 2), (2, 0, 1, 0, None, None), (3, 0, 0, 0, None, None), (4, 0, 0, 0, None, None),
+    }
 
 
 def test_packages_and_info(spark, clusters, rows):
@@ -133,9 +148,9 @@ def test_packages_and_info(spark, clusters, rows):
         "cluster_id bigint, name string, host_ip string, port int, status string",
     )
     tables = {"spark": spark_table, "hadoop": hadoop}
-    package = registry.cluster_packages(clusters, tables, processes).collect()
-    assert [(row["cluster_id"], row["user_config"], [item["name"] for item in row["processes"]]) for row in package] == [
-        (1, ["a 1", "b 2"], ["Master", "Worker", "worker"])
+    package = registry.cluster_packages(clusters, tables, processes).orderBy("process_name").collect()
+    assert [(row["cluster_id"], row["user_config"], row["process_name"], row["copies"]) for row in package] == [
+        (1, ["a 1", "b 2"], name, 1) for name in ("Master", "Worker", "worker")
     ]
     info = registry.cluster_info(clusters, tables, processes, ["master", "WORKER"])
     assert rows(info, "cluster_id", "scala_version", "process_count", "master_count", "worker_count") == [
@@ -151,6 +166,16 @@ def test_sandbox_images_are_named_by_first_letter(spark, rows):
     assert result.count() == 3
 
 
+def test_sandbox_ports_have_names(spark):
+    options = '[{"id":"spark on yarn","services":[{"name":"Hadoop","version":"3"},{"name":"other","version":"1"}]}]'
+    df = spark.createDataFrame([(1, "v1", options)], "id bigint, version string, service_options string")
+    found = {row["service_name"]: row["ports"] for row in registry.sandbox_options(df, "repo").collect()}
+    assert found["other"] is None
+    assert [tuple(port) for port in found["Hadoop"]] == [
+        (8088, "Resource Manager", True), (50070, "HDFS Web UI", True), (50075, "Data Node", True), (9000, "HDFS Service", False),
+    ]
+
+
 def test_effective_conf(spark, rows):
     defaults = spark.createDataFrame([(1, "a", "d"), (1, "b", "d")], "cluster_id bigint, key string, value string")
     user = spark.createDataFrame([(1, "a", "u1", 0), (1, "a", "u2", 1)], "cluster_id bigint, key string, value string, position bigint")

@@ -4,7 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from gridsight.operators import apps, files as listing, query
+from gridsight.operators import apps, files as listing, logs, query
 from gridsight.sources import connections, databases, files, topics
 
 
@@ -121,7 +121,41 @@ def test_pages_and_lines(spark, tmp_path, rows):
         (tmp_path / f"{name}.html").write_text("<ul>\n<li>x</li>\n</ul>")
     pages = files.read_html_pages(spark, str(tmp_path))
     assert pages.count() == 2 and all("\n" in row["html"] for row in pages.collect())
-    assert files.read_log_lines(spark, str(tmp_path)).select("file", "line").count() == 6
+    assert files.read_log_lines(spark, str(tmp_path)).select("log_offset.file", "line").count() == 6
+
+
+def test_names_are_relative_whatever_the_path_looks_like(spark, tmp_path, rows):
+    base = tmp_path / "a"
+    deep = base / "x" / str(base).lstrip("/")
+    deep.mkdir(parents=True)
+    (deep / "deep.txt").write_text("1")
+    (base / "top.txt").write_text("12")
+    expected = [("top.txt", 2), (f"x{base}/deep.txt", 1)]
+    for path in (str(base), f"{base}/", f"file:{base}", f"file://{base}"):
+        assert rows(files.read_file_listing(spark, path), "name", "size") == expected
+
+
+def test_log_files_can_be_searched(spark, tmp_path, rows):
+    line = "2024-03-0{day} 10:00:00.000 +0000||{level}||{thread}||org.app.Main||{message}"
+    for day in (1, 2):
+        (tmp_path / f"{day}.log").write_text("\n".join([
+            line.format(day=day, level="INFO", thread="spark-master", message=f"begin {day}"),
+            "no log line",
+            line.format(day=day, level="ERROR", thread="spark-master", message="Bound MasterWebUI to 0.0.0.0"),
+            line.format(day=day, level="INFO", thread="spark-master", message="Bound MasterWebUI again"),
+        ]))
+    lines = files.read_log_lines(spark, str(tmp_path))
+    parsed = logs.parse_log_lines(lines)
+    assert parsed.count() == 6 and parsed.select("log_offset").distinct().count() == 6
+    page = logs.search_logs(parsed, n=4).collect()
+    assert [row["message"][:7] for row in page] == ["begin 1", "Bound M", "Bound M", "begin 2"]
+    last = page[3]["log_offset"]
+    after = F.struct(F.lit(last["file"]).alias("file"), F.lit(last["block_start"]).alias("block_start"), F.lit(last["place"]).alias("place"))
+    rest = logs.search_log_lines(lines, last_offset=after, n=4).collect()
+    assert [row["message"] for row in rest] == ["Bound MasterWebUI to 0.0.0.0", "Bound MasterWebUI again"]
+    assert rows(logs.log_facets(parsed).filter("facet = 'level'"), "value", "lines") == [("ERROR", 2), ("INFO", 4)]
+    first = logs.startup_milestones(parsed).first()
+    assert first["milestone"] == "spark-master" and first["message"] == "Bound MasterWebUI to 0.0.0.0" and first["ts"].day == 1
 
 
 def test_json_rows(spark, tmp_path, rows):
