@@ -59,17 +59,39 @@ def appended(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
 class StateTable:
     """A table replaced by every micro-batch.
 
-    Batch ``n`` reads what batch ``n - 1`` wrote and writes to the other of two
-    folders, so a batch that is run again finds its input unchanged.
+    Batch ``n`` reads what batch ``n - 1`` wrote and writes to a folder of its
+    own, so a batch that is run again finds its input unchanged. A mark beside
+    the folder says that it is whole, so the newest table is also found after a
+    restart. The last ``KEPT`` tables stay for readers that are still at work.
     """
 
+    KEPT = 4
+
     def __init__(self, folder: str, schema: StructType):
         self.folder = folder
         self.schema = schema
         self.last: int | None = None
 
     def _version(self, batch_id: int) -> str:
-        return f"{self.folder}/{batch_id % 2}"
+        return f"{self.folder}/batch-{batch_id}"
+
+    def _store(self, spark: SparkSession):
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        return path, path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _mark(self, spark: SparkSession, batch_id: int) -> None:
+        """Marks the table of a batch as whole and removes the one that is too old to be read."""
+        path, store = self._store(spark)
+        store.create(path(self._version(batch_id) + ".whole"), True).close()
+        old = self._version(batch_id - self.KEPT)
+        store.delete(path(old + ".whole"), False)
+        store.delete(path(old), True)
+
+    def _newest(self, spark: SparkSession) -> int | None:
+        """The newest batch whose table is whole; at most ``KEPT`` marks are listed."""
+        path, store = self._store(spark)
+        names = [entry.getPath().getName() for entry in store.globStatus(path(f"{self.folder}/batch-*.whole")) or []]
+        return max((int(name.removeprefix("batch-").removesuffix(".whole")) for name in names), default=None)
 
     def before(self, spark: SparkSession, batch_id: int) -> DataFrame:
         """The table as the previous batch left it."""
@@ -89,11 +111,14 @@ class StateTable:
     def replace(self, rows: DataFrame, batch_id: int) -> DataFrame:
         """Writes the table for this batch and returns the written form."""
         self._shaped(rows).write.mode("overwrite").parquet(self._version(batch_id))
+        self._mark(rows.sparkSession, batch_id)
         self.last = batch_id
         return self.now(rows.sparkSession)
 
     def now(self, spark: SparkSession) -> DataFrame:
-        """The table as the newest batch left it."""
+        """The table as the newest batch left it, that of an earlier run included."""
+        if self.last is None:
+            self.last = self._newest(spark)
         if self.last is None:
             return spark.createDataFrame([], self.schema)
         return spark.read.schema(self.schema).parquet(self._version(self.last))

@@ -100,6 +100,21 @@ def test_a_stream_carries_on_from_its_checkpoint(spark, tmp_path, rows, status_r
     assert rows(table.now(spark)) == sorted(newest.values(), key=repr)
 
 
+def test_a_state_table_is_found_again_after_a_restart(spark, tmp_path, rows):
+    schema = views.schema_of("cluster_id bigint, status string")
+    folder, step = str(tmp_path / "table"), ["cluster_id"]
+    table = running.StateTable(folder, schema)
+    assert table.now(spark).count() == 0
+    for batch_id in range(6):
+        change = spark.createDataFrame([(batch_id % 2, f"state {batch_id}")], schema)
+        running.upsert(table, step)(change, batch_id)
+    again = running.StateTable(folder, schema)
+    assert rows(again.now(spark)) == [(0, "state 4"), (1, "state 5")] and again.last == 5
+    assert sorted(place.name for place in (tmp_path / "table").glob("batch-*.whole")) == [f"batch-{n}.whole" for n in range(2, 6)]
+    (tmp_path / "table" / "batch-5.whole").unlink()  # as if the last batch had not been finished
+    assert rows(running.StateTable(folder, schema).now(spark)) == [(0, "state 4"), (1, "state 3")]
+
+
 def test_a_live_stream_keeps_refreshing(spark, tmp_path, rows, status_rows):
     stream = stream_of(spark, tmp_path, status_rows, STATUS, 2)
     query, table = views.start_keyed(views.latest_state(stream), str(tmp_path / "w"), views.LATEST_STATE, views.REFRESH_EVERY)
