@@ -53,11 +53,19 @@ def idle_stream(spark, folder):
 _PROCESS_STATUS = "CASE WHEN event_type IN ('view', 'click') THEN 'running' ELSE 'stopped' END"
 
 
+# The status of each of the three processes as it stands after every change, and the last time all known ones agree.
+_STANDING = ", ".join(
+    f"last_value(CASE WHEN event_id % 3 = {n} THEN {_PROCESS_STATUS} END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS "
+    "BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    for n in range(3)
+)
+
+
 @query(
     "T3",
-    "SELECT cluster_id, CASE WHEN bool_and(status = 'running') THEN 'running' WHEN bool_and(status = 'stopped') THEN 'terminated' ELSE "
-    f"'unknown' END AS status FROM (SELECT user_id AS cluster_id, arg_max({_PROCESS_STATUS}, (ts, event_id)) AS status FROM events GROUP BY "
-    "user_id, event_id % 3) GROUP BY cluster_id",
+    "SELECT cluster_id, coalesce(arg_max(CASE standing[1] WHEN 'stopped' THEN 'terminated' ELSE standing[1] END, (ts, event_id)) FILTER "
+    "(len(standing) = 1), 'unknown') AS status FROM (SELECT user_id AS cluster_id, ts, event_id, "
+    f"list_distinct([{_STANDING}]) AS standing FROM events) GROUP BY cluster_id",
 )
 def rollup_stream(spark, folder):
     changes = b.process_changes_of(_stream(spark, folder, "events"))

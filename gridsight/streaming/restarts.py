@@ -25,14 +25,41 @@ BUDGET_SCHEMA = (
     "given_up_at timestamp_ntz"
 )
 PENDING_SCHEMA = "cluster_id bigint, process string, ts timestamp_ntz"
+KNOWN_SCHEMA = (
+    "cluster_id bigint, process string, status string, last_ts timestamp_ntz, settled bigint, given_up_at timestamp_ntz"
+)
+DOWN_SCHEMA = "cluster_id bigint, process string, ts timestamp_ntz, fresh boolean"
 
 
 def _later(column: str, seconds: int):
     return F.timestamp_add("SECOND", F.lit(seconds), F.col(column))
 
 
-def _down(checks: DataFrame) -> DataFrame:
-    return checks.filter(~F.col("alive")).select(*KEY, "ts")
+def known_processes(checks: DataFrame, carried: DataFrame | None = None) -> DataFrame:
+    """Newest status of each process, with what an earlier result settled."""
+    alive = F.when(F.col("alive"), F.lit("running")).otherwise(F.lit("stopped"))
+    newest = checks.groupBy(*KEY).agg(F.max("ts").alias("last_ts"), F.max_by(alive, F.struct("ts", "seq")).alias("status"))
+    newest = newest.select(
+        *KEY, "status", "last_ts",
+        F.lit(0).cast("bigint").alias("settled"),
+        F.lit(None).cast("timestamp_ntz").alias("given_up_at"),
+        F.lit(1).alias("turn"),
+    )
+    if carried is None:
+        return newest.drop("turn")
+    old = carried.select(*KEY, "status", "last_ts", F.col("restarts_used").alias("settled"), "given_up_at", F.lit(0).alias("turn"))
+    return old.unionByName(newest).groupBy(*KEY).agg(
+        F.max_by("status", "turn").alias("status"),
+        F.max_by("last_ts", "turn").alias("last_ts"),
+        F.max("settled").alias("settled"),
+        F.max("given_up_at").alias("given_up_at"),
+    )
+
+
+def down_checks(checks: DataFrame, pending: DataFrame | None = None) -> DataFrame:
+    """Checks that found a process down and whose restart is not counted yet; ``fresh`` ones are new."""
+    down = checks.filter(~F.col("alive")).select(*KEY, "ts", F.lit(True).alias("fresh"))
+    return down if pending is None else down.unionByName(pending.select(*KEY, "ts", F.lit(False).alias("fresh")))
 
 
 def restart_budget(
@@ -47,25 +74,11 @@ def restart_budget(
     ``carried`` is an earlier result and ``pending`` the down checks whose
     restart had not happened by then; together they let later checks go on.
     """
-    latest = checks.groupBy(*KEY).agg(
-        F.max("ts").alias("new_ts"),
-        F.max_by(F.when(F.col("alive"), F.lit("running")).otherwise(F.lit("stopped")), F.struct("ts", "seq")).alias("new_status"),
-    )
-    new_down = _down(checks)
-    down = new_down
-    if carried is None:
-        known = latest.select(
-            *KEY, "new_ts", "new_status",
-            F.lit(None).cast("string").alias("status"),
-            F.lit(None).cast("timestamp_ntz").alias("last_ts"),
-            F.lit(0).cast("bigint").alias("settled"),
-            F.lit(None).cast("timestamp_ntz").alias("given_up_at"),
-        )
-    else:
-        down = down.unionByName(pending.select(*KEY, "ts"))
-        known = carried.withColumnRenamed("restarts_used", "settled").join(latest, KEY, "full").withColumn(
-            "settled", F.coalesce("settled", F.lit(0).cast("bigint"))
-        )
+    return decided_budget(known_processes(checks, carried), down_checks(checks, pending), max_retry, retry_s)
+
+
+def decided_budget(known: DataFrame, down: DataFrame, max_retry: int, retry_s: int) -> DataFrame:
+    """The budget that follows from the known processes and the checks that found one down."""
     order = Window.partitionBy(*KEY).orderBy("ts")
     first_downs = down.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= max(max_retry, 1))
     limit_down = (
@@ -76,16 +89,16 @@ def restart_budget(
     armed = known.join(limit_down, KEY, "left")
     spent = F.col("settled") >= max_retry
     giving_up = (
-        join_reduced(new_down, armed.filter(F.col("given_up_at").isNull()).select(*KEY, "settled", "exhausted_at"), KEY)
+        join_reduced(down.filter("fresh"), armed.filter(F.col("given_up_at").isNull()).select(*KEY, "settled", "exhausted_at"), KEY)
         .groupBy(*KEY)
         .agg(F.min(F.when(spent | (F.col("ts") >= F.col("exhausted_at")), F.col("ts"))).alias("gives_up_at"))
     )
     decided = known.join(giving_up, KEY, "left").select(
-        *KEY, "settled", "new_ts", "new_status", "status", "last_ts",
+        *KEY, "settled", "status", "last_ts",
         F.col("given_up_at").isNotNull().alias("was_over"),
         F.coalesce("given_up_at", "gives_up_at").alias("given_up_at"),
     )
-    horizon = _horizon(retry_s, F.coalesce("new_ts", "last_ts"))
+    horizon = F.timestamp_add("SECOND", F.lit(-retry_s), F.least("given_up_at", "last_ts"))
     happened = (
         join_reduced(down, decided.filter(~F.col("was_over")).select(*KEY, horizon.alias("horizon")), KEY)
         .filter(F.col("ts") <= F.col("horizon"))
@@ -95,22 +108,15 @@ def restart_budget(
     over = F.col("given_up_at").isNotNull()
     return decided.join(happened, KEY, "left").select(
         *KEY,
-        F.when(over, F.lit("stopped")).otherwise(F.coalesce("new_status", "status")).alias("status"),
-        F.when(over, F.col("given_up_at")).otherwise(F.coalesce("new_ts", "last_ts")).alias("last_ts"),
+        F.when(over, F.lit("stopped")).otherwise(F.col("status")).alias("status"),
+        F.when(over, F.col("given_up_at")).otherwise(F.col("last_ts")).alias("last_ts"),
         (F.col("settled") + F.coalesce("happened", F.lit(0).cast("bigint"))).alias("restarts_used"),
         "given_up_at",
     )
 
 
-def _horizon(retry_s: int, last):
-    return F.timestamp_add("SECOND", F.lit(-retry_s), F.least("given_up_at", last))
-
-
-def pending_restarts(
-    checks: DataFrame, budget: DataFrame, retry_s: int, pending: DataFrame | None = None
-) -> DataFrame:
+def pending_restarts(down: DataFrame, budget: DataFrame, retry_s: int) -> DataFrame:
     """Down checks whose restart lies ahead, for processes still monitored."""
-    down = _down(checks) if pending is None else _down(checks).unionByName(pending.select(*KEY, "ts"))
     open_ended = budget.filter(F.col("given_up_at").isNull()).select(*KEY, "last_ts")
     ahead = _later("ts", retry_s) > F.col("last_ts")
     return join_reduced(down, open_ended, KEY).filter(ahead).select(*KEY, "ts")

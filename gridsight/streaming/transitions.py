@@ -10,10 +10,10 @@ after a ``terminating`` one with the first ``new`` or ``terminated``. Whether a
 row is a leftover therefore follows from three row numbers before it: those of
 the last anchor, the last ``running`` and the last ``new`` or ``terminated``.
 
-Rows of a cluster are numbered in one sort. A cluster with very many rows is
-cut into spans of time instead; each span is summed up by the state it settles
-or releases, the sums are followed from span to span, and rows are numbered
-within their span.
+Rows of a cluster are cut into spans of time of a fixed length. Each span is
+summed up by the state it settles or releases, the sums are followed from span
+to span, and rows are numbered within their span. A cluster with very many rows
+is thus judged by many tasks, and the plan is the same at every size.
 """
 
 from __future__ import annotations
@@ -26,39 +26,13 @@ ENDED = ["new", "terminated"]
 STARTING, TERMINATING, OPEN = 1, 2, 3
 CHANGE = ["cluster_id", "ts", "seq", "status"]
 CHANGE_SCHEMA = "cluster_id bigint, ts timestamp_ntz, seq bigint, status string"
-SPLIT_ABOVE = 1_000_000
-ROWS_PER_SPAN = 10_000
-MOST_BROADCAST = 10_000
+SPAN_S = 3600
 
 
-def _micros(ts: str) -> Column:
-    return F.unix_micros(F.col(ts).cast("timestamp"))
-
-
-def hot_clusters(changes: DataFrame, split_above: int, rows_per_span: int) -> DataFrame | None:
-    """Clusters with more rows than that, with the start and width of their spans; ``None`` without any.
-
-    Spans are of equal length and hold ``rows_per_span`` rows on average, far
-    fewer than a task can sort, so a burst many times as dense is no trouble.
-    The table is broadcast when it has few rows and joined by key otherwise.
-    """
-    spans = F.greatest(F.call_function("div", F.col("rows"), F.lit(rows_per_span)), F.lit(1).cast("bigint"))
-    hot = (
-        changes.groupBy("cluster_id")
-        .agg(F.count(F.lit(1)).alias("rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-        .filter(F.col("rows") > split_above)
-        .select(
-            "cluster_id",
-            _micros("first_ts").alias("span_start"),
-            (F.call_function("div", _micros("last_ts") - _micros("first_ts"), spans) + 1).alias("span_width"),
-        )
-    )
-    few = hot.limit(MOST_BROADCAST + 1).collect()
-    if not few:
-        return None
-    if len(few) > MOST_BROADCAST:
-        return hot
-    return F.broadcast(changes.sparkSession.createDataFrame(few, hot.schema))
+def _span(span_s: int) -> Column:
+    """Number of the span of time a row lies in."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    return F.floor(micros / F.lit(span_s * 1_000_000)).alias("span")
 
 
 def _settles(status: Column) -> Column:
@@ -82,16 +56,21 @@ def _state_before(settled: Column, ran: Column, ended: Column, number: Column, w
     return F.when(released, OPEN).otherwise(state)
 
 
-def _span_states(changes: DataFrame) -> DataFrame:
+def _span_states(rows: DataFrame, carried: DataFrame | None) -> DataFrame:
     """State before each span of each cluster."""
     place = F.struct("ts", "seq")
     settles = _settles(F.col("status"))
     ended = F.col("status").isin(ENDED)
-    sums = changes.groupBy("cluster_id", "span", "first_state").agg(
+    sums = rows.groupBy("cluster_id", "span").agg(
         F.max(F.when(settles.isNotNull(), F.struct("ts", "seq", settles.alias("state")))).alias("anchor"),
         F.max(F.when(F.col("status") == "running", place)).alias("ran"),
         F.max(F.when(ended, place)).alias("ended"),
     )
+    if carried is None:
+        sums = sums.withColumn("first_state", F.lit(OPEN))
+    else:
+        states = carried.select("cluster_id", F.coalesce(_settles(F.col("status")), F.lit(OPEN)).alias("first_state"))
+        sums = sums.join(states, "cluster_id", "left").fillna(OPEN, "first_state")
     anchored = F.struct(F.col("anchor.ts").alias("ts"), F.col("anchor.seq").alias("seq"))
 
     def released_by(name: str) -> Column:
@@ -115,32 +94,16 @@ def _span_states(changes: DataFrame) -> DataFrame:
     return numbered.select("cluster_id", "span", before.alias("span_state"))
 
 
-def believed_changes(
-    changes: DataFrame,
-    carried: DataFrame | None = None,
-    split_above: int = SPLIT_ABOVE,
-    rows_per_span: int = ROWS_PER_SPAN,
-) -> DataFrame:
+def believed_changes(changes: DataFrame, carried: DataFrame | None = None, span_s: int = SPAN_S) -> DataFrame:
     """T5: the status changes that stay, leftovers dropped.
 
-    ``carried`` holds the last believed change of each cluster so far. Clusters
-    with more than ``split_above`` rows are cut into spans; finding them counts
-    the rows first.
+    ``carried`` holds the last believed change of each cluster so far. ``span_s``
+    is the length of a span; a task sorts the rows of one cluster in one span.
+    The changes are read twice.
     """
-    rows = changes.select(*CHANGE)
-    if carried is None:
-        rows = rows.withColumn("first_state", F.lit(OPEN))
-    else:
-        states = carried.select("cluster_id", _settles(F.col("status")).alias("carried_state"))
-        rows = rows.join(states, "cluster_id", "left").select(*CHANGE, F.coalesce("carried_state", F.lit(OPEN)).alias("first_state"))
-    hot = hot_clusters(changes, split_above, rows_per_span)
-    if hot is None:
-        rows = rows.withColumn("span", F.lit(0).cast("bigint")).withColumn("state", F.col("first_state"))
-    else:
-        span = F.call_function("div", _micros("ts") - F.col("span_start"), F.col("span_width"))
-        rows = rows.join(hot, "cluster_id", "left").select(*CHANGE, "first_state", span.alias("span"))
-        spans = _span_states(rows.filter(F.col("span").isNotNull()))
-        rows = rows.join(spans, ["cluster_id", "span"], "left").withColumn("state", F.coalesce("span_state", "first_state"))
+    rows = changes.select(*CHANGE, _span(span_s))
+    states = _span_states(rows, carried)
+    rows = rows.join(states, ["cluster_id", "span"], "left").withColumn("state", F.coalesce("span_state", F.lit(OPEN)))
     in_order = Window.partitionBy("cluster_id", "span").orderBy("ts", "seq")
     status = F.col("status")
     numbered = rows.withColumn("number", F.row_number().over(in_order))

@@ -18,8 +18,7 @@ from ..functions.parsing import parse_progress
 from ..functions.sizes import bytes_to_size
 from ..operators.alerts import alert_metrics, evaluate_alerts
 from ..operators.kafka import latest_window
-from ..operators.registry import process_counts, rollup_expression
-from . import restarts, transitions
+from . import restarts, rollups, transitions
 from .running import StateTable, start_batches, upsert
 
 
@@ -131,29 +130,21 @@ ROLLUP = "cluster_id bigint, status string"
 def start_rollup(changes: DataFrame, folder: str, every: str | None = None) -> tuple[StreamingQuery, StateTable]:
     """State of each cluster, kept up to date from the changes of its processes.
 
-    ``changes`` has cluster_id, name, ts, seq and status. A batch is reduced to
-    the newest change of each process before it meets the table of processes.
-    A cluster whose processes disagree keeps its state, ``unknown`` at first;
-    the state is looked at once per batch.
+    ``changes`` has cluster_id, name, ts, seq and status. The state follows the
+    changes one by one, so it does not depend on how they fall into batches, as
+    long as the changes of a cluster arrive in order; one older than the newest
+    of its process is passed over. A cluster whose known processes disagree
+    keeps its state, ``unknown`` at first.
     """
     processes = StateTable(f"{folder}/processes", schema_of(PROCESS_STATE))
     clusters = StateTable(f"{folder}/clusters", schema_of(ROLLUP))
 
-    def newest(rows: DataFrame) -> DataFrame:
-        best = F.max_by(F.struct("ts", "seq", "status"), F.struct("ts", "seq")).alias("best")
-        return rows.groupBy("cluster_id", "name").agg(best).select("cluster_id", "name", "best.*")
-
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        merged = newest(processes.before(spark, batch_id).unionByName(newest(batch)))
-        counts = process_counts(processes.replace(merged, batch_id))
-        old = clusters.before(spark, batch_id).withColumnRenamed("status", "old_status")
-        current = F.coalesce("old_status", F.lit("unknown"))
-        rolled = counts.join(old, "cluster_id", "left").select(
-            "cluster_id",
-            rollup_expression(F.col("processes"), F.col("running"), F.col("stopped"), current).alias("status"),
-        )
-        clusters.replace(rolled, batch_id)
+        arrived, before = processes.stage(batch, batch_id), processes.before(spark, batch_id)
+        processes.replace(rollups.newest_changes(before, arrived), batch_id)
+        states = rollups.last_agreed(before, arrived)
+        clusters.replace(rollups.carried_on(clusters.before(spark, batch_id), states), batch_id)
 
     return start_batches(changes, step, folder, every=every), clusters
 
@@ -164,8 +155,8 @@ def start_believed(status: DataFrame, folder: str, every: str | None = None) ->
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark, place = batch.sparkSession, f"{folder}/rows/batch={batch_id}"
-        before = carried.before(spark, batch_id)
-        transitions.believed_changes(batch, before).write.mode("overwrite").parquet(place)
+        before, changes = carried.before(spark, batch_id), carried.stage(batch, batch_id)
+        transitions.believed_changes(changes, before).write.mode("overwrite").parquet(place)
         kept = spark.read.schema(transitions.CHANGE_SCHEMA).parquet(place)
         carried.replace(transitions.last_believed(before, kept), batch_id)
 
@@ -179,15 +170,22 @@ def believed_rows(spark: SparkSession, folder: str) -> DataFrame:
 def start_restart_budget(
     checks: DataFrame, folder: str, max_retry: int, retry_s: int, every: str | None = None
 ) -> tuple[StreamingQuery, StateTable]:
-    """Restarts used and given-up time of each process, kept up to date."""
+    """Restarts used and given-up time of each process, kept up to date.
+
+    A batch is read twice: for the newest check of each process and for the
+    checks that found one down. Both are written before they are joined.
+    """
     budget = StateTable(f"{folder}/budget", schema_of(restarts.BUDGET_SCHEMA))
     pending = StateTable(f"{folder}/pending", schema_of(restarts.PENDING_SCHEMA))
+    known = StateTable(f"{folder}/known", schema_of(restarts.KNOWN_SCHEMA))
+    down = StateTable(f"{folder}/down", schema_of(restarts.DOWN_SCHEMA))
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        carried, waiting = budget.before(spark, batch_id), pending.before(spark, batch_id)
-        after = budget.replace(restarts.restart_budget(batch, max_retry, retry_s, carried, waiting), batch_id)
-        pending.replace(restarts.pending_restarts(batch, after, retry_s, waiting), batch_id)
+        processes = known.stage(restarts.known_processes(batch, budget.before(spark, batch_id)), batch_id)
+        downs = down.stage(restarts.down_checks(batch, pending.before(spark, batch_id)), batch_id)
+        after = budget.replace(restarts.decided_budget(processes, downs, max_retry, retry_s), batch_id)
+        pending.replace(restarts.pending_restarts(downs, after, retry_s), batch_id)
 
     return start_batches(checks, step, folder, every=every), budget
 

@@ -52,27 +52,21 @@ def believed(rows):
     return sorted(kept, key=repr)
 
 
-@pytest.mark.parametrize("split_above, rows_per_span", [(10**6, 100), (0, 1), (225, 20), (0, 100), (0, 10**6)])
-def test_believed_changes_follow_the_rule(spark, rows, status_rows, split_above, rows_per_span):
+@pytest.mark.parametrize("span_s", [1, 60, 3600, 10**6, 10**9])
+def test_believed_changes_follow_the_rule(spark, rows, status_rows, span_s):
     changes = spark.createDataFrame(status_rows, STATUS)
-    assert rows(transitions.believed_changes(changes, None, split_above, rows_per_span)) == believed(status_rows)
+    assert rows(transitions.believed_changes(changes, None, span_s)) == believed(status_rows)
 
 
-@pytest.mark.parametrize("split_above", [10**6, 0])
-def test_believed_changes_go_on_from_a_carried_state(spark, rows, status_rows, split_above):
+@pytest.mark.parametrize("span_s", [10, 3600, 10**9])
+def test_believed_changes_go_on_from_a_carried_state(spark, rows, status_rows, span_s):
     first, second = status_rows[:400], status_rows[400:]
     kept = transitions.believed_changes(spark.createDataFrame(first, STATUS))
     carried = transitions.last_believed(spark.createDataFrame([], STATUS), kept)
-    rest = transitions.believed_changes(spark.createDataFrame(second, STATUS), carried, split_above, 10)
+    rest = transitions.believed_changes(spark.createDataFrame(second, STATUS), carried, span_s)
     assert rows(kept.union(rest)) == believed(status_rows)
 
 
-def test_many_hot_clusters_are_joined_by_key(spark, rows, status_rows, monkeypatch):
-    monkeypatch.setattr(transitions, "MOST_BROADCAST", 1)
-    changes = spark.createDataFrame(status_rows, STATUS)
-    assert rows(transitions.believed_changes(changes, None, 0, 10)) == believed(status_rows)
-
-
 def test_believed_stream(spark, tmp_path, rows, status_rows):
     folder = str(tmp_path / "work")
     stream = stream_of(spark, tmp_path, status_rows, STATUS, 4)
@@ -135,24 +129,33 @@ def test_idle_gap_is_longer_than_the_timeout(spark, tmp_path, rows):
     assert found == [(at(0), at(239), at(359), 3), (at(360), at(361), at(481), 2)]
 
 
-def test_rollup_in_batches(spark, tmp_path, rows):
+@pytest.mark.parametrize("batches", [1, 3, 10])
+def test_rollup_follows_each_change(spark, tmp_path, rows, batches):
     schema = "cluster_id bigint, name string, ts timestamp_ntz, seq bigint, status string"
     data = []
     for seq, value in enumerate(noise(300, 3)):
-        data.append((value % 9, f"p{value // 11 % 2}", START + timedelta(seconds=seq), seq, ["running", "stopped"][value // 5 % 2]))
-    query, table = views.start_rollup(stream_of(spark, tmp_path, data, schema), str(tmp_path / "w"))
+        status = ["running", "stopped", "new"][min(value // 5 % 5 // 2, 2)]
+        data.append((value % 9, f"p{value // 11 % 3}", START + timedelta(seconds=seq // 2), seq, status))
+    query, table = views.start_rollup(stream_of(spark, tmp_path, data, schema, batches), str(tmp_path / "w"))
     query.awaitTermination()
     expected, processes = {}, {}
-    for batch in (data[:100], data[100:200], data[200:]):
-        for cluster, name, _, _, status in batch:
-            processes[(cluster, name)] = status
-        for cluster in {key[0] for key in processes}:
-            states = {state for key, state in processes.items() if key[0] == cluster}
-            new = {"running": "running", "stopped": "terminated"}[next(iter(states))] if len(states) == 1 else None
-            expected[cluster] = new or expected.get(cluster, "unknown")
+    for cluster, name, _, _, status in data:
+        processes[(cluster, name)] = status
+        states = {state for key, state in processes.items() if key[0] == cluster}
+        agreed = {"running": "running", "stopped": "terminated"}.get(status) if len(states) == 1 else None
+        expected[cluster] = agreed or expected.get(cluster, "unknown")
     assert rows(table.now(spark)) == sorted(expected.items(), key=repr)
 
 
+def test_rollup_passes_over_late_changes(spark, tmp_path, rows):
+    schema = "cluster_id bigint, name string, ts timestamp_ntz, seq bigint, status string"
+    at = lambda minutes: START + timedelta(minutes=minutes)
+    data = [(1, "a", at(5), 1, "running"), (None, "a", at(5), 2, "stopped"), (1, "a", at(3), 3, "stopped"), (None, None, at(6), 4, "running")]
+    query, table = views.start_rollup(stream_of(spark, tmp_path, data, schema, 2), str(tmp_path / "w"))
+    query.awaitTermination()
+    assert rows(table.now(spark)) == sorted([(1, "running"), (None, "terminated")], key=repr)
+
+
 def monitor(checks, max_retry, retry_s):
     """The monitor played through second by second of its checks."""
     result = {}
