@@ -15,12 +15,16 @@ SPACES = " \t\n\x0b\x0c\r"
 #: A word: a longest run of other characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Most bytes of a batch of rows that Python gets at once; long texts would otherwise come ten thousand at a time.
+ARROW_BYTES = "4m"
+
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def ready(spark: SparkSession) -> SparkSession:
     """Settings the operators count on; Python workers can import this package where the folder exists."""
     configure(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     known = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if _ROOT not in known:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, known)])
