@@ -1,19 +1,24 @@
 """Toxicity by multiple-instance learning (operator 6).
 
-Only documents are labelled, but single sentences make them toxic. A sentence has a probability from a logistic model
-over hashed words and word beginnings; a document is toxic unless all its sentences are clean, so its score is the
-noisy-or 1 - prod(1 - p). The model is fitted to document labels through that formula, and the sentences with a high
-probability of their own are the ones that offend.
-
-Fitting: a bounded sample of labelled documents is turned into features by tasks; on the driver, features that occur
-more often in toxic documents than chance allows are kept, at most ``KEPT``, and their weights fitted by full-batch
-gradient steps. Scoring: a word's weight is the sum over its features, kept in a dictionary of bounded size per worker.
+Only documents are labelled, but single sentences make them toxic. A document is toxic unless all its sentences are clean,
+so its score is the noisy-or 1 - (1 - leak) * prod(1 - p). A sentence has a probability from the hashed words and word
+beginnings that tell toxic documents from clean ones: 1 - p = (1 - s(bias + z)) / (1 - s(bias)) with s the logistic
+function and z the sum of their weights, none below zero. A sentence without any has p = 0, so that length alone makes no
+document toxic; what such sentences leave unexplained is the leak, one per document. The model is fitted to document
+labels through that formula, and the sentences with a high probability of their own are the ones that offend. Beginnings
+speak only for words the sample does not know: one that occurs in ``LEAST_DOCUMENTS`` of its documents speaks for itself.
+
+Fitting: tasks find the known words, then count in how many toxic and clean documents of a bounded sample each feature occurs; those that occur more
+often in toxic ones than chance allows are kept, at most ``KEPT``. Tasks then cut each document down to the kept features
+of its sentences, equal sentences once with their number, and the driver fits weights by full-batch gradient steps.
+Scoring: a word's weight is the sum over its features, kept in a dictionary of bounded size per worker.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,15 +29,18 @@ from pyspark.sql import functions as F
 
 from .labelled import held_out, sample
 
-#: Labelled documents the model is fitted on at most, and characters of one at most.
+#: Labelled documents the model is fitted on at most, and characters of all of them; the document that crosses is whole.
 SAMPLE_ROWS = 3000
-SAMPLE_CHARS = 100_000
+SAMPLE_CHARS = 128_000_000
 FOLDS, HELD = 5, 0
 BUCKETS = 1 << 20
+PAGE = 32_768  # bits of one of Spark's bitmaps
 PREFIXES = (4, 5, 6)
 KEPT = 1024
 LEAST_DOCUMENTS = 4
-STEPS, RATE, DECAY = 300, 0.1, 1e-4
+LEAST_GAIN = 8.0
+STEPS, RATE, DECAY, SHRINK = 300, 0.1, 1e-4, 2e-5
+LEAST_WEIGHT, MOST_BIAS = 0.1, -6.0
 KNOWN_WORDS = 400_000
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -44,21 +52,43 @@ def spans(text: str) -> list[tuple[int, int]]:
     return [found.span() for found in _SENTENCE.finditer(text) if not found.group().isspace()]
 
 
-def features(word: str) -> list[int]:
-    """Buckets of a lower-case word and of its beginnings; a word without letters or digits has none."""
+def features(word: str, known: bytes = b"") -> list[int]:
+    """Buckets of a lower-case word and, unless a bit says it is known, of its beginnings; a word without letters or digits
+    has none."""
     word = _EDGE.sub("", word)
     if not word:
         return []
-    names = ["=" + word, *["^" + word[:size] for size in PREFIXES if len(word) >= size]]
-    return [zlib.crc32(name.encode()) % BUCKETS for name in names]
+    whole = zlib.crc32(("=" + word).encode()) % BUCKETS
+    if known and known[whole >> 3] >> (whole & 7) & 1:
+        return [whole]
+    return [whole, *[zlib.crc32(("^" + word[:size]).encode()) % BUCKETS for size in PREFIXES if len(word) >= size]]
 
 
 @dataclass
 class Model:
-    """Weights of the kept buckets and the bias of a sentence."""
+    """Weights of the kept buckets, the bias of a sentence that has any, the log-odds of the leak of a document, and a bit
+    per bucket, set for known words."""
 
     weights: dict[int, float]
     bias: float
+    leak: float
+    known: bytes = b""
+
+
+class WordFeatures(dict):
+    """Buckets of each word met so far."""
+
+    def __init__(self, known: bytes):
+        super().__init__()
+        self.known = known
+
+    def __missing__(self, word: str) -> list[int]:
+        found = features(word, self.known)
+        if len(self) > KNOWN_WORDS:
+            self.clear()
+        if len(word) <= 64:
+            self[word] = found
+        return found
 
 
 class WordWeights(dict):
@@ -66,10 +96,10 @@ class WordWeights(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.weights = model.weights
+        self.weights, self.known = model.weights, model.known
 
     def __missing__(self, word: str) -> float:
-        weight = sum(self.weights.get(bucket, 0.0) for bucket in set(features(word)))
+        weight = sum(self.weights.get(bucket, 0.0) for bucket in set(features(word, self.known)))
         if len(self) > KNOWN_WORDS:
             self.clear()
         if len(word) <= 64:
@@ -77,89 +107,131 @@ class WordWeights(dict):
         return weight
 
 
+def sentences(low: str) -> Iterator[str]:
+    """The sentences of a text."""
+    return (found.group() for found in _SENTENCE.finditer(low) if not found.group().isspace())
+
+
 def sentence_scores(text: str, words: WordWeights, bias: float) -> np.ndarray:
-    """Log-odds of each sentence; a text without sentences counts as one empty sentence."""
-    low, weigh = text.lower(), words.__getitem__
-    scores = [bias + sum(map(weigh, part.split())) for part in _SENTENCE.findall(low) if not part.isspace()]
-    return np.array(scores or [bias])
+    """Log-odds of each sentence, minus infinity without a kept feature; a text without sentences has one such."""
+    weigh = words.__getitem__
+    sums = np.array([sum(map(weigh, part.split())) for part in sentences(text.lower())] or [0.0], float)
+    with np.errstate(divide="ignore", over="ignore"):
+        return bias - np.logaddexp(0.0, bias) + np.where(sums > 30.0, sums, np.log(np.expm1(np.minimum(sums, 30.0))))
+
+
+def noisy_or(log_odds: np.ndarray, leak: float = -np.inf) -> float:
+    """Probability that at least one sentence is toxic, or the document without one."""
+    return float(-np.expm1(-np.logaddexp(0.0, log_odds).sum() - np.logaddexp(0.0, leak)))
+
+
+def _counted(known: bytes | None):
+    """In how many documents of a task, and how many toxic ones, each bucket occurs; without ``known``, of whole words only."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = WordFeatures(known if known is not None else b"\xff" * (BUCKETS // 8))
+        seen, toxic = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        for rows in frames:
+            for label, text in zip(rows["label"], rows["text"]):
+                # word by word: the list of all words of a long text would take many times its size
+                found = {bucket for part in sentences(text.lower()) for word in part.split() for bucket in words[word]}
+                places = np.fromiter(found, np.int64, len(found))
+                seen[places] += 1
+                toxic[places] += int(label > 0)
+        met = np.flatnonzero(seen)
+        yield pd.DataFrame({"bucket": met, "seen": seen[met], "toxic": toxic[met]})
+
+    return run
 
 
-def noisy_or(log_odds: np.ndarray) -> float:
-    """Probability that at least one sentence is toxic."""
-    return float(-np.expm1(-np.logaddexp(0.0, log_odds).sum()))
+def _counts(rows: DataFrame, known: bytes | None = None) -> DataFrame:
+    counts = rows.select("label", "text").mapInPandas(_counted(known), "bucket long, seen long, toxic long")
+    counts = counts.groupBy("bucket").agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic"))
+    return counts.where(F.col("seen") >= LEAST_DOCUMENTS)
 
 
-def _featurised(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in frames:
-        out = []
-        for label, text in zip(rows["label"], rows["text"]):
-            low = text.lower()
-            sets = [{b for word in low[a:z].split() for b in features(word)} for a, z in spans(text)] or [set()]
-            flat = [bucket for one in sets for bucket in sorted(one)]
-            sizes = [len(one) for one in sets]
-            out.append((int(label), np.array(sizes, "<i4").tobytes(), np.array(flat, "<i4").tobytes()))
-        yield pd.DataFrame(out, columns=["label", "sizes", "buckets"])
+def known_words(rows: DataFrame) -> bytes:
+    """A bit per bucket, set for words that enough documents have."""
+    bits = _counts(rows).groupBy(F.floor(F.col("bucket") / PAGE).cast("int").alias("page"))
+    bits = bits.agg(F.bitmap_construct_agg(F.col("bucket") % PAGE).alias("bits")).collect()
+    pages = {row["page"]: bytes(row["bits"]) for row in bits}
+    return b"".join(pages.get(page, bytes(PAGE // 8)) for page in range(BUCKETS // PAGE))
 
 
-def screened(labels: np.ndarray, docs: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+def screened(rows: DataFrame, share: float, known: bytes) -> list[int]:
     """Buckets that occur in toxic documents more often than their share, the most telling first."""
-    pairs = np.unique(docs.astype(np.int64) * BUCKETS + buckets)
-    doc, bucket = pairs // BUCKETS, pairs % BUCKETS
-    seen = np.bincount(bucket, minlength=BUCKETS).astype(float)
-    toxic = np.bincount(bucket, weights=labels[doc], minlength=BUCKETS)
-    share = labels.mean()
-    expected = seen * share
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = np.where(toxic > expected, toxic * np.log(toxic / expected), 0.0)
-        clean, spared = seen - toxic, seen * (1 - share)
-        gain += np.where((toxic > expected) & (clean > 0), clean * np.log(clean / spared), 0.0)
-    gain[seen < LEAST_DOCUMENTS] = 0.0
-    best = np.argsort(-gain, kind="stable")[:KEPT]
-    return best[gain[best] > 5.0]
-
-
-def fit(labels: list[int], sizes: list[np.ndarray], buckets: list[np.ndarray]) -> Model:
-    """The model of a sample; without a toxic and a clean document all sentences get the same odds."""
+    counts = _counts(rows, known).where(F.col("toxic") > F.col("seen") * share)
+    clean = F.col("seen") - F.col("toxic")
+    gain = F.col("toxic") * F.log(F.col("toxic") / (F.col("seen") * share))
+    gain = gain + F.when(clean > 0, clean * F.log(clean / (F.col("seen") * (1 - share)))).otherwise(0.0)
+    best = counts.select("bucket", gain.alias("gain")).where(F.col("gain") > LEAST_GAIN).orderBy(F.desc("gain"), "bucket")
+    return [row["bucket"] for row in best.limit(KEPT).collect()]
+
+
+def _reduced(kept: list[int], known: bytes):
+    column = {bucket: place for place, bucket in enumerate(kept)}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = WordFeatures(known)
+        for rows in frames:
+            out = []
+            for label, text in zip(rows["label"], rows["text"]):
+                alike = Counter()
+                for part in sentences(text.lower()):
+                    found = frozenset(column[b] for word in part.split() for b in words[word] if b in column)
+                    if found:
+                        alike[tuple(sorted(found))] += 1
+                ordered = sorted(alike.items())
+                arrays = ([len(one) for one, _ in ordered], [c for one, _ in ordered for c in one], [times for _, times in ordered])
+                out.append((int(label > 0), *(np.array(one, "<i4").tobytes() for one in arrays)))
+            yield pd.DataFrame(out, columns=["label", "sizes", "columns", "times"])
+
+    return run
+
+
+def fit(kept: list[int], known: bytes, labels: list[int], sizes: list[np.ndarray], columns: list[np.ndarray], times: list[np.ndarray]) -> Model:
+    """The model of a sample: per document its label, and of its sentences with kept features their number of features, the
+    features as places in ``kept``, and how often each sentence occurs."""
     labels_ = np.array(labels, float)
-    if not len(labels) or labels_.min() == labels_.max():
-        return Model({}, 5.0 if len(labels) and labels_[0] else -9.0)
-    per_doc = np.array([len(one) for one in sizes])
-    sentence_doc = np.repeat(np.arange(len(labels)), per_doc)
-    sentence_size = np.concatenate(sizes)
-    entry_sentence = np.repeat(np.arange(len(sentence_doc)), sentence_size)
-    entry_bucket = np.concatenate(buckets)
-    kept = screened(labels_, sentence_doc[entry_sentence], entry_bucket)
-    column = np.full(BUCKETS, -1)
-    column[kept] = np.arange(len(kept))
-    column = column[entry_bucket]
-    entry_sentence, column = entry_sentence[column >= 0], column[column >= 0]
-
-    weights = np.zeros(len(kept) + 1)  # the last is the bias
-    weights[-1] = -6.0
-    first, second = np.zeros_like(weights), np.zeros_like(weights)
+    sentence_doc = np.repeat(np.arange(len(labels)), [len(one) for one in sizes])
+    entry_sentence = np.repeat(np.arange(len(sentence_doc)), np.concatenate(sizes))
+    column, often = np.concatenate(columns), np.concatenate(times).astype(float)
+
+    values = np.ones(len(kept) + 2)  # the last two are the bias and the leak
+    values[-2:] = MOST_BIAS, -4.0
+    first, second = np.zeros_like(values), np.zeros_like(values)
     for step in range(1, STEPS + 1):
-        odds = weights[-1] + np.bincount(entry_sentence, weights=weights[column], minlength=len(sentence_doc))
-        dirty = 1.0 / (1.0 + np.exp(-odds))
-        total = np.bincount(sentence_doc, weights=np.logaddexp(0.0, odds), minlength=len(labels))
-        outer = np.where(labels_ > 0, -1.0 / np.maximum(np.expm1(np.minimum(total, 50.0)), 1e-6), 1.0)
-        slope = outer[sentence_doc] * dirty / len(labels)
-        change = np.append(np.bincount(column, weights=slope[entry_sentence], minlength=len(kept)), slope.sum())
-        change[:-1] += DECAY * weights[:-1]
+        bias, leak = values[-2:]
+        odds = bias + np.bincount(entry_sentence, weights=values[column], minlength=len(sentence_doc))
+        above = often * (np.logaddexp(0.0, odds) - np.logaddexp(0.0, bias))
+        total = np.logaddexp(0.0, leak) + np.bincount(sentence_doc, weights=above, minlength=len(labels))
+        outer = np.where(labels_ > 0, -1.0 / np.maximum(np.expm1(np.minimum(total, 50.0)), 1e-6), 1.0) / len(labels)
+        slope, dirty = outer[sentence_doc] * often, 1.0 / (1.0 + np.exp(-odds))
+        change = np.append(
+            np.bincount(column, weights=(slope * dirty)[entry_sentence], minlength=len(kept)),
+            [(slope * (dirty - 1.0 / (1.0 + np.exp(-bias)))).sum(), outer.sum() / (1.0 + np.exp(-leak))],
+        )
+        change[:-2] += DECAY * values[:-2] + SHRINK
         first = 0.9 * first + 0.1 * change
         second = 0.999 * second + 0.001 * change * change
-        weights -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return Model({int(bucket): float(weight) for bucket, weight in zip(kept, weights)}, float(weights[-1]))
+        values -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+        values[:-2], values[-2] = np.maximum(values[:-2], 0.0), min(values[-2], MOST_BIAS)
+    weights = {int(bucket): float(weight) for bucket, weight in zip(kept, values) if weight >= LEAST_WEIGHT}
+    return Model(weights, float(values[-2]), float(values[-1]), known)
 
 
 def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
-    """The model of a table of documents and their labels."""
-    rows = sample(docs, labels, label, FOLDS, HELD, SAMPLE_ROWS, SAMPLE_CHARS)
-    schema = "label int, sizes binary, buckets binary"
+    """The model of a table of documents and their labels; without a toxic and a clean document all score alike."""
+    rows = sample(docs, labels, label, FOLDS, HELD, SAMPLE_ROWS, all_chars=SAMPLE_CHARS)
+    size, dirty = rows.agg(F.count(F.lit(1)), F.sum((F.col("label") > 0).cast("int"))).first()
+    if not size or not 0 < dirty < size:
+        return Model({}, MOST_BIAS, 5.0 if dirty else -9.0)
+    known = known_words(rows)
+    kept = screened(rows, dirty / size, known)
+    schema = "label int, sizes binary, columns binary, times binary"
     # sorted: float sums depend on the order of the sample
-    found = sorted(map(tuple, rows.select("label", "text").mapInPandas(_featurised, schema).collect()))
-    return fit(
-        [row[0] for row in found], [np.frombuffer(row[1], "<i4") for row in found], [np.frombuffer(row[2], "<i4") for row in found]
-    )
+    found = sorted(map(tuple, rows.select("label", "text").mapInPandas(_reduced(kept, known), schema).collect()))
+    return fit(kept, known, [row[0] for row in found], *([np.frombuffer(row[at], "<i4") for row in found] for at in (1, 2, 3)))
 
 
 SCORED = "score double, sentences int, worst int, worst_start int, worst_end int, worst_score double, offending array<int>"
@@ -177,7 +249,7 @@ def _scored(model: Model, columns: list[str]):
                 start, end = places[worst] if places else (0, 0)
                 dirty = 1.0 / (1.0 + np.exp(-odds))
                 offending = np.flatnonzero(odds >= 0).tolist()
-                out.append((noisy_or(odds), len(places), worst, start, end, float(dirty[worst]), offending))
+                out.append((noisy_or(odds, model.leak), len(places), worst, start, end, float(dirty[worst]), offending))
             made = pd.DataFrame(out, columns=[part.split()[0] for part in SCORED.split(", ")], index=rows.index)
             yield pd.concat([rows[columns], made], axis=1)
 
@@ -188,7 +260,7 @@ def toxicity(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colu
     """Per row of the table: doc_id, score, sentences, and which sentences offend.
 
     ``worst`` is the sentence with the highest probability, with its place in the text in characters; ``offending`` lists
-    those at one half or more. A null or empty text has no sentence and the score of one empty sentence. Repeated rows are
+    those at one half or more. A null or empty text has no sentence and the leak as its score. Repeated rows are
     scored each, a null id stays null, an empty table gives an empty one. Other columns are not read.
     """
     text = F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("__text")
@@ -214,7 +286,7 @@ def _text_scores(model: Model):
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         words = WordWeights(model)
         for texts in batches:
-            yield pd.Series([noisy_or(sentence_scores(text, words, model.bias)) for text in texts], dtype="float64")
+            yield pd.Series([noisy_or(sentence_scores(text, words, model.bias), model.leak) for text in texts], dtype="float64")
 
     score.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return score

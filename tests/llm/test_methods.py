@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from gridsight.llm import components, mixing, naming, packing, parity_join, quality, token_counts, tool_calls, toxicity, weak_rules
+from gridsight.llm import components, labelled, mixing, naming, packing, parity_join, quality, token_counts, tool_calls, toxicity, weak_rules
 from gridsight.llm.common import ready, table
 from gridsight.llm.encoding import Encoder, parts_of
 from gridsight.llm.queries import vocabulary
@@ -144,6 +144,33 @@ def test_noisy_or_and_the_offending_sentence(spark):
     assert toxicity.noisy_or(np.array([0.0, 0.0])) == pytest.approx(0.75)
 
 
+def test_long_clean_texts_stay_clean(spark):
+    rows = [(i, "calm words here. " * 5 + ("you foul clod. " if i % 3 == 0 else "nice day. ")) for i in range(300)]
+    rows += [(1000, "calm words here. nice day. " * 5000), (1001, "quite other words. " * 10_000), (1002, "calm words here. " * 9999 + "you foul clod.")]
+    ready(spark)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    for known in (labels, labels.where("false"), labels.where("toxic = 0")):
+        scores = {row["doc_id"]: row for row in toxicity.document_scores(docs, known).where("doc_id >= 1000").collect()}
+        assert scores[1000]["score"] < 0.5 and scores[1001]["score"] < 0.5
+        assert scores[1000]["sentences"] == scores[1001]["sentences"] == 10_000
+        if known is labels:
+            assert scores[1002]["predicted"] == 1 and scores[1002]["offending"] == [9999]
+    left = {row["doc_id"] for row in toxicity.without_toxic(docs, labels).select("doc_id").collect()}
+    assert {1000, 1001} <= left and 1002 not in left
+
+
+def test_long_labelled_texts_are_fitted_on(spark):
+    calm = "calm words here. " * 8000
+    rows = [(i, calm + ("you foul clod. " if i % 2 == 0 else "nice day. ")) for i in range(40)]
+    ready(spark)
+    docs = spark.createDataFrame([*rows, (1000, "you foul clod."), (1001, "nice day.")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    found = {row["doc_id"]: row["predicted"] for row in toxicity.document_scores(docs, labels).collect()}
+    assert found == {i: int(i % 2 == 0) for i in [*range(40), 1000, 1001]}
+    assert labelled.sample(docs, labels, "toxic", 5, 0, 3000, all_chars=len(calm) + 100).count() == 2  # the second one crosses
+
+
 def test_sum_of_squares_identity():
     rng = np.random.default_rng(1)
     inputs, weights, factors = rng.normal(size=(4, 7)), rng.normal(size=7), rng.normal(size=(7, 3))
