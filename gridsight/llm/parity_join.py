@@ -26,7 +26,6 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import saved
@@ -355,17 +354,15 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def one_per_component(docs: DataFrame) -> DataFrame:
-    """The documents that stay when one of each component does, the longest, then the one with the smallest id.
+    """The rows that stay when one of each component does, the longest, then the one with the smallest id.
 
-    Columns as they were; rows without an id stay. Rows that share an id are one document: its longest row stays.
+    Columns as they were; rows without an id stay. Rows are linked by their texts alone: each gets an id of its own, which
+    is written so that it stays the same, and rows that share a doc_id are told apart.
     """
-    near = near_duplicates(docs).where("doc_id IS NOT NULL").select("doc_id", "component_id").distinct()
-    near = near.select(F.col("doc_id").alias("__near_id"), F.col("component_id").alias("__near_group"))
-    sizes = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
-    sizes = sizes.join(near, F.col("id") == F.col("__near_id"))
-    best = F.max(F.struct("chars", (-F.col("id")).alias("minus")))
-    keep = sizes.groupBy("__near_group").agg(best.alias("best")).select((-F.col("best.minus")).alias("__keep_id"))
-    joined = docs.join(keep, docs["doc_id"].cast("long") == keep["__keep_id"])
-    order = W.partitionBy("__keep_id").orderBy(F.coalesce(F.length("text"), F.lit(0)).desc(), "text")
-    stay = joined.withColumn("__turn", F.row_number().over(order)).where("__turn = 1").select(*docs.columns)
-    return stay.unionByName(docs.where("doc_id IS NULL"))
+    rows = saved(docs.where("doc_id IS NOT NULL").withColumn("__row", F.monotonically_increasing_id()), "parity-rows")
+    near = near_duplicates(rows, "__row").select(F.col("doc_id").alias("__near_row"), F.col("component_id").alias("__near_group"))
+    sizes = rows.select("__row", F.col("doc_id").cast("long").alias("id"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
+    sizes = sizes.join(near, F.col("__row") == F.col("__near_row"))
+    best = F.max(F.struct("chars", (-F.col("id")).alias("minus"), (-F.col("__row")).alias("row")))
+    keep = sizes.groupBy("__near_group").agg(best.alias("best")).select((-F.col("best.row")).alias("__row"))
+    return rows.join(keep, "__row", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

@@ -217,6 +217,15 @@ def test_near_duplicates_by_brute_force(spark):
     assert {row["doc_id"]: row["n_shingles"] for row in found} == {doc_id: len(one) for doc_id, one in sets.items()}
 
 
+def test_rows_that_share_an_id_go_only_for_a_link(spark):
+    text = lambda name: " ".join(f"{name}{place}" for place in range(60))
+    rows = [(1, text("a")), (1, text("b")), (2, text("a") + " more"), (3, text("b") + " more"), (4, text("c")), (4, text("c")), (None, text("c"))]
+    ready(spark)
+    left = parity_join.one_per_component(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert left.columns == ["doc_id", "text"]
+    assert sorted(map(tuple, left.collect()), key=repr) == sorted([rows[2], rows[3], rows[4], rows[6]], key=repr)
+
+
 def test_components_of_a_chain_and_a_ring(spark):
     ready(spark)
     links = [(i, i + 1) for i in range(20)] + [(30, 31), (31, 32), (32, 30), (40, 40)]
