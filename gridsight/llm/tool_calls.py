@@ -19,6 +19,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import saved, words
 
@@ -96,7 +97,10 @@ def _records(schemas: dict[str, dict]):
                 level = None if pd.isna(row.level) else int(row.level)
                 position = None if pd.isna(row.position) else int(row.position)
                 conv_id = None if pd.isna(row.conv_id) else int(row.conv_id)
-                if not row.called:
+                if row.again:
+                    value = argument_problems(row.arguments, schemas.get(row.name))[0] if row.called else None
+                    status, errors = "duplicate", [f"{'call' if row.called else 'result'} repeats an identifier"]
+                elif not row.called:
                     status, errors, value = "orphan", ["result without a call"], None
                 else:
                     value, errors = argument_problems(row.arguments, schemas.get(row.name))
@@ -133,13 +137,14 @@ def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """One row per call, and per result without a call: its level, status, errors and canonical record.
+    """One row per call, per result without a call, and per row that repeats an identifier: its level, status, errors and canonical record.
 
     ``calls`` has conv_id, call_id, position, name, arguments (JSON text) and needs (identifiers); ``results`` has
-    conv_id, call_id, position, content. Of rows that share conversation and identifier the one with the lowest position
-    counts, then the least by its other columns. Null conversations or identifiers match nothing: such a call is unanswered, such a
+    conv_id, call_id, position, content. Of calls that share conversation and identifier, and likewise of results, the one with the lowest
+    position is linked, then the least by its other columns; each other one is a row of status duplicate without a level, with its
+    own arguments or content. Null conversations or identifiers match nothing: such a call is unanswered, such a
     result an orphan, each a row of its own. Status is ok, invalid (arguments break the schema, the tool is unknown, or a need names no call),
-    unanswered, cycle or orphan. Null or empty arguments are no JSON. Empty tables give an empty one. Extra columns are
+    unanswered, cycle, orphan or duplicate. Null or empty arguments are no JSON. Empty tables give an empty one. Extra columns are
     not read.
     """
     calls = calls.select(
@@ -152,12 +157,14 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
         F.col("position").cast("long").alias("position"), F.col("content").cast("string").alias("content"),
     )
     named = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
-    least = F.min(F.struct(F.col("position").isNull().alias("last"), "position", "name", "arguments", "needs")).alias("one")
-    known = calls.where(named).groupBy("conv_id", "call_id").agg(least)
-    known = saved(known.select("conv_id", "call_id", "one.position", "one.name", "one.arguments", "one.needs"), "calls")
-    least = F.min(F.struct(F.col("position").isNull().alias("last"), "position", "content")).alias("one")
-    answers = results.where(named).groupBy("conv_id", "call_id").agg(least)
-    answers = answers.select("conv_id", "call_id", F.col("one.position").alias("answered_at"), "one.content", F.lit(True).alias("answered"))
+    turn = lambda *others: F.row_number().over(
+        W.partitionBy("conv_id", "call_id").orderBy(F.col("position").isNull(), "position", *others)
+    )
+    asks = saved(calls.where(named).withColumn("turn", turn("name", "arguments", "needs")), "calls")
+    known = asks.where("turn = 1").drop("turn")
+    answers = saved(results.where(named).withColumn("turn", turn("content")), "call-answers")
+    repeated = answers.where("turn > 1").drop("turn")
+    answers = answers.where("turn = 1").select("conv_id", "call_id", F.col("position").alias("answered_at"), "content", F.lit(True).alias("answered"))
 
     asked = known.select("conv_id", "call_id", F.explode(F.array_distinct("needs")).alias("need"))
     other = known.select("conv_id", F.col("call_id").alias("need"), F.lit(True).alias("is_call"))
@@ -173,11 +180,17 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
         "conv_id", "call_id", "position", "name", "arguments", F.lit(0).alias("level"), "needs", F.lit(True).alias("called"),
         F.lit(False).alias("answered"), F.lit(None).cast("string").alias("content"),
     ).toDF(*columns)
-    stray = results.where(~named).select(
+    uncalled = [
         "conv_id", "call_id", "position", F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("int"),
         F.lit(None).cast("array<string>"), F.lit(False), F.lit(True), "content",
+    ]
+    stray = results.where(~named).select(*uncalled).toDF(*columns)
+    later = asks.where("turn > 1").select(
+        "conv_id", "call_id", "position", "name", "arguments", F.lit(None).cast("int").alias("level"), "needs", F.lit(True).alias("called"),
+        F.lit(False).alias("answered"), F.lit(None).cast("string").alias("content"),
     ).toDF(*columns)
-    rows = rows.unionByName(lost).unionByName(stray)
+    later = later.unionByName(repeated.select(*uncalled).toDF(*columns)).withColumn("again", F.lit(True))
+    rows = later.unionByName(rows.unionByName(lost).unionByName(stray).withColumn("again", F.lit(False)))
     rows = rows.withColumn("unknown", F.coalesce("unknown", F.array().cast("array<string>")))
     rows = rows.withColumn("called", F.coalesce("called", F.lit(False))).withColumn("answered", F.coalesce("answered", F.lit(False)))
     return rows.mapInPandas(_records(schemas), RECORD)

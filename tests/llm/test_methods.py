@@ -257,6 +257,20 @@ def test_tool_calls_by_hand(spark):
     assert found[None]["status"] == "invalid"
 
 
+def test_repeated_calls_and_results_are_rows(spark):
+    ready(spark)
+    calls = [(1, "a", 0, "summarise", '{"query":"q"}', []), (1, "a", 9, "other", '{"x":1}', []), (1, "b", 10, "summarise", '{"query":"q"}', ["a"])]
+    calls = spark.createDataFrame(calls, "conv_id long, call_id string, position long, name string, arguments string, needs array<string>")
+    results = [(1, "a", 5, "r"), (1, "a", 6, "second"), (1, "x", 7, "stray"), (1, "x", 8, "again")]
+    results = spark.createDataFrame(results, "conv_id long, call_id string, position long, content string")
+    found = {row["position"]: row for row in tool_calls.link(calls, results, tool_calls.SCHEMAS).collect()}
+    assert {place: (row["call_id"], row["status"], row["level"]) for place, row in found.items()} == {
+        0: ("a", "ok", 0), 6: ("a", "duplicate", None), 7: ("x", "orphan", None), 8: ("x", "duplicate", None),
+        9: ("a", "duplicate", None), 10: ("b", "unanswered", 1),
+    }
+    assert '"x":1' in found[9]["record"] and '"result":"second"' in found[6]["record"] and '"result":"r"' in found[0]["record"]
+
+
 def test_pipeline_runs(spark):
     import corpus_pipeline
 
