@@ -216,7 +216,8 @@ def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results read out of plain conversations.
 
     A user's turn is a call: its tool follows from the length of its text, its arguments are the text, the number of words
-    and a language; it needs the user's turn about half-way back to the start. The turn after it is the result.
+    and a language; it needs the user's turn about half-way back to the start. The turn after it is the result. Turns of any other role
+    (system, null or unknown) carry neither a call nor a result and give no row.
     """
     rows = turns.select("conv_id", F.col("turn").alias("position"), "role", F.col("text").alias("text"))
     half = F.floor(F.col("position") / 2)
