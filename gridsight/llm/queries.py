@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, naming, packing, parity_join, quality, records, token_counts, tool_calls, toxicity, weak_rules
+from . import lexical_search, mixing, naming, packing, parity_join, quality, records, token_counts, tool_calls, toxicity, weak_rules
 from .common import table
 
 
@@ -65,6 +65,11 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.document_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op13_range_maxima(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 best documents of each benchmark item."""
+    return lexical_search.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 OP9_SQL = r"""
 WITH bodies AS (
   SELECT doc_id, coalesce(text, '') AS whole,
@@ -79,6 +84,38 @@ WITH bodies AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM placed
 """
 
+OP13_SQL = r"""
+WITH spelled AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[0-9a-z\x{80}-\x{10FFFF}]+') AS terms
+  FROM documents
+), totals AS (
+  SELECT CAST(count(*) AS BIGINT) AS holders, CAST(sum(len(terms)) AS BIGINT) AS total FROM spelled WHERE len(terms) > 0
+), sized AS (
+  SELECT doc_id, row_number() OVER () AS number, terms, 75 + (25 * len(terms) * holders) // total AS m
+  FROM spelled, totals WHERE len(terms) > 0
+), postings AS (
+  SELECT number, term, count(*) AS tf FROM (SELECT number, unnest(terms) AS term FROM sized) GROUP BY ALL
+), asked AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term
+  FROM benchmark
+), queried AS (
+  SELECT item_id, term, count(*) AS times FROM asked GROUP BY ALL
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * holders + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM postings, totals WHERE term IN (SELECT term FROM queried) GROUP BY term, holders
+), scored AS (
+  SELECT item_id, doc_id, number, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM queried JOIN weights USING (term) JOIN postings USING (term) JOIN sized USING (number) GROUP BY item_id, doc_id, number
+), placed AS (
+  SELECT item_id, doc_id, score,
+         row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS place
+  FROM scored WHERE score > 0
+)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM placed WHERE place <= 20
+"""
+
 
 QUERIES = {
     "op1_tool_calls": op1_tool_calls,
@@ -91,5 +128,6 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_block_naming": op9_block_naming,
     "op10_quality": op10_quality,
+    "op13_range_maxima": op13_range_maxima,
 }
-ORACLES: dict[str, str] = {"op9_block_naming": OP9_SQL}
+ORACLES: dict[str, str] = {"op9_block_naming": OP9_SQL, "op13_range_maxima": OP13_SQL}
