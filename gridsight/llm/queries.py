@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lexical_search, mixing, naming, packing, parity_join, quality, records, token_counts, tool_calls, toxicity, weak_rules
+from . import lexical_search, mixing, naming, packing, parity_join, quality, records, repair, token_counts, tool_calls, toxicity, weak_rules
 from .common import table
 
 
@@ -65,6 +65,12 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.document_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Damaged conversations with their faults, the cheapest repair and a hash of its text."""
+    conversations = table(spark, folder, "conversations")
+    return repair.repaired(repair.damage(conversations), conversations)
+
+
 def op13_range_maxima(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 best documents of each benchmark item."""
     return lexical_search.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -84,6 +90,82 @@ WITH bodies AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM placed
 """
 
+def _op11_sql() -> str:
+    """The repair as a recursion over turns: per place in the grammar (o nothing, l system, u user, b pairs) the least
+    (cost, audit) with its text."""
+
+    def more(state: str, cost: str, letter: str, line: str = "''") -> str:
+        return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || {letter}, 't': {state}.t || {line}}} END"
+
+    def least(*states: str) -> str:
+        return f"list_sort(list_filter([{', '.join(states)}], lambda x: x IS NOT NULL))[1]"
+
+    def stays(state: str, to: str, role: str) -> str:
+        edit = f"CASE WHEN first = '{to}' THEN 'K' ELSE 'R' END"
+        line = f"chr(10) || CASE WHEN first = '{to}' THEN role ELSE '{role}' END || ':' || text"
+        return f"CASE WHEN NOT must_go THEN {more(state, f"(CASE WHEN first = '{to}' THEN 0 ELSE 2 END) + cut", edit, line)} END"
+
+    user, assistant = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+    kept_system = f"CASE WHEN NOT must_go AND first = 's' THEN {more('o', 'cut', "'K'", "chr(10) || role || ':' || text")} END"
+    empty = "CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, t VARCHAR))"
+    return rf"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+                        lambda x: CAST(unicode(x) AS BIGINT) + 1) AS codes
+  FROM conversations
+), dealt AS (
+  SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(
+           list_prepend(4294967295::BIGINT, flatten(list_transform(codes, lambda x: [x, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]))),
+           lambda c, x: CASE WHEN x > 0 THEN xor(c, x - 1) WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) % 20 AS choice
+  FROM keyed
+), damaged AS (
+  SELECT conv_id, turn, CASE choice WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE choice WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE choice WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM dealt WHERE choice <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS pos FROM damaged
+), judged AS (
+  SELECT *, CASE WHEN role = '' THEN ' ' ELSE left(role, 1) END AS first,
+         NOT regexp_matches(text, '[^ 	-]') AS blank,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before_it
+  FROM placed
+), faulty AS (
+  SELECT *, blank OR again AS must_go,
+         CASE WHEN NOT blank AND NOT again AND right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1)
+              NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS cut
+  FROM judged
+), counted AS (
+  SELECT conv_id, count(*) AS size, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         sum(CAST(blank AS INTEGER)) AS blank, sum(CASE WHEN again AND NOT blank THEN 1 ELSE 0 END) AS duplicate,
+         sum(cut) AS truncated, sum(CASE WHEN before_it || first NOT IN ('su', 'ua', 'au') THEN 1 ELSE 0 END) AS illegal
+  FROM faulty GROUP BY conv_id
+), parsed AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS pos, {{'c': CAST(0 AS BIGINT), 'a': '', 't': ''}} AS o, {empty} AS l, {empty} AS u, {empty} AS b
+  FROM counted
+  UNION ALL
+  SELECT conv_id, pos, {more("o", "3", "'D'")}, {least(more("l", "3", "'D'"), kept_system)},
+         {least(more("u2", "3", "'D'"), stays("o", "u", "user"), stays("l", "u", "user"), stays("b2", "u", "user"))},
+         {least(more("b2", "3", "'D'"), stays("u2", "a", "assistant"))}
+  FROM (SELECT *, {least("b", more("u2", "2", "'I'", assistant))} AS b2
+        FROM (SELECT p.conv_id, f.pos, f.role, f.text, f.first, f.must_go, f.cut, o, l, b,
+                     {least("u", more("o", "2", "'I'", user), more("l", "2", "'I'", user), more("b", "2", "'I'", user))} AS u2
+              FROM parsed p JOIN faulty f ON p.conv_id IS NOT DISTINCT FROM f.conv_id AND f.pos = p.pos + 1))
+), ended AS (
+  SELECT conv_id, {least("o", "b", more("u", "2", "'I'", assistant), more("l", "4", "'II'", f"{user} || {assistant}"))} AS best
+  FROM parsed JOIN counted USING (conv_id) WHERE pos = size
+)
+SELECT i.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+       CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+       CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(best.c, 0) AS BIGINT) AS cost,
+       coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN counted USING (conv_id) LEFT JOIN ended USING (conv_id)
+"""
+
+
+OP11_SQL = _op11_sql()
 OP13_SQL = r"""
 WITH spelled AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -128,6 +210,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_block_naming": op9_block_naming,
     "op10_quality": op10_quality,
+    "op11_repair": op11_repair,
     "op13_range_maxima": op13_range_maxima,
 }
-ORACLES: dict[str, str] = {"op9_block_naming": OP9_SQL, "op13_range_maxima": OP13_SQL}
+ORACLES: dict[str, str] = {"op9_block_naming": OP9_SQL, "op11_repair": OP11_SQL, "op13_range_maxima": OP13_SQL}
