@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lexical_search, mixing, naming, packing, parity_join, quality, records, repair, token_counts, tool_calls, toxicity, weak_rules
+from . import lexical_search, mixing, naming, packing, parity_join, quality, records, repair, suffix_merge, token_counts, tool_calls, toxicity, weak_rules
 from .common import table
 
 
@@ -71,6 +71,12 @@ def op11_repair(spark: SparkSession, folder: str) -> DataFrame:
     return repair.repaired(repair.damage(conversations), conversations)
 
 
+def op12_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of each document that repeat, and a hash of the rest."""
+    found = suffix_merge.repeated_spans(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op13_range_maxima(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 best documents of each benchmark item."""
     return lexical_search.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -128,7 +134,8 @@ WITH RECURSIVE keyed AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS pos FROM damaged
 ), judged AS (
   SELECT *, CASE WHEN role = '' THEN ' ' ELSE left(role, 1) END AS first,
-         NOT regexp_matches(text, '[^ 	-]') AS blank,
+         NOT regexp_matches(text, '[^ 	-
+]') AS blank,
          row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
          lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before_it
   FROM placed
@@ -211,6 +218,7 @@ QUERIES = {
     "op9_block_naming": op9_block_naming,
     "op10_quality": op10_quality,
     "op11_repair": op11_repair,
+    "op12_repeats": op12_repeats,
     "op13_range_maxima": op13_range_maxima,
 }
 ORACLES: dict[str, str] = {"op9_block_naming": OP9_SQL, "op11_repair": OP11_SQL, "op13_range_maxima": OP13_SQL}

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import SPACES, ready, saved
 
 #: Rows of a chunk, about.
-CHUNK_ROWS = 200_000
+CHUNK_ROWS = 20_000
 
 _START, _SYSTEM, _LEAD, _ASKED, _ANSWERED, _BODY, _AGAIN, _AGAIN_ANSWERED = range(8)
 _SHIFT = {
