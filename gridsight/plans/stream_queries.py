@@ -47,7 +47,7 @@ def latest_state_stream(spark, folder):
     ["status_events"],
 )
 def idle_stream(spark, folder):
-    return _appended(spark, views.idle_stream(b.status_of(_stream(spark, folder, "events"))), "idle")
+    return _kept(spark, views.start_idle(b.status_of(_stream(spark, folder, "events")), new_folder(spark, "idle")))
 
 
 _PROCESS_STATUS = "CASE WHEN event_type IN ('view', 'click') THEN 'running' ELSE 'stopped' END"
@@ -101,9 +101,7 @@ _BEFORE = "OVER (PARTITION BY cluster_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED
     ["status_events"],
 )
 def believed_changes_stream(spark, folder):
-    place = new_folder(spark, "believed")
-    views.start_believed(b.status_of(_stream(spark, folder, "events")), place).awaitTermination()
-    return views.believed_rows(spark, place)
+    return _kept(spark, views.start_believed(b.status_of(_stream(spark, folder, "events")), new_folder(spark, "believed")))
 
 
 MAX_RETRY, RETRY_S = 3, 3600
@@ -113,7 +111,7 @@ MAX_RETRY, RETRY_S = 3, 3600
     "T6",
     "SELECT cluster_id, process, CASE WHEN g IS NOT NULL THEN 'stopped' ELSE last_status END AS status, coalesce(g, last_ts) AS last_ts, "
     f"(SELECT count(*) FROM checks d WHERE d.cluster_id = k.cluster_id AND d.process = k.process AND NOT d.alive AND d.ts + to_seconds({RETRY_S}) "
-    "<= coalesce(k.g, k.last_ts)) AS restarts_used, g AS given_up_at FROM (SELECT cluster_id, process, max(ts) AS last_ts, arg_max(CASE WHEN "
+    "<= coalesce(k.g, (SELECT max(ts) FROM checks ))) AS restarts_used, g AS given_up_at FROM (SELECT cluster_id, process, max(ts) AS last_ts, arg_max(CASE WHEN "
     "alive THEN 'running' ELSE 'stopped' END, (ts, seq)) AS last_status, (SELECT min(t.ts) FROM checks t WHERE t.cluster_id = c.cluster_id AND "
     "t.process = c.process AND NOT t.alive AND (SELECT count(*) FROM checks d WHERE d.cluster_id = t.cluster_id AND d.process = t.process AND "
     f"NOT d.alive AND d.ts + to_seconds({RETRY_S}) <= t.ts) >= {MAX_RETRY}) AS g FROM checks c GROUP BY cluster_id, process) k".replace(

@@ -4,18 +4,23 @@ A change moves its process from one status to another, so it adds to or takes
 from the number of processes known, running and stopped. The sums of these
 steps up to a change tell whether all processes agree after it. Changes that
 repeat a status move nothing and leave before the changes of a cluster meet.
+Both the status before a change and the sums are found within spans of time and
+from span to span, so that a process or cluster with very many changes is worked
+on by many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import join_reduced
 from ..operators.registry import process_counts, rollup_expression
+from .spans import with_earlier, with_running_sums
 
 PROCESS = ["cluster_id", "name"]
 COUNTS = ["processes", "running", "stopped"]
+SPAN_S = 600
 
 
 def newest_changes(before: DataFrame, changes: DataFrame) -> DataFrame:
@@ -26,17 +31,15 @@ def newest_changes(before: DataFrame, changes: DataFrame) -> DataFrame:
     return both.groupBy(*PROCESS).agg(newest).select(*PROCESS, "newest.*")
 
 
-def _moves(before: DataFrame, changes: DataFrame) -> DataFrame:
+def _moves(before: DataFrame, changes: DataFrame, span_s: int) -> DataFrame:
     """Changes that give a process another status, with what they add to the counts of its cluster."""
     known = before.select(*PROCESS, F.struct("ts", "seq").alias("known"), F.col("status").alias("known_status"))
     joined = join_reduced(changes.select(*PROCESS, "ts", "seq", "status"), known, PROCESS, "left")
     fresh = joined.filter(F.col("known").isNull() | (F.struct("ts", "seq") > F.col("known")))
-    in_order = Window.partitionBy(*PROCESS).orderBy("ts", "seq")
-    first = F.col("known").isNull() & (F.row_number().over(in_order) == 1)
-    stepped = fresh.select(
-        *PROCESS, "ts", "seq", "status", first.alias("first"),
-        F.lag(F.struct("status"), 1).over(in_order).alias("earlier"), "known_status",
-    ).withColumn("was", F.when(F.col("earlier").isNotNull(), F.col("earlier.status")).otherwise(F.col("known_status")))
+    stepped = with_earlier(fresh, PROCESS, ["ts", "seq"], "status", "earlier", span_s)
+    first = F.col("known").isNull() & F.col("earlier").isNull()
+    was = F.when(F.col("earlier").isNotNull(), F.col("earlier.status")).otherwise(F.col("known_status"))
+    stepped = stepped.withColumn("first", first).withColumn("was", was)
 
     def added(status: str) -> Column:
         return F.col("status").eqNullSafe(status).cast("bigint") - F.col("was").eqNullSafe(status).cast("bigint")
@@ -49,17 +52,17 @@ def _moves(before: DataFrame, changes: DataFrame) -> DataFrame:
     )
 
 
-def last_agreed(before: DataFrame, changes: DataFrame) -> DataFrame:
+def last_agreed(before: DataFrame, changes: DataFrame, span_s: int = SPAN_S) -> DataFrame:
     """State of each cluster with moves, by the last change after which all its known processes agree; null without one.
 
-    ``before`` holds the newest earlier change of each process.
+    ``before`` holds the newest earlier change of each process. ``span_s`` is the length of a span of time; a task sorts
+    the changes of one cluster in one span. The changes are read more than once.
     """
     counted = process_counts(before).select("cluster_id", *[F.col(name).alias(f"{name}_before") for name in COUNTS])
-    in_order = Window.partitionBy("cluster_id").orderBy("ts", "seq", "name").rowsBetween(Window.unboundedPreceding, 0)
-    moves = join_reduced(_moves(before, changes), counted, ["cluster_id"], "left")
-    totals = [F.sum(name).over(in_order) + F.coalesce(f"{name}_before", F.lit(0)) for name in COUNTS]
-    followed = moves.select("cluster_id", "name", "ts", "seq", *[total.alias(name) for total, name in zip(totals, COUNTS, strict=True)])
-    agreed = rollup_expression(*[F.col(name) for name in COUNTS], F.lit(None).cast("string"))
+    moves = with_running_sums(_moves(before, changes, span_s), ["cluster_id"], ["ts", "seq", "name"], COUNTS, span_s)
+    followed = join_reduced(moves, counted, ["cluster_id"], "left")
+    totals = [F.col(name) + F.coalesce(f"{name}_before", F.lit(0)) for name in COUNTS]
+    agreed = rollup_expression(*totals, F.lit(None).cast("string"))
     place = F.when(F.col("agreed").isNotNull(), F.struct("ts", "seq", "name"))
     return followed.withColumn("agreed", agreed).groupBy("cluster_id").agg(F.max_by("agreed", place).alias("status"))
 

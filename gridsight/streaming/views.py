@@ -18,8 +18,8 @@ from ..functions.parsing import parse_progress
 from ..functions.sizes import bytes_to_size
 from ..operators.alerts import alert_metrics, evaluate_alerts
 from ..operators.kafka import latest_window
-from . import restarts, rollups, transitions
-from .running import StateTable, start_batches, upsert
+from . import restarts, rollups, sessions, transitions
+from .running import LoggedTable, newest_of, staged, start_batches, touched, upsert
 
 
 def instant(ts: str) -> Column:
@@ -74,25 +74,46 @@ PROGRESS = (
 )
 
 
-def start_keyed(stream: DataFrame, folder: str, schema: str, every: str | None = None) -> tuple[StreamingQuery, StateTable]:
-    """Keeps one row per cluster of an updating stream in a table."""
-    table = StateTable(f"{folder}/table", schema_of(schema))
-    return start_batches(stream, upsert(table, ["cluster_id"]), folder, "update", every), table
+def start_keyed(stream: DataFrame, folder: str, schema: str, every: str | None = None) -> tuple[StreamingQuery, LoggedTable]:
+    """Keeps one row per cluster of an updating stream in a table; a batch writes the clusters it changed."""
+    table = LoggedTable(f"{folder}/table", schema_of(schema), newest_of(["cluster_id"]))
+    return start_batches(stream, upsert(table), folder, "update", every), table
 
 
-def idle_stream(status: DataFrame, gap: str = "120 seconds", delay: str = "0 seconds") -> DataFrame:
-    """A row each time a cluster has been silent for longer than the gap."""
-    heard = status.withColumn("at", instant("ts")).withWatermark("at", delay)
-    sessions = heard.groupBy("cluster_id", F.session_window("at", gap).alias("session")).agg(
-        F.count(F.lit(1)).alias("heartbeats"), F.max("at").alias("last")
-    )
-    return sessions.select(
-        "cluster_id",
-        wall_clock(F.col("session.start")).alias("active_from"),
-        wall_clock(F.col("last")).alias("last_heartbeat"),
-        wall_clock(F.col("session.end")).alias("idle_from"),
-        "heartbeats",
-    )
+CLOCK = "clock timestamp_ntz"
+
+
+def _clock_table(folder: str) -> LoggedTable:
+    """The newest event time of a stream."""
+    return LoggedTable(f"{folder}/clock", schema_of(CLOCK), lambda rows: rows.agg(F.max("clock").alias("clock"), F.max("batch").alias("batch")))
+
+
+def start_idle(
+    status: DataFrame, folder: str, gap_s: int = 120, delay_s: int = 0, every: str | None = None
+) -> tuple[StreamingQuery, LoggedTable]:
+    """A row each time a cluster has been silent for longer than the gap, as described in ``sessions``.
+
+    A batch writes the spells that are over, and the open spells of the clusters where they changed.
+    """
+    rows = LoggedTable(f"{folder}/rows", schema_of(sessions.IDLE_SCHEMA))
+    carried = LoggedTable(f"{folder}/open", schema_of(sessions.OPEN_SCHEMA), newest_of(["cluster_id"]))
+    clock = _clock_table(folder)
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        arrived = staged(sessions.windows(batch, gap_s), folder, batch_id)
+        was = clock.before(spark, batch_id).scalar()
+        clock.write(arrived.agg(F.max("last_heartbeat").alias("clock")).union(clock.before(spark, batch_id)).agg(F.max("clock").alias("clock")), batch_id)
+        had = carried.before(spark, batch_id)
+        # a window that ends in time may still hold late heartbeats, which then belong to no other spell
+        fresh = arrived.where(~F.coalesce(sessions.is_over(was, gap_s, delay_s), F.lit(False)))
+        judged = sessions.spells(fresh.unionByName(sessions.opened(had)), gap_s)
+        over = sessions.is_over(clock.now(spark).scalar(), gap_s, delay_s)
+        judged = staged(judged.withColumn("over", F.coalesce(over, F.lit(False))), f"{folder}/judged", batch_id)
+        rows.write(sessions.idle_rows(judged.where("over"), gap_s), batch_id)
+        carried.write(sessions.carried_on(had, judged), batch_id)
+
+    return start_batches(status, step, folder, every=every), rows
 
 
 def metric_windows(samples: DataFrame, size: str, slide: str | None = None, delay: str = "0 seconds") -> DataFrame:
@@ -127,67 +148,87 @@ PROCESS_STATE = "cluster_id bigint, name string, ts timestamp_ntz, seq bigint, s
 ROLLUP = "cluster_id bigint, status string"
 
 
-def start_rollup(changes: DataFrame, folder: str, every: str | None = None) -> tuple[StreamingQuery, StateTable]:
+def start_rollup(changes: DataFrame, folder: str, every: str | None = None) -> tuple[StreamingQuery, LoggedTable]:
     """State of each cluster, kept up to date from the changes of its processes.
 
     ``changes`` has cluster_id, name, ts, seq and status. The state follows the
     changes one by one, so it does not depend on how they fall into batches, as
     long as the changes of a cluster arrive in order; one older than the newest
     of its process is passed over. A cluster whose known processes disagree
-    keeps its state, ``unknown`` at first.
+    keeps its state, ``unknown`` at first. A batch writes the processes and
+    clusters it has changes of.
     """
-    processes = StateTable(f"{folder}/processes", schema_of(PROCESS_STATE))
-    clusters = StateTable(f"{folder}/clusters", schema_of(ROLLUP))
+    processes = LoggedTable(f"{folder}/processes", schema_of(PROCESS_STATE), newest_of(rollups.PROCESS))
+    clusters = LoggedTable(f"{folder}/clusters", schema_of(ROLLUP), newest_of(["cluster_id"]))
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        arrived, before = processes.stage(batch, batch_id), processes.before(spark, batch_id)
-        processes.replace(rollups.newest_changes(before, arrived), batch_id)
+        arrived = staged(batch, folder, batch_id)
+        before = touched(processes.before(spark, batch_id), arrived, ["cluster_id"])
+        known = touched(before, arrived, rollups.PROCESS)
+        processes.write(rollups.newest_changes(known, arrived), batch_id)
+        had = touched(clusters.before(spark, batch_id), arrived, ["cluster_id"])
         states = rollups.last_agreed(before, arrived)
-        clusters.replace(rollups.carried_on(clusters.before(spark, batch_id), states), batch_id)
+        clusters.write(rollups.carried_on(had, states), batch_id)
 
     return start_batches(changes, step, folder, every=every), clusters
 
 
-def start_believed(status: DataFrame, folder: str, every: str | None = None) -> StreamingQuery:
-    """T5: status changes without leftovers, one folder of rows per batch."""
-    carried = StateTable(f"{folder}/carried", schema_of(transitions.CHANGE_SCHEMA))
+def start_believed(status: DataFrame, folder: str, every: str | None = None) -> tuple[StreamingQuery, LoggedTable]:
+    """T5: status changes without leftovers; the rows of many batches share a part, so that parts stay few."""
+    rows = LoggedTable(f"{folder}/rows", schema_of(transitions.CHANGE_SCHEMA))
+    carried = LoggedTable(f"{folder}/carried", schema_of(transitions.CHANGE_SCHEMA), newest_of(["cluster_id"]))
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark, place = batch.sparkSession, f"{folder}/rows/batch={batch_id}"
-        before, changes = carried.before(spark, batch_id), carried.stage(batch, batch_id)
-        transitions.believed_changes(changes, before).write.mode("overwrite").parquet(place)
-        kept = spark.read.schema(transitions.CHANGE_SCHEMA).parquet(place)
-        carried.replace(transitions.last_believed(before, kept), batch_id)
+        changes = staged(batch, folder, batch_id)
+        before = touched(carried.before(batch.sparkSession, batch_id), changes, ["cluster_id"])
+        kept = staged(transitions.believed_changes(changes, before), f"{folder}/kept", batch_id)
+        rows.write(kept, batch_id)
+        carried.write(transitions.last_believed(before, kept), batch_id)
+
+    return start_batches(status, step, folder, every=every), rows
+
 
-    return start_batches(status, step, folder, every=every)
+class RestartBudget:
+    """The budgets of a running monitor, at the newest check of any process."""
 
+    def __init__(self, folder: str, retry_s: int):
+        self.known = LoggedTable(f"{folder}/known", schema_of(restarts.KNOWN_SCHEMA), newest_of(restarts.KEY))
+        self.downs = LoggedTable(f"{folder}/downs", schema_of(restarts.DOWN_SCHEMA))
+        self.clock = _clock_table(folder)
+        self.retry_s = retry_s
 
-def believed_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/rows").drop("batch")
+    def now(self, spark: SparkSession) -> DataFrame:
+        return restarts.budget(self.known.now(spark), self.downs.now(spark), self.clock.now(spark).scalar(), self.retry_s)
 
 
 def start_restart_budget(
     checks: DataFrame, folder: str, max_retry: int, retry_s: int, every: str | None = None
-) -> tuple[StreamingQuery, StateTable]:
+) -> tuple[StreamingQuery, RestartBudget]:
     """Restarts used and given-up time of each process, kept up to date.
 
-    A batch is read twice: for the newest check of each process and for the
-    checks that found one down. Both are written before they are joined.
+    A restart is counted when the clock has passed its due time, also for a
+    process that is not checked any more: due times are compared with the clock
+    when budgets are read. A batch writes the processes it checks and the times
+    it found them down; when parts are merged, what has happened for good
+    becomes one row per process.
     """
-    budget = StateTable(f"{folder}/budget", schema_of(restarts.BUDGET_SCHEMA))
-    pending = StateTable(f"{folder}/pending", schema_of(restarts.PENDING_SCHEMA))
-    known = StateTable(f"{folder}/known", schema_of(restarts.KNOWN_SCHEMA))
-    down = StateTable(f"{folder}/down", schema_of(restarts.DOWN_SCHEMA))
+    state = RestartBudget(folder, retry_s)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        processes = known.stage(restarts.known_processes(batch, budget.before(spark, batch_id)), batch_id)
-        downs = down.stage(restarts.down_checks(batch, pending.before(spark, batch_id)), batch_id)
-        after = budget.replace(restarts.decided_budget(processes, downs, max_retry, retry_s), batch_id)
-        pending.replace(restarts.pending_restarts(downs, after, retry_s), batch_id)
+        arrived = staged(batch.select(*restarts.KEY, "ts", "seq", "alive"), folder, batch_id)
+        before = touched(state.known.before(spark, batch_id), arrived, restarts.KEY)
+        downs = staged(restarts.down_checks(arrived), f"{folder}/found", batch_id)
+        state.clock.write(arrived.agg(F.max("ts").alias("clock")).union(state.clock.before(spark, batch_id)).agg(F.max("clock").alias("clock")), batch_id)
+        state.known.write(restarts.known_processes(arrived, downs, before, max_retry, retry_s), batch_id)
 
-    return start_batches(checks, step, folder, every=every), budget
+        def present(rows: DataFrame) -> DataFrame:
+            return restarts.settled(rows, state.known.now(spark), state.clock.now(spark).scalar(), retry_s)
+
+        state.downs.write(downs, batch_id, present)
+
+    return start_batches(checks, step, folder, every=every), state
 
 
 TOPIC_LOG = (
@@ -195,12 +236,14 @@ TOPIC_LOG = (
 )
 
 
-def start_tail(topic_log: DataFrame, folder: str, n: int = 50, every: str | None = None) -> tuple[StreamingQuery, StateTable]:
-    """The records of the last ``n`` offsets of each partition, ready for a latest peek."""
-    tail = StateTable(f"{folder}/tail", schema_of(TOPIC_LOG))
+def start_tail(topic_log: DataFrame, folder: str, n: int = 50, every: str | None = None) -> tuple[StreamingQuery, LoggedTable]:
+    """The records of the last ``n`` offsets of each partition, ready for a latest peek.
+
+    A batch writes its own last records; which of them still count is seen when they are read or merged.
+    """
+    tail = LoggedTable(f"{folder}/tail", schema_of(TOPIC_LOG), lambda rows: latest_window(rows, n))
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        both = tail.before(batch.sparkSession, batch_id).unionByName(latest_window(batch, n))
-        tail.replace(latest_window(both, n), batch_id)
+        tail.write(latest_window(batch, n), batch_id)
 
     return start_batches(topic_log, step, folder, every=every), tail

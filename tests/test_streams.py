@@ -6,7 +6,7 @@ import pytest
 
 from gridsight.operators import kafka, registry
 from gridsight.sources.topics import stream_files
-from gridsight.streaming import restarts, running, transitions, views
+from gridsight.streaming import restarts, rollups, running, sessions, spans, transitions, views
 
 START = datetime(2024, 1, 1)
 LEFTOVERS = {("starting", "new"), ("starting", "terminated"), ("terminating", "running")}
@@ -70,8 +70,20 @@ def test_believed_changes_go_on_from_a_carried_state(spark, rows, status_rows, s
 def test_believed_stream(spark, tmp_path, rows, status_rows):
     folder = str(tmp_path / "work")
     stream = stream_of(spark, tmp_path, status_rows, STATUS, 4)
-    views.start_believed(stream, folder).awaitTermination()
-    assert rows(views.believed_rows(spark, folder)) == believed(status_rows)
+    query, table = views.start_believed(stream, folder)
+    query.awaitTermination()
+    assert rows(table.now(spark)) == believed(status_rows)
+
+
+def test_believed_stream_of_many_batches_has_few_parts(spark, tmp_path, rows, status_rows, monkeypatch):
+    monkeypatch.setattr(running.LoggedTable, "FAN", 2)
+    query, table = views.start_believed(stream_of(spark, tmp_path, status_rows[:400], STATUS, 6), str(tmp_path / "w"))
+    query.awaitTermination()
+    assert rows(table.now(spark)) == believed(status_rows[:400])
+    newest = table._parts(spark, table._lists(spark)[-1])
+    assert len(newest) == 2  # 4 + 2 batches
+    # parts of the kept lists and nothing else
+    assert len(list((tmp_path / "w" / "rows" / "parts").iterdir())) <= len(newest) + running.LoggedTable.FAN + running.LoggedTable.KEPT
 
 
 def test_latest_state_in_batches(spark, tmp_path, rows, status_rows):
@@ -80,7 +92,7 @@ def test_latest_state_in_batches(spark, tmp_path, rows, status_rows):
     newest = {}
     for cluster, ts, seq, status in status_rows:
         newest[cluster] = (cluster, ts, status)
-    assert table.last >= 2
+    assert table._lists(spark)[-1] >= 2
     assert rows(table.now(spark)) == sorted(newest.values(), key=repr)
 
 
@@ -94,19 +106,74 @@ def test_a_stream_carries_on_from_its_checkpoint(spark, tmp_path, rows, status_r
     assert rows(table.now(spark)) == sorted(newest.values(), key=repr)
 
 
-def test_a_state_table_is_found_again_after_a_restart(spark, tmp_path, rows):
-    schema = views.schema_of("cluster_id bigint, status string")
-    folder, step = str(tmp_path / "table"), ["cluster_id"]
-    table = running.StateTable(folder, schema)
+KEYED = "cluster_id bigint, status string"
+
+
+def keyed_table(tmp_path):
+    return running.LoggedTable(str(tmp_path / "table"), views.schema_of(KEYED), running.newest_of(["cluster_id"]))
+
+
+def test_a_table_is_found_again_after_a_restart(spark, tmp_path, rows):
+    table = keyed_table(tmp_path)
     assert table.now(spark).count() == 0
     for batch_id in range(6):
-        change = spark.createDataFrame([(batch_id % 2, f"state {batch_id}")], schema)
-        running.upsert(table, step)(change, batch_id)
-    again = running.StateTable(folder, schema)
-    assert rows(again.now(spark)) == [(0, "state 4"), (1, "state 5")] and again.last == 5
-    assert sorted(place.name for place in (tmp_path / "table").glob("batch-*.whole")) == [f"batch-{n}.whole" for n in range(2, 6)]
-    (tmp_path / "table" / "batch-5.whole").unlink()  # as if the last batch had not been finished
-    assert rows(running.StateTable(folder, schema).now(spark)) == [(0, "state 4"), (1, "state 3")]
+        table.write(spark.createDataFrame([(batch_id % 2, f"state {batch_id}")], KEYED), batch_id)
+    again = keyed_table(tmp_path)
+    assert rows(again.now(spark)) == [(0, "state 4"), (1, "state 5")]
+    assert again._lists(spark) == [2, 3, 4, 5]
+    (tmp_path / "table" / "lists" / "5.list").unlink()  # as if the last batch had not been finished
+    assert rows(keyed_table(tmp_path).now(spark)) == [(0, "state 4"), (1, "state 3")]
+
+
+def test_a_reader_follows_the_writer(spark, tmp_path, rows):
+    writer, reader = keyed_table(tmp_path), keyed_table(tmp_path)
+    for batch_id in range(9):
+        writer.write(spark.createDataFrame([(batch_id, "new")], KEYED), batch_id)
+        assert rows(reader.now(spark)) == sorted([(n, "new") for n in range(batch_id + 1)], key=repr)
+
+
+def test_a_slow_reader_keeps_its_parts(spark, tmp_path, rows):
+    table = keyed_table(tmp_path)
+    for batch_id in range(7):
+        table.write(spark.createDataFrame([(batch_id, "new")], KEYED), batch_id)
+    held = table.now(spark)
+    table.write(spark.createDataFrame([(7, "new")], KEYED), 7)  # merges all parts
+    assert len(table._parts(spark, 7)) == 1
+    table.write(spark.createDataFrame([(8, "new")], KEYED), 8)
+    assert held.count() == 7
+
+
+def test_a_batch_that_is_run_again_changes_nothing(spark, tmp_path, rows):
+    table = keyed_table(tmp_path)
+    for batch_id in range(running.LoggedTable.FAN):
+        for _ in range(2):
+            table.write(spark.createDataFrame([(batch_id % 3, f"state {batch_id}")], KEYED), batch_id)
+    expected = [(0, "state 6"), (1, "state 7"), (2, "state 5")]
+    assert rows(table.now(spark)) == expected
+    assert rows(table.before(spark, 7)) == [(0, "state 6"), (1, "state 4"), (2, "state 5")]
+    assert len(list((tmp_path / "table" / "parts").iterdir())) <= running.LoggedTable.FAN + 1
+
+
+def test_what_a_batch_writes_follows_what_it_changed(spark, tmp_path, rows):
+    table = keyed_table(tmp_path)
+    table.write(spark.range(200_000).selectExpr("id AS cluster_id", "sha2(string(id), 256) AS status"), 0)
+
+    def sizes():
+        return {part: sum(file.stat().st_size for file in part.iterdir()) for part in (tmp_path / "table" / "parts").iterdir()}
+
+    first = sizes()
+    for batch_id in range(1, 7):
+        table.write(spark.createDataFrame([(batch_id, "new")], KEYED), batch_id)
+    assert sum(size for part, size in sizes().items() if part not in first) < sum(first.values()) / 100
+    assert table.now(spark).count() == 200_000 and table.now(spark).where("status = 'new'").count() == 6
+
+
+def test_null_keys_are_one_row(spark, tmp_path, rows):
+    table = keyed_table(tmp_path)
+    for batch_id, status in enumerate(["a", "b"]):
+        table.write(spark.createDataFrame([(None, status)], KEYED), batch_id)
+    assert rows(table.now(spark)) == [(None, "b")]
+    assert rows(running.touched(table.now(spark), spark.createDataFrame([(None, "x")], KEYED), ["cluster_id"])) == [(None, "b")]
 
 
 def test_a_live_stream_keeps_refreshing(spark, tmp_path, rows, status_rows):
@@ -119,17 +186,62 @@ def test_a_live_stream_keeps_refreshing(spark, tmp_path, rows, status_rows):
         query.stop()
 
 
+def idle(spark, tmp_path, data, batches, **options):
+    query, table = views.start_idle(stream_of(spark, tmp_path, data, STATUS, batches), str(tmp_path / "w"), **options)
+    query.awaitTermination()
+    return table.now(spark)
+
+
 def test_idle_gap_is_longer_than_the_timeout(spark, tmp_path, rows):
     seconds = [0, 119, 239, 360, 361, 1000]
     data = [(1, START + timedelta(seconds=second), number, "running") for number, second in enumerate(seconds)]
-    stream = views.idle_stream(stream_of(spark, tmp_path, data, STATUS, 1))
-    running.start_append(stream, str(tmp_path / "w")).awaitTermination()
-    found = rows(running.appended(spark, str(tmp_path / "w"), stream.schema), "active_from", "last_heartbeat", "idle_from", "heartbeats")
+    found = rows(idle(spark, tmp_path, data, 1), "active_from", "last_heartbeat", "idle_from", "heartbeats")
     at = lambda second: START + timedelta(seconds=second)
     assert found == [(at(0), at(239), at(359), 3), (at(360), at(361), at(481), 2)]
 
 
-@pytest.mark.parametrize("batches", [1, 3, 10])
+def silences(data, gap):
+    """Spells read heartbeat by heartbeat; those over at the newest one."""
+    clock, found = max(row[1] for row in data), []
+    for cluster in {row[0] for row in data}:
+        spell = None
+        for _, ts, _, _ in sorted((row for row in data if row[0] == cluster), key=lambda row: row[1]):
+            if spell and ts - spell[1] <= gap:
+                spell = [spell[0], ts, spell[2] + 1]
+            else:
+                found += [(cluster, *spell)] if spell else []
+                spell = [ts, ts, 1]
+        found.append((cluster, *spell))
+    return sorted([(c, a, last, last + gap, n) for c, a, last, n in found if last + gap <= clock], key=repr)
+
+
+@pytest.mark.parametrize("batches", [1, 5])
+def test_idle_in_batches(spark, tmp_path, rows, batches):
+    data, at = [], START
+    for seq, value in enumerate(noise(700, 5)):
+        at += timedelta(milliseconds=value % 60_000)
+        # a third of the heartbeats are one cluster's, and one cluster has no name
+        data.append((1 if value % 3 == 0 else None if value % 31 == 1 else value % 9, at, seq, "running"))
+    found = rows(idle(spark, tmp_path, data, batches, gap_s=90))
+    assert found == silences(data, timedelta(seconds=90))
+
+
+def test_heartbeats_that_can_only_belong_to_an_old_spell_are_late(spark, tmp_path, rows):
+    at = lambda second: START + timedelta(seconds=second)
+    data = [(1, at(0), 1, "a"), (2, at(500), 2, "a"), (1, at(10), 3, "a"), (1, at(450), 4, "a"), (3, at(900), 5, "a"), (None, None, 6, "a")]
+    found = rows(idle(spark, tmp_path, data, 3, gap_s=100), "cluster_id", "active_from", "heartbeats")
+    assert found == [(1, at(0), 1), (1, at(450), 1), (2, at(500), 1)]
+
+
+def test_an_idle_batch_combines_a_hot_cluster_before_it_moves(spark):
+    status = spark.range(100_000).selectExpr(
+        "1L AS cluster_id", "timestamp_millis(id)::timestamp_ntz AS ts", "id AS seq", "'running' AS status"
+    )
+    assert sessions.windows(status, 10).count() == 10
+    assert sessions.spells(sessions.windows(status, 10), 10).collect()[0]["heartbeats"] == 100_000
+
+
+@pytest.mark.parametrize("batches", [1, 4])
 def test_rollup_follows_each_change(spark, tmp_path, rows, batches):
     schema = "cluster_id bigint, name string, ts timestamp_ntz, seq bigint, status string"
     data = []
@@ -156,9 +268,37 @@ def test_rollup_passes_over_late_changes(spark, tmp_path, rows):
     assert rows(table.now(spark)) == sorted([(1, "running"), (None, "terminated")], key=repr)
 
 
+@pytest.mark.parametrize("span_s", [1, 7, 60, 10**6])
+def test_rollup_is_the_same_for_every_span(spark, rows, span_s):
+    changes = "cluster_id bigint, name string, ts timestamp_ntz, seq bigint, status string"
+    data = [
+        (value % 2, f"p{value // 3 % 3}", START + timedelta(seconds=seq // 3), seq, ["running", "stopped"][value // 31 % 2])
+        for seq, value in enumerate(noise(400, 23))
+    ]
+    before = spark.createDataFrame([(1, "p0", START - timedelta(days=1), 0, "stopped")], views.PROCESS_STATE)
+    df = spark.createDataFrame(data, changes)
+    expected, processes = {}, {(1, "p0"): "stopped"}
+    for cluster, name, _, _, status in data:
+        moved = processes.get((cluster, name)) != status
+        processes[(cluster, name)] = status
+        states = {state for key, state in processes.items() if key[0] == cluster}
+        if moved and len(states) == 1:
+            expected[cluster] = {"running": "running", "stopped": "terminated"}[status]
+    assert rows(rollups.last_agreed(before, df, span_s).where("status IS NOT NULL")) == sorted(expected.items(), key=repr)
+
+
+def test_sums_of_a_hot_key_are_split_over_spans(spark, rows):
+    """A key with all rows: no task of the inner window has more than a span."""
+    df = spark.range(5000).selectExpr("1L AS k", "timestamp_seconds(id)::timestamp_ntz AS ts", "id AS seq", "1L AS one")
+    found = spans.with_running_sums(df, ["k"], ["ts", "seq"], ["one"], 100)
+    assert found.where("one <> seq + 1").count() == 0
+    earlier = spans.with_earlier(df, ["k"], ["ts", "seq"], "seq", "was", 100)
+    assert earlier.where("coalesce(was.seq, -1) <> seq - 1").count() == 0
+
+
 def monitor(checks, max_retry, retry_s):
-    """The monitor played through second by second of its checks."""
-    result = {}
+    """The monitor played through second by second of its checks; restarts happen by themselves until the newest check of any process."""
+    result, clock = {}, max(row[2] for row in checks)
     for key in {(row[0], row[1]) for row in checks}:
         due, over, status, last = [], None, None, None
         for _, _, ts, _, alive in sorted((row for row in checks if (row[0], row[1]) == key), key=lambda row: row[2:4]):
@@ -169,10 +309,27 @@ def monitor(checks, max_retry, retry_s):
                 over = ts
                 break
             due.append(ts + timedelta(seconds=retry_s))
-        result[key] = (*key, status, last, sum(when <= last for when in due), over)
+        result[key] = (*key, status, last, sum(when <= (over or clock) for when in due), over)
     return sorted(result.values(), key=repr)
 
 
+def test_a_restart_needs_no_later_check(spark, tmp_path, rows):
+    at = lambda second: START + timedelta(seconds=second)
+    data = [(1, "a", at(0), 0, False), (2, "b", at(5), 1, True), (2, "b", at(9), 2, True), (2, "b", at(10), 3, True)]
+    for retry_s, used in ((10, 1), (11, 0)):
+        query, table = views.start_restart_budget(stream_of(spark, tmp_path / str(retry_s), data, CHECKS, 4), str(tmp_path / f"w{retry_s}"), 3, retry_s)
+        query.awaitTermination()
+        assert rows(table.now(spark), "cluster_id", "restarts_used") == [(1, used), (2, 0)]
+
+
+def test_settled_checks_become_one_row(spark, tmp_path, rows, checks, monkeypatch):
+    monkeypatch.setattr(running.LoggedTable, "FAN", 2)
+    query, table = views.start_restart_budget(stream_of(spark, tmp_path, checks, CHECKS, 4), str(tmp_path / "w"), 1000, 30)
+    query.awaitTermination()
+    assert rows(table.now(spark)) == monitor(checks, 1000, 30)
+    assert table.downs.now(spark).count() < sum(not row[4] for row in checks) / 2
+
+
 @pytest.fixture
 def checks():
     data, at = [], START
