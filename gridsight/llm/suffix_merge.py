@@ -3,7 +3,7 @@
 A byte goes when a window of 100 bytes that covers it also starts earlier: in a document with a smaller id, or earlier in
 the same one.
 
-Where windows meet. Each window is named by the least hash of the 32-byte grams in it, so that equal windows have equal
+Where windows meet. Each window is named by the least hash of the 48-byte grams in it, so that equal windows have equal
 names wherever they stand. Neighbouring windows of one name form a run, a string of at most ``RUN`` windows. Runs with the
 same name meet; other strings cannot share a window. Runs of one name that are equal as a whole are counted once, in
 the earliest place, the rest of them repeat it: that is what a collection with equal strings looks like anyway, and it keeps
@@ -13,10 +13,10 @@ what is found.
 
 Transforms. The strings left, different ones of one name or with a name that occurs twice in them, are cut from their
 texts and dealt to buckets by name. A bucket sorts the suffixes of each of its shards, to a depth of 100 bytes, into a
-Burrows-Wheeler transform with symbols of four bytes, those before a suffix. The shards are merged by refining their
+Burrows-Wheeler transform with symbols of five bytes, those before a suffix. The shards are merged by refining their
 interleaving: when it is the order of all suffixes by their first k bytes, reading the transforms in that order and
-sorting what was read stably gives the order by k + 4. No suffix is sorted again. The round that first tells neighbours
-apart gives their common prefix; neighbours still together after 25 rounds share a window, and of such an interval of
+sorting what was read stably gives the order by k + 5. No suffix is sorted again. The round that first tells neighbours
+apart gives their common prefix; neighbours still together after 20 rounds share a window, and of such an interval of
 the order the earliest window stays.
 """
 
@@ -34,17 +34,17 @@ from pyspark.sql import functions as F
 from .common import ready, saved
 
 WINDOW = 100
-GRAM = 32
+GRAM = 48
 #: Windows of a run at most: as many as can hold one gram.
 RUN = WINDOW - GRAM + 1
 #: Bytes of texts a worker sends runs of together, and hashes at a time; the text that crosses is whole.
 BATCH_BYTES, LOOK_BYTES = 4_000_000, 1 << 18
 #: Strings of a bucket, about, and of one of its shards.
-BUCKET_STRINGS, SHARD_STRINGS = 4000, 500
+BUCKET_STRINGS, SHARD_STRINGS = 2000, 500
 #: Bytes that a round of refinement adds.
-STEP = 4
-#: Documents of the sample that shows which names are common, bytes of each of them that are looked at, and the share that makes a name common.
-SAMPLE_DOCS, SAMPLE_BYTES, COMMON_SHARE = 2000, 20_000, 0.01
+STEP = 5
+#: Documents of the sample that shows which names are common, characters of each of them that are looked at, and the share that makes a name common.
+SAMPLE_DOCS, SAMPLE_CHARS, COMMON_SHARE = 2000, 20_000, 0.01
 #: Runs whose grams are compared at a time.
 TOGETHER = 8192
 #: Ends a string in a transform; no byte of UTF-8.
@@ -256,29 +256,28 @@ def shard_of(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         place = here + step
         return np.where(place >= ends, place - sizes, place)
 
-    packed, four = np.zeros(len(data), np.uint64), None
+    packed, near = np.zeros(len(data), np.uint64), None
     for step in range(8):
         packed = (packed << _U(8)) | data[ahead(step)]
         if step == STEP - 1:
-            four = packed
-    rank, depth = _ranked(packed), 8
+            near = packed
+    (rank, order), depth = _ranked(packed), 8
     while depth < WINDOW:
         step = min(depth, WINDOW - depth)
-        rank = _ranked(rank * np.int64(len(data)) + rank[ahead(step)])
+        rank, order = _ranked(rank * np.int64(len(data)) + rank[ahead(step)])
         depth += step
-    order = np.argsort(rank, kind="stable")
     before = order - STEP
     before = np.where(before < (ends - sizes)[order], before + sizes[order], before)
-    return four[before], order
+    return near[before], order
 
 
-def _ranked(values: np.ndarray) -> np.ndarray:
-    """The place of each value among the distinct ones."""
+def _ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each value among the distinct ones, and an order of the values."""
     order = np.argsort(values)
     ordered = values[order]
     rank = np.empty(len(values), np.int64)
     rank[order] = np.cumsum(np.concatenate(([0], ordered[1:] != ordered[:-1])))
-    return rank
+    return rank, order
 
 
 def merged(transforms: list[np.ndarray], depth: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -288,7 +287,7 @@ def merged(transforms: list[np.ndarray], depth: int = WINDOW) -> tuple[np.ndarra
     these do not fit 16 bits, sorting them is slower and nothing else changes.
     """
     sizes = [len(one) for one in transforms]
-    symbols = _ranked(np.concatenate(transforms))
+    symbols, _ = _ranked(np.concatenate(transforms))
     total = len(symbols)
     symbols = symbols.astype(np.uint16 if symbols.max() < 1 << 16 else np.int64)
     shard = np.repeat(np.arange(len(sizes), dtype=np.uint8 if len(sizes) <= 256 else np.uint16), sizes)
@@ -317,13 +316,16 @@ CUT = "bucket long, doc_key long, mark long, start int, string binary"
 def _cut(buckets: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in frames:
-            for key, mark, text, strings in zip(rows["doc_key"], rows["mark"], rows["text"], rows["strings"]):
+            strings: list[bytes] = []
+            for text, starts, sizes in zip(rows["text"], rows["starts"], rows["sizes"]):
                 data = _encoded(text)
-                out = [
-                    (one["name"] % buckets, key, mark, one["start"], data[one["start"] : one["start"] + one["size"] + WINDOW - 1])
-                    for one in strings
-                ]
-                yield pd.DataFrame(out, columns=[part.split()[0] for part in CUT.split(", ")])
+                strings += [data[begin : begin + size + WINDOW - 1] for begin, size in zip(starts.tolist(), sizes.tolist())]
+            times = rows["starts"].map(len).to_numpy()
+            names, starts = (np.concatenate([*rows[name], np.empty(0, np.int64)]) for name in ("names", "starts"))
+            yield pd.DataFrame({
+                "bucket": names % buckets, "doc_key": np.repeat(rows["doc_key"].to_numpy(), times),
+                "mark": np.repeat(rows["mark"].to_numpy(), times), "start": starts, "string": strings,
+            })
 
     return run
 
@@ -331,35 +333,38 @@ def _cut(buckets: int):
 SPANS = "doc_key long, mark long, start int, size int"
 
 
-def _repeated(rows: pd.DataFrame) -> pd.DataFrame:
-    """Spans of the windows that a bucket holds at an earlier place too."""
-    strings = rows["string"].tolist()
-    shards = [shard_of(strings[begin : begin + SHARD_STRINGS]) for begin in range(0, len(strings), SHARD_STRINGS)]
-    order, common = merged([transform for transform, _ in shards])
-    # per suffix, in the merged order: its string and where it starts there
-    sizes = np.array([len(one) for one in strings])
-    begins = np.cumsum(sizes + 1) - sizes - 1
-    bases = np.cumsum([0, *[len(origin) for _, origin in shards[:-1]]])
-    at = np.concatenate([origin + base for (_, origin), base in zip(shards, bases)])[order]
-    string = np.searchsorted(begins, at, "right") - 1
-    place = at - begins[string]
-    interval = np.cumsum(common < WINDOW)
-    whole = place + WINDOW <= sizes[string]
-    string, place, interval = string[whole], place[whole], interval[whole]
-    keys, marks, starts = (rows[name].to_numpy(np.int64)[string] for name in ("doc_key", "mark", "start"))
-    starts = starts + place
-    order = np.lexsort((starts, marks, keys, interval))
-    keys, marks, starts, interval = keys[order], marks[order], starts[order], interval[order]
-    again = np.concatenate(([False], interval[1:] == interval[:-1])) if len(interval) else np.empty(0, bool)
-    keys, marks, starts = keys[again], marks[again], starts[again]
-    order = np.lexsort((starts, marks, keys))
-    keys, marks, starts = keys[order], marks[order], starts[order]
-    if not len(keys):
-        return pd.DataFrame(columns=["doc_key", "mark", "start", "size"])
-    apart = np.concatenate(([True], (keys[1:] != keys[:-1]) | (marks[1:] != marks[:-1]) | (starts[1:] > starts[:-1] + WINDOW)))
-    begin = np.flatnonzero(apart)
-    stop = np.append(begin[1:], len(keys)) - 1
-    return pd.DataFrame({"doc_key": keys[begin], "mark": marks[begin], "start": starts[begin], "size": starts[stop] + WINDOW - starts[begin]})
+def _repeated(shard_strings: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """Spans of the windows that a bucket holds at an earlier place too."""
+        strings = rows["string"].tolist()
+        shards = [shard_of(strings[begin : begin + shard_strings]) for begin in range(0, len(strings), shard_strings)]
+        order, common = merged([transform for transform, _ in shards])
+        # per suffix, in the merged order: its string and where it starts there
+        sizes = np.array([len(one) for one in strings])
+        begins = np.cumsum(sizes + 1) - sizes - 1
+        bases = np.cumsum([0, *[len(origin) for _, origin in shards[:-1]]])
+        at = np.concatenate([origin + base for (_, origin), base in zip(shards, bases)])[order]
+        string = np.searchsorted(begins, at, "right") - 1
+        place = at - begins[string]
+        interval = np.cumsum(common < WINDOW)
+        whole = place + WINDOW <= sizes[string]
+        string, place, interval = string[whole], place[whole], interval[whole]
+        keys, marks, starts = (rows[name].to_numpy(np.int64)[string] for name in ("doc_key", "mark", "start"))
+        starts = starts + place
+        order = np.lexsort((starts, marks, keys, interval))
+        keys, marks, starts, interval = keys[order], marks[order], starts[order], interval[order]
+        again = np.concatenate(([False], interval[1:] == interval[:-1])) if len(interval) else np.empty(0, bool)
+        keys, marks, starts = keys[again], marks[again], starts[again]
+        order = np.lexsort((starts, marks, keys))
+        keys, marks, starts = keys[order], marks[order], starts[order]
+        if not len(keys):
+            return pd.DataFrame(columns=["doc_key", "mark", "start", "size"])
+        apart = np.concatenate(([True], (keys[1:] != keys[:-1]) | (marks[1:] != marks[:-1]) | (starts[1:] > starts[:-1] + WINDOW)))
+        begin = np.flatnonzero(apart)
+        stop = np.append(begin[1:], len(keys)) - 1
+        return pd.DataFrame({"doc_key": keys[begin], "mark": marks[begin], "start": starts[begin], "size": starts[stop] + WINDOW - starts[begin]})
+
+    return run
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,size:int>>"
@@ -387,20 +392,25 @@ def _removed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _sampled_names(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     nothing = np.empty(0, np.uint64)
     for rows in frames:
-        texts = [_encoded(text)[:SAMPLE_BYTES] for text in rows["text"]]
+        texts = [_encoded(text) for text in rows["text"]]
         found = [np.unique(runs(data, np.array([len(data)]), nothing)[0]) for data in texts]
         yield pd.DataFrame({"name": np.concatenate([*found, nothing]).view(np.int64)})
 
 
 def common_names(rows: DataFrame) -> np.ndarray:
     """Names that a share of a bounded sample of documents has: where the work goes, not what is found, depends on them."""
-    sample = rows.orderBy(F.xxhash64("doc_key", "mark")).limit(SAMPLE_DOCS).select("text")
-    names = sample.mapInPandas(_sampled_names, "name long").groupBy("name").agg(F.count(F.lit(1)).alias("docs"))
-    found = names.where(F.col("docs") >= max(3, int(SAMPLE_DOCS * COMMON_SHARE))).select("name").collect()
+    size = rows.count()
+    sample = rows.select("doc_key", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    if size > SAMPLE_DOCS:
+        sample = sample.where(F.pmod(F.xxhash64("doc_key"), F.lit(size)) < SAMPLE_DOCS)
+    names = sample.select("text").mapInPandas(_sampled_names, "name long").groupBy("name").agg(F.count(F.lit(1)).alias("docs"))
+    found = names.where(F.col("docs") >= SAMPLE_DOCS * COMMON_SHARE).select("name").collect()
     return np.sort(np.array([row["name"] for row in found], np.int64)).view(np.uint64)
 
 
-def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def repeated_spans(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", bucket_strings: int = BUCKET_STRINGS, shard_strings: int = SHARD_STRINGS
+) -> DataFrame:
     """One row per row of the table: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans.
 
     Spans are the longest runs of bytes that go, in order; the bytes between them are kept. A null or empty text has no bytes, one
@@ -418,11 +428,11 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     met = saved(met.mapInPandas(_met, MET), "repeats-met")
 
     open_ = met.where("NOT gone")
-    buckets = max(1, open_.count() // BUCKET_STRINGS)
-    strings = F.collect_list(F.struct("name", "start", "size")).alias("strings")
-    texts = keyed.dropDuplicates(["doc_key", "mark"]).join(open_.groupBy("doc_key", "mark").agg(strings), ["doc_key", "mark"])
+    buckets = max(1, open_.count() // bucket_strings)
+    strings = open_.groupBy("doc_key", "mark").agg(*[F.collect_list(name).alias(f"{name}s") for name in ("name", "start", "size")])
+    texts = keyed.dropDuplicates(["doc_key", "mark"]).join(strings, ["doc_key", "mark"])
     cut = texts.mapInPandas(_cut(buckets), CUT)
-    repeats = saved(cut.groupBy("bucket").applyInPandas(_repeated, SPANS), "repeats-merged")
+    repeats = saved(cut.groupBy("bucket").applyInPandas(_repeated(shard_strings), SPANS), "repeats-merged")
 
     spans = met.where("gone").select("doc_key", "mark", "start", "size").union(repeats)
     spans = spans.groupBy("doc_key", "mark").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
