@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gridsight.llm import mixing, naming, packing, parity_join, toxicity
 from gridsight.llm.common import ready, saved, table
 from gridsight.llm.queries import vocabulary
+from gridsight.storage import folders, remove
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,13 +52,22 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: The stages fit a model, round at random and encode tokens, which SQL does not express; tests use brute force.
+#: The stages fit a model, round at random and encode tokens, which SQL does not express; tests hold what each stage keeps
+#: against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents of a folder.
+
+    When a stage is written, the tables it made on the way and the result of the stage before are removed; those of the
+    last stage stay, since its result still reads them.
+    """
+    docs, needed = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
+        before = len(folders(spark))
         docs = saved(stage(spark, docs, sf_dir), "pipeline-" + name)
+        made = folders(spark)[before:]
+        remove(spark, [*needed, *made[:-1]])
+        needed = made[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -25,6 +25,7 @@ from ..functions.times import (
     time_elapsed,
     time_elapsed_fraction,
 )
+from .spans import with_position
 
 STAGE_METRICS = [
     "duration_ms", "gc_ms", "input_records", "input_bytes", "output_records", "output_bytes",
@@ -368,16 +369,18 @@ def runtime_observations(
     return stages.select("app_id", "stage_id", F.inline(F.filter(findings, lambda finding: finding.isNotNull())))
 
 
-def deployment_history(runs: DataFrame, now: Column) -> DataFrame:
-    """Runs of each deployment, newest first, one row per run.
+def deployment_history(runs: DataFrame, now: Column, span_s: int = 7 * 86400) -> DataFrame:
+    """Runs of each deployment, one row per run; ``position`` counts from the newest.
 
-    An open run lasts until now. Rows are range sorted, so a deployment with
-    very many runs spreads over several tasks. Text is made after the sort,
-    which reads its input twice.
+    An open run lasts until now. Runs are counted per deployment and span of
+    time first and ordered within a span only, so a deployment with very many
+    runs spreads over several tasks. Runs that started together go by id from
+    the largest down, a run without a start comes last.
     """
-    newest_first = runs.orderBy("deployment_id", F.col("started").desc(), F.col("run_id").desc())
-    return newest_first.select(
+    placed = with_position(runs, ["deployment_id"], "started", ["run_id"], "position", span_s)
+    return placed.select(
         "deployment_id",
+        "position",
         "run_id",
         normalise(F.col("status"), "run_status").alias("status"),
         normalise(F.col("trigger"), "trigger").alias("trigger"),

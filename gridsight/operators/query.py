@@ -45,16 +45,21 @@ def run_query(
     """Q1: the rows of a user's query over the given tables.
 
     Statements of another kind are refused, and so are results with two columns
-    of one name.
+    of one name. The tables are handed to the statement itself: they hide tables
+    and views of the same name inside it, and the session's views stay as they
+    are.
     """
     words = sql.lower().strip().split(" ")
     if words == [""]:
         raise ValueError("empty statement")
     if words[0] in UPDATE_WORDS:
         raise ValueError(f"{words[0]!r} statements are not queries")
-    for name, table in tables.items():
-        table.createOrReplaceTempView(name)
-    result = spark.sql(sql, args=dict(args)) if args else spark.sql(sql)
+    given = {f"table_{place}": table for place, table in enumerate(tables.values())}
+    if given:
+        names = ", ".join(f"`{name.replace('`', '``')}` AS (SELECT * FROM {{table_{place}}})" for place, name in enumerate(tables))
+        body = sql.strip().rstrip(";").replace("{", "{{").replace("}", "}}")
+        sql = f"WITH {names} SELECT * FROM (\n{body}\n)"
+    result = spark.sql(sql, args=dict(args) if args else None, **given)
     names = [name.lower() for name in result.columns]
     if len(set(names)) != len(names):
         raise ValueError("two result columns have the same name")

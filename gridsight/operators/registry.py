@@ -146,12 +146,20 @@ def find_process(processes: DataFrame, clusters: DataFrame, pattern: str) -> Dat
 
 
 def host_inventory(hosts: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Hosts of each workspace with the services of their live clusters, a row per host and service."""
+    """Hosts of each workspace with the services of their live clusters, a row per host and service.
+
+    A host has its address, its state, the time it was added in epoch seconds,
+    and the provider of the cluster.
+    """
     served = clusters.filter(_live()).select(
-        F.col("id").alias("cluster_id"), "workspace_id", "service_name", "service_version"
+        F.col("id").alias("cluster_id"), "workspace_id", "provider", "service_name", "service_version"
+    )
+    own = hosts.select(
+        F.col("name").alias("host"), "cluster_id", "host_ip", normalise(F.col("status"), "cluster_status").alias("status"),
+        F.unix_seconds(F.col("dt_added").cast("timestamp")).alias("added"),
     )
-    parts = hosts.select("name", "cluster_id").withColumnRenamed("name", "host").join(served, "cluster_id")
-    return with_copies(parts, ["workspace_id", "host", "cluster_id", "service_name", "service_version"])
+    columns = ["workspace_id", "host", "host_ip", "status", "added", "provider", "cluster_id", "service_name", "service_version"]
+    return with_copies(own.join(served, "cluster_id"), columns)
 
 
 def quota_check(clusters: DataFrame, workspaces: DataFrame, plans: DataFrame) -> DataFrame:

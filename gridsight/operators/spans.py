@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.joins import join_reduced
+from .joins import join_reduced
 
 
 def span(ts: str, span_s: int) -> Column:
@@ -32,6 +32,17 @@ def with_earlier(rows: DataFrame, keys: Sequence[str], order: Sequence[str], col
     return joined.withColumn(name, F.coalesce(F.lag(F.struct(column)).over(inside), F.col("ended"))).drop("span", "ended")
 
 
+def with_position(rows: DataFrame, keys: Sequence[str], time: str, ties: Sequence[str], name: str, span_s: int) -> DataFrame:
+    """Adds the place of each row of a key, from 1, latest ``time`` first, then by ``ties`` from the largest down; rows without a time come last."""
+    rows = rows.withColumn("span", span(time, span_s))
+    counts = rows.groupBy(*keys, "span").agg(F.count(F.lit(1)).alias("rows"))
+    later = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("span")).rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(*keys, "span", F.coalesce(F.sum("rows").over(later), F.lit(0)).alias("ahead"))
+    inside = Window.partitionBy(*keys, "span").orderBy(F.desc_nulls_last(time), *[F.desc_nulls_last(tie) for tie in ties])
+    joined = join_reduced(rows, bases, [*keys, "span"], "left")
+    return joined.withColumn(name, F.col("ahead") + F.row_number().over(inside)).drop("span", "ahead")
+
+
 def with_running_sums(rows: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], span_s: int) -> DataFrame:
     """Replaces each of ``columns`` by its sum over the rows of the key up to this one, by ``order``, whose first column is a time."""
     rows = rows.withColumn("span", span(order[0], span_s))

@@ -392,7 +392,8 @@ def evaluate_alerts(spark, folder):
 
 @query(
     "A28 X3 X5",
-    f"SELECT deployment_id, run_id, status, trigger, started, ({interval_ms(elapsed('started', NOW))}) || ' ago' AS triggered, "
+    "SELECT deployment_id, row_number() OVER (PARTITION BY deployment_id ORDER BY started DESC, run_id DESC) AS position, "
+    f"run_id, status, trigger, started, ({interval_ms(elapsed('started', NOW))}) || ' ago' AS triggered, "
     f"{interval_ms_decimal(elapsed('started', f'coalesce(ended, {NOW})'))} AS runtime FROM (SELECT o_custkey AS deployment_id, o_orderkey AS "
     f"run_id, {pick('o_orderkey', ['succeeded', 'failed', 'running', 'unknown'])} AS status, "
     f"{pick('o_orderkey', ['manually', 'by agent', 'manually'])} AS trigger, o_orderdate AS started, CASE WHEN o_orderstatus <> 'P' THEN "

@@ -229,7 +229,9 @@ def hosts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "customer").select(
         text("host-", F.col("c_nationkey")).alias("name"),
         F.col("c_custkey").alias("cluster_id"),
+        text("10.0.0.", F.col("c_nationkey")).alias("host_ip"),
         F.lit("running").alias("status"),
+        F.timestamp_add("HOUR", -(F.col("c_custkey") % 1000), now()).alias("dt_added"),
     )
 
 

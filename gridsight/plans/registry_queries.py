@@ -77,8 +77,9 @@ def find_process(spark, folder):
 
 @query(
     "R7",
-    "SELECT workspace_id, 'host-' || workspace_id AS host, id AS cluster_id, service_name, service_version, CAST(1 AS BIGINT) AS copies "
-    "FROM clusters WHERE status <> 'deleted'",
+    "SELECT workspace_id, 'host-' || workspace_id AS host, '10.0.0.' || workspace_id AS host_ip, 'running' AS status, "
+    f"CAST(epoch({NOW} - to_hours(id % 1000)) AS BIGINT) AS added, provider, id AS cluster_id, service_name, service_version, "
+    "CAST(1 AS BIGINT) AS copies FROM clusters WHERE status <> 'deleted'",
     ["clusters"],
 )
 def host_inventory(spark, folder):

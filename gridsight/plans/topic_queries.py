@@ -1,5 +1,8 @@
 """Kafka and file listing queries."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import files as files_ops
@@ -210,7 +213,21 @@ def size_by_extension(spark, folder):
     return files_ops.size_by_extension(b.files(spark, folder))
 
 
-@query("S4 F5")
+_STORED = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations"]
+
+
+@query(
+    "S4 F1 F5",
+    " UNION ALL ".join(
+        f"SELECT '{name}.parquet' AS name, 'parquet' AS extension, (SELECT count(*) FROM {name}) AS row_count" for name in _STORED
+    ),
+)
 def stored_table_kinds(spark, folder):
-    """Files of the tables themselves by extension; no check, since SQL does not see the folder."""
-    return files_ops.size_by_extension(read_file_listing(spark, folder))
+    """Tables as they are stored in the folder, with their kind and the rows found in their files."""
+    stored = files_ops.list_root(read_file_listing(spark, folder))
+    stored = files_ops.with_file_kind(stored.withColumn("name", F.regexp_replace("name", "/$", "")))
+    counts = [
+        b.table(spark, folder, name).agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(f"{name}.parquet").alias("name"), "row_count")
+        for name in _STORED
+    ]
+    return stored.select("name", "extension").join(reduce(DataFrame.union, counts), "name")

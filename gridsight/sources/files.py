@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .listing import PREFIXES, FolderListing
+
 FILE_STATUS = T.StructType(
     [
         T.StructField("accessTime", T.LongType()),
@@ -91,22 +98,21 @@ def qualified(spark: SparkSession, path: str) -> str:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
 
 
-def read_file_listing(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
-    """Name, size and modification time of the files below a path, which is a folder.
+def read_file_listing(
+    spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True, prefixes: int = PREFIXES
+) -> DataFrame:
+    """Name, is_directory, size, modification time and owner of the files and folders below a path, which is a folder.
 
-    Names are relative to the path. The content column is pruned, so no file is
-    opened. Object stores list no owner here, and empty folders do not show.
+    Names are relative to the path, those of folders end with a slash; empty
+    folders show too. ``glob`` picks files by their own name. Folders are listed
+    in tasks: the driver only looks for about ``prefixes`` folders to hand out.
+    No file is opened. Stores list no owner here.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    spark.dataSource.register(FolderListing)
+    reader = spark.read.format(FolderListing.name()).option("recursive", str(recursive).lower()).option("prefixes", prefixes)
     if glob is not None:
-        reader = reader.option("pathGlobFilter", glob)
-    base = qualified(spark, path).rstrip("/") + "/"
-    return reader.load(path).select(
-        F.substring("path", F.lit(len(base) + 1), F.length("path")).alias("name"),
-        F.col("length").alias("size"),
-        F.unix_seconds("modificationTime").alias("last_modified"),
-        F.lit(None).cast("string").alias("owner"),
-    )
+        reader = reader.option("glob", glob)
+    return reader.load(qualified(spark, path))
 
 
 def decode_hdfs_status(answers: DataFrame, column: str = "json") -> DataFrame:
@@ -174,16 +180,42 @@ def read_html_pages(spark: SparkSession, path: str) -> DataFrame:
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     """Log lines with their offset, ready for L1 to L4.
 
-    An offset is a struct of file, start of the split and place among the lines
-    the task read, so it is unique and in file order. No line moves to be
-    numbered. Places repeat only while files and split size stay the same, so
-    the pages of a search belong to one set of files.
+    An offset is a struct of file and position, the byte at which the line
+    begins; it stays the same whatever the size of splits is, and when files are
+    added or grow. The bytes of each split are added up first; a line's position
+    is what the splits before hold and the lines before in its own. No line
+    moves to be numbered. Lines end with a line feed, before which a carriage
+    return is dropped.
     """
-    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    offset = F.struct(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block_start"), place.alias("place")
-    )
-    return spark.read.text(path).select(offset.alias("log_offset"), F.col("value").alias("line"))
+    split = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block_start")]
+    lines = spark.read.option("lineSep", "\n").text(path).select(*split, F.col("value").alias("line"))
+    sizes = lines.groupBy("file", "block_start").agg(F.sum(F.octet_length("line") + 1).alias("bytes"))
+    earlier = Window.partitionBy("file").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("file", "block_start", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("base"))
+    placed = lines.mapInArrow(_with_places, "file string, block_start bigint, place bigint, line string")
+    joined = placed.join(bases, ["file", "block_start"])
+    offset = F.struct("file", (F.col("base") + F.col("place")).alias("position"))
+    return joined.select(offset.alias("log_offset"), F.regexp_replace("line", "\\r$", "").alias("line"))
+
+
+def _with_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the bytes of the lines before in the split; lines come in the order of their split."""
+    split, held = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = pc.add(pc.binary_length(batch["line"]), 1).to_numpy(zero_copy_only=False).astype(np.int64)
+        places = np.cumsum(sizes) - sizes
+        files, starts = batch["file"], batch["block_start"].to_numpy(zero_copy_only=False)
+        codes = files.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        fresh = np.concatenate(([True], (codes[1:] != codes[:-1]) | (starts[1:] != starts[:-1])))
+        first = (files[0].as_py(), int(starts[0]))
+        base = np.where(fresh, places, 0)
+        places = places - np.maximum.accumulate(base)
+        if first == split:  # goes on from the batch before
+            places[: np.argmax(fresh[1:]) + 1 if fresh[1:].any() else len(places)] += held
+        split, held = (files[-1].as_py(), int(starts[-1])), int(places[-1] + sizes[-1])
+        yield pa.RecordBatch.from_arrays([files, batch["block_start"], pa.array(places), batch["line"]], names=["file", "block_start", "place", "line"])
 
 
 def write_json_rows(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -14,6 +14,7 @@ from pyspark.sql import SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 _local_roots: dict[str, str] = {}
+_standing: dict[str, list[str]] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -31,4 +32,21 @@ def shared_root(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder name below the shared root."""
-    return f"{shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+    folder = f"{shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+    _standing.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return folder
+
+
+def folders(spark: SparkSession) -> list[str]:
+    """The folders this application was given and has not removed, in order."""
+    return list(_standing.get(spark.sparkContext.applicationId, []))
+
+
+def remove(spark: SparkSession, names: list[str]) -> None:
+    """Removes folders whose tables are read no more; results that were not written yet may still read theirs."""
+    standing = _standing.get(spark.sparkContext.applicationId, [])
+    for name in names:
+        if name in standing:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            standing.remove(name)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import join_reduced
 from ..operators.registry import process_counts, rollup_expression
-from .spans import with_earlier, with_running_sums
+from ..operators.spans import with_earlier, with_running_sums
 
 PROCESS = ["cluster_id", "name"]
 COUNTS = ["processes", "running", "stopped"]

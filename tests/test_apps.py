@@ -1,3 +1,5 @@
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,9 +145,41 @@ def test_statement_kinds(spark):
     assert [row["kind"] for row in query.statement_kind(df, "s", any_space=True).collect()][3] == "update"
 
 
+@pytest.mark.parametrize("span_s", [1, 100, 10**9])
+def test_runs_of_a_deployment_are_placed_newest_first(spark, span_s):
+    """A deployment with most runs, runs that started together, and one that never started."""
+    schema = "deployment_id bigint, run_id bigint, status string, trigger string, started timestamp_ntz, ended timestamp_ntz"
+    start = datetime(2024, 1, 1)
+    data = [(1 if n % 3 else n % 5, n, "succeeded", "manually", start + timedelta(seconds=n * 7919 % 300), None) for n in range(300)]
+    data += [(1, 500, "running", "manually", None, None), (None, 501, "running", "manually", start, None)]
+    found = apps.deployment_history(spark.createDataFrame(data, schema), F.lit(start).cast("timestamp_ntz"), span_s)
+    expected = {}
+    for one in sorted(data, key=lambda row: (row[4] is not None, row[4] or start, row[1]), reverse=True):
+        expected.setdefault(one[0], []).append(one[1])
+    got = {}
+    for row in sorted(found.collect(), key=lambda row: row["position"]):
+        got.setdefault(row["deployment_id"], []).append(row["run_id"])
+    assert got == expected
+
+
 def test_user_queries(spark):
     tables = {"numbers": spark.range(5)}
     assert query.run_query(spark, tables, "SELECT sum(id) AS s FROM numbers WHERE id > :low", {"low": 2}).first()["s"] == 7
     for bad in ["", "DELETE FROM numbers", "SELECT id, id FROM numbers"]:
         with pytest.raises(ValueError):
             query.run_query(spark, tables, bad)
+
+
+def test_a_query_leaves_the_views_of_the_session_alone(spark, rows):
+    spark.range(3).createOrReplaceTempView("numbers")
+    tables = {"numbers": spark.range(10), "Odd name": spark.range(2)}
+    assert query.run_query(spark, tables, "SELECT count(*) AS n FROM numbers;").first()["n"] == 10
+    assert spark.table("numbers").count() == 3
+    assert not spark.catalog.tableExists("`Odd name`")
+    own = "WITH numbers AS (SELECT id FROM numbers WHERE id < 4), few AS (SELECT * FROM numbers) SELECT '{x}' AS x, max(id) AS id FROM few -- end"
+    assert rows(query.run_query(spark, tables, own)) == [("{x}", 3)]
+    ordered = query.run_query(spark, tables, "SELECT id FROM numbers ORDER BY id DESC LIMIT 2")
+    assert [row["id"] for row in ordered.collect()] == [9, 8]
+    assert query.run_query(spark, tables, "SELECT count(*) AS n FROM `Odd name`").first()["n"] == 2
+    spark.catalog.dropTempView("numbers")
+    assert query.run_query(spark, {}, "SELECT 1 AS n").first()["n"] == 1

@@ -33,6 +33,20 @@ def test_jdbc_read_in_parts_pushes_filters(spark, derby):
     assert "GreaterThan(N,90)" in plan
 
 
+def test_jdbc_range_is_looked_up(spark, derby):
+    data = spark.sql("SELECT id AS N, date_add(date'2024-01-01', int(id)) AS D FROM range(100) UNION ALL SELECT NULL, NULL")
+    databases.write_jdbc(data, derby, "ranged", "overwrite")
+    for column in ("N", "D"):
+        table = databases.read_jdbc(spark, derby, table="ranged", partition=databases.Partitioning(column, partitions=4))
+        sizes = table.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+        assert len(sizes) == 4 and sum(sizes) == 101 and max(sizes) < 40
+        assert table.select("N").distinct().count() == 101
+    part = databases.read_jdbc(spark, derby, query="SELECT N FROM ranged WHERE N >= 50", partition=databases.Partitioning("N", partitions=5))
+    assert part.count() == 50 and part.rdd.getNumPartitions() == 5
+    empty = databases.read_jdbc(spark, derby, query="SELECT N FROM ranged WHERE N > 1000", partition=databases.Partitioning("N"))
+    assert empty.count() == 0
+
+
 def test_only_queries_are_read(spark, derby):
     with pytest.raises(ValueError):
         databases.read_jdbc(spark, derby, query="DROP TABLE numbers")
@@ -78,12 +92,36 @@ def test_file_listing_does_not_read_content(spark, tmp_path, rows):
     (tmp_path / "a" / "x.txt").write_text("12345")
     (tmp_path / "y.csv").write_text("1")
     entries = files.read_file_listing(spark, str(tmp_path))
-    assert rows(entries, "name", "size") == [("a/x.txt", 5), ("y.csv", 1)]
-    assert rows(files.read_file_listing(spark, str(tmp_path), glob="*.csv"), "name") == [("y.csv",)]
-    assert "content" not in entries._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
+    assert rows(entries, "name", "is_directory", "size") == [("a/", True, 0), ("a/x.txt", False, 5), ("y.csv", False, 1)]
+    assert rows(files.read_file_listing(spark, str(tmp_path), glob="*.csv"), "name") == [("a/",), ("y.csv",)]
+    assert rows(files.read_file_listing(spark, str(tmp_path), recursive=False), "name") == [("a/",), ("y.csv",)]
+    assert all(row["last_modified"] > 1_500_000_000 for row in entries.collect())
     assert rows(listing.list_root(entries), "name") == [("a/",), ("y.csv",)]
 
 
+@pytest.mark.parametrize("prefixes", [1, 2, 4, 1000])
+def test_folders_are_listed_however_many_are_handed_out(spark, tmp_path, rows, prefixes):
+    expected = []
+    for one in range(3):
+        for two in range(2):
+            folder = tmp_path / f"d{one}" / f"e{two}"
+            folder.mkdir(parents=True)
+            (folder / "empty").mkdir()
+            (folder / "f.bin").write_text("x" * one)
+            expected += [(f"d{one}/e{two}/", True, 0), (f"d{one}/e{two}/empty/", True, 0), (f"d{one}/e{two}/f.bin", False, one)]
+        expected.append((f"d{one}/", True, 0))
+    (tmp_path / "bare").mkdir()
+    entries = files.read_file_listing(spark, str(tmp_path), prefixes=prefixes)
+    assert rows(entries, "name", "is_directory", "size") == sorted([*expected, ("bare/", True, 0)], key=repr)
+    assert rows(listing.list_root(entries), "name") == [("bare/",), ("d0/",), ("d1/",), ("d2/",)]
+    assert rows(listing.list_prefix(entries, "d1/e0/"), "name", "is_directory") == [("d1/e0/", True), ("d1/e0/empty/", True), ("d1/e0/f.bin", False)]
+    assert rows(listing.with_file_kind(entries).filter("extension = 'bin'"), "size_text") == [("0 B",)] * 2 + [("1 Bytes",)] * 2 + [("2 Bytes",)] * 2
+
+
+def test_an_empty_folder_has_no_entries(spark, tmp_path):
+    assert files.read_file_listing(spark, str(tmp_path)).collect() == []
+
+
 def test_hdfs_status(spark, rows):
     entry = {"accessTime": 1, "blockSize": 128, "group": "g", "length": 1500, "modificationTime": 2, "owner": "o",
              "pathSuffix": "f", "permission": "644", "replication": 3, "type": "FILE"}
@@ -132,7 +170,7 @@ def test_names_are_relative_whatever_the_path_looks_like(spark, tmp_path, rows):
     (base / "top.txt").write_text("12")
     expected = [("top.txt", 2), (f"x{base}/deep.txt", 1)]
     for path in (str(base), f"{base}/", f"file:{base}", f"file://{base}"):
-        assert rows(files.read_file_listing(spark, path), "name", "size") == expected
+        assert rows(files.read_file_listing(spark, path).filter("NOT is_directory"), "name", "size") == expected
 
 
 def test_log_files_can_be_searched(spark, tmp_path, rows):
@@ -150,7 +188,7 @@ def test_log_files_can_be_searched(spark, tmp_path, rows):
     page = logs.search_logs(parsed, n=4).collect()
     assert [row["message"][:7] for row in page] == ["begin 1", "Bound M", "Bound M", "begin 2"]
     last = page[3]["log_offset"]
-    after = F.struct(F.lit(last["file"]).alias("file"), F.lit(last["block_start"]).alias("block_start"), F.lit(last["place"]).alias("place"))
+    after = F.struct(F.lit(last["file"]).alias("file"), F.lit(last["position"]).alias("position"))
     rest = logs.search_log_lines(lines, last_offset=after, n=4).collect()
     assert [row["message"] for row in rest] == ["Bound MasterWebUI to 0.0.0.0", "Bound MasterWebUI again"]
     assert rows(logs.log_facets(parsed).filter("facet = 'level'"), "value", "lines") == [("ERROR", 2), ("INFO", 4)]
@@ -158,6 +196,42 @@ def test_log_files_can_be_searched(spark, tmp_path, rows):
     assert first["milestone"] == "spark-master" and first["message"] == "Bound MasterWebUI to 0.0.0.0" and first["ts"].day == 1
 
 
+def written_lines(path, count):
+    """A file of lines of many lengths, and where each begins."""
+    lines = [(f"line {number} " + "é" * (number * 37 % 90) + ("\r" if number % 5 == 0 else "")) for number in range(count)]
+    path.write_bytes("\n".join(lines).encode())
+    places, at = [], 0
+    for line in lines:
+        places.append((at, line.removesuffix("\r")))
+        at += len(line.encode()) + 1
+    return places
+
+
+@pytest.mark.parametrize("split", [64, 1000, 1 << 20])
+def test_offsets_are_bytes_whatever_the_split(spark, tmp_path, rows, split):
+    expected = sorted(written_lines(tmp_path / "one.log", 200) + written_lines(tmp_path / "two.log", 77))
+    (tmp_path / "empty.log").write_text("")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        found = files.read_log_lines(spark, str(tmp_path)).select("log_offset.position", "line").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(map(tuple, found)) == expected
+
+
+def test_pages_go_on_in_a_file_that_has_grown(spark, tmp_path):
+    line = "2024-03-01 10:00:00.000 +0000||INFO||t||c||message {n}\n"
+    path = tmp_path / "app.log"
+    path.write_text("".join(line.format(n=n) for n in range(10)))
+    page = logs.search_log_lines(files.read_log_lines(spark, str(tmp_path)), n=6).collect()
+    with path.open("a") as file:
+        file.write("".join(line.format(n=n) for n in range(10, 13)))
+    last = page[-1]["log_offset"]
+    after = F.struct(F.lit(last["file"]).alias("file"), F.lit(last["position"]).alias("position"))
+    rest = logs.search_log_lines(files.read_log_lines(spark, str(tmp_path)), last_offset=after, n=100).collect()
+    assert [row["message"] for row in [*page, *rest]] == [f"message {n}" for n in range(13)]
+
+
 def test_json_rows(spark, tmp_path, rows):
     df = spark.createDataFrame([(1, "a"), (2, None)], "n int, s string")
     assert rows(query.to_json_rows(df)) == [('{"n":1,"s":"a"}',), ('{"n":2}',)]

@@ -4,9 +4,9 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from gridsight.operators import kafka, registry
+from gridsight.operators import kafka, registry, spans
 from gridsight.sources.topics import stream_files
-from gridsight.streaming import restarts, rollups, running, sessions, spans, transitions, views
+from gridsight.streaming import restarts, rollups, running, sessions, transitions, views
 
 START = datetime(2024, 1, 1)
 LEFTOVERS = {("starting", "new"), ("starting", "terminated"), ("terminating", "running")}
