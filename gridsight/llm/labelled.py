@@ -20,14 +20,13 @@ def held_out(doc_id: Column, folds: int, held: int) -> Column:
 
 
 def sample(
-    docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, rows: int, most_chars: int | None = None, all_chars: int | None = None
+    docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, rows: int, all_chars: int
 ) -> DataFrame:
     """Texts with their label, from at most ``rows`` labelled ids outside the held-out fold.
 
     Ids are chosen by a hash of the id, so that reruns agree; an id with several labels counts by the highest, one without
-    a label is no candidate. Texts over ``most_chars`` characters are not used for fitting. With ``all_chars``, ids are taken
-    in the order of the hash until their texts together reach it, the last one whole, so that no text is too long to be
-    taken; the sample is written then. The chosen labels are written first: they are few, and Spark sees from their size
+    a label is no candidate. Ids are taken in the order of the hash until their texts together reach ``all_chars`` characters,
+    the last one whole, so that no text is too long to be taken. The chosen labels are written first: they are few, and Spark sees from their size
     that they can be broadcast.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
@@ -35,10 +34,6 @@ def sample(
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = saved(known.orderBy(F.xxhash64(F.col("doc_id"), F.lit(label)), "doc_id").limit(rows), "labelled-" + label)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if most_chars is not None:
-        texts = texts.where(F.length("text") <= most_chars)
-    if all_chars is None:
-        return texts.join(chosen, "doc_id").select("doc_id", "label", "text")
     # one row per chosen id, at most ``rows`` of them, so that a window without a key is small
     sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(F.col("text").cast("string")).alias("chars"))
     sizes = sizes.join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.sum("chars").alias("chars"))

@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from .labelled import held_out, sample
 
+#: Labelled documents the model is fitted on at most, and characters of all of them; the document that crosses is whole.
 SAMPLE_ROWS = 4000
-SAMPLE_CHARS = 100_000
+SAMPLE_CHARS = 128_000_000
 FOLDS, HELD = 4, 2
 BUCKETS = 1024
 FACTORS = 6
@@ -147,7 +148,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
 def quality(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row of the table: doc_id and score.
 
-    A null text counts as empty; an empty one is scored from its statistics. Repeated rows are scored each, a null id
+    A null text counts as empty; an empty one is scored from its statistics; texts are used whole, however long. Repeated rows are scored each, a null id
     stays null, an empty table gives an empty one. Other columns are not read.
     """
 
