@@ -74,8 +74,8 @@ class _Shard:
         self.lengths.append(len(found))
         self.postings.extend((place, doc, tf) for place, tf in own.items())
 
-    def full(self) -> bool:
-        return len(self.ids) >= SHARD_DOCS or len(self.postings) >= SHARD_POSTINGS
+    def full(self, docs: int) -> bool:
+        return len(self.ids) >= docs or len(self.postings) >= SHARD_POSTINGS
 
     def row(self, name: str) -> tuple:
         lengths = np.array(self.lengths, np.int64)
@@ -95,7 +95,7 @@ class _Shard:
         return (name, int((lengths > 0).sum()), int(lengths.sum()), *(array.tobytes() for array in arrays))
 
 
-def _indexed(vocabulary: dict[bytes, int]):
+def _indexed(vocabulary: dict[bytes, int], shard_docs: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
@@ -104,7 +104,7 @@ def _indexed(vocabulary: dict[bytes, int]):
         for rows in frames:
             for doc_id, text in zip(rows["doc_id"].astype("Int64"), rows["text"]):
                 shard.add(None if doc_id is pd.NA else int(doc_id), text, vocabulary)
-                if shard.full():
+                if shard.full(shard_docs):
                     yield pd.DataFrame([shard.row(f"{task}-{made}")], columns=columns)
                     made, shard = made + 1, _Shard()
         if shard.ids:
@@ -215,7 +215,7 @@ def _searched(queries: list[dict[int, int]], weights: dict[int, int], holders: i
     return run
 
 
-def _searched_block(docs: DataFrame, items: list[tuple], k: int, seed_share: int) -> DataFrame | None:
+def _searched_block(docs: DataFrame, items: list[tuple], k: int, seed_share: int, shard_docs: int) -> DataFrame | None:
     """The best documents of each shard for a block of items (id, text)."""
     counted: dict = {}
     for item_id, text in items:
@@ -225,7 +225,7 @@ def _searched_block(docs: DataFrame, items: list[tuple], k: int, seed_share: int
     queries = [{vocabulary[term]: times for term, times in counted[item_id].items()} for item_id in names]
     if not queries:
         return None
-    index = saved(docs.mapInPandas(_indexed(vocabulary), INDEX), "lexical-index")
+    index = saved(docs.mapInPandas(_indexed(vocabulary, shard_docs), INDEX), "lexical-index")
     holders, total = index.agg(F.sum("holders"), F.sum("terms")).first()
     if not total:
         return None
@@ -250,6 +250,7 @@ def _searched_block(docs: DataFrame, items: list[tuple], k: int, seed_share: int
 def ranked(
     docs: DataFrame, items: DataFrame, k: int = 20, id_column: str = "doc_id", text_column: str = "text",
     item_column: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS, seed_share: int = SEED_SHARE,
+    shard_docs: int = SHARD_DOCS,
 ) -> DataFrame:
     """The ``k`` best documents of each item: item_id, rank, doc_id, score; fewer where fewer score above 0.
 
@@ -266,7 +267,7 @@ def ranked(
     parts = []
     for number in range(blocks):
         own = [tuple(row) for row in asked.where(block == number).collect()]  # a block of queries, bounded by its characters
-        part = _searched_block(rows, own, k, seed_share)
+        part = _searched_block(rows, own, k, seed_share, shard_docs)
         if part is not None:
             parts.append(part)
     if not parts:
