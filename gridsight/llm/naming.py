@@ -90,7 +90,7 @@ def exact_duplicates(
 
     Texts are equal when they are the same without separators; a null text counts as empty, and all empty ones are equal.
     Of equal texts the row with the most characters stays, then the one with the smallest id (a null id last), and of
-    repeated rows one. An empty table gives an empty one. Other columns are not read.
+    repeated rows one. Texts are used whole, however long. An empty table gives an empty one. Other columns are not read.
     """
     named = identities(docs, id_column, text_column, size)
     rank = F.struct((-F.col("n_chars")).alias("chars"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")

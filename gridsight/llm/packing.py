@@ -147,7 +147,6 @@ def pack(
     # at most one row per length below the window
     histogram = {row["tail"]: row["count"] for row in cut.where("tail > 0").groupBy("tail").count().collect()}
     rows, sequences = plan_rows(plan_windows(histogram, capacity))
-    plan = spark.createDataFrame(rows, PLAN)
 
     # sums over buckets give what stands before each bucket
     sums = cut.groupBy("bucket", "tail").agg(F.count(F.lit(1)).alias("rows_here"), F.sum(F.size("crcs")).alias("full_here"))

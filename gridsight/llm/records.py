@@ -143,7 +143,7 @@ def write_records(
     """Encodes every text, appends ``end_id`` and writes records in ascending order of the id; returns the index.
 
     A null text is an empty one and gives a record of the end id alone; a null id sorts first. Rows that share an id
-    are all written, in no set order between them. An empty table gives an empty index and no file. Other columns are
+    are all written, in no set order between them. A text of any length is one record. An empty table gives an empty index and no file. Other columns are
     not read.
     """
     spark = docs.sparkSession

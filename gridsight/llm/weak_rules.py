@@ -140,7 +140,8 @@ def judged(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     """Per row of the table: its statistics, base_failed, votes, good (the posterior) and kept.
 
     A null or empty text has no words and fails the base. Texts that fail the base take no part in the estimation.
-    Repeated rows count each; a null id stays null; an empty table gives an empty one. Other columns are not read.
+    Texts are used whole, however long. Repeated rows count each; a null id stays null; an empty table gives an empty one.
+    Other columns are not read.
     """
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     rows = _statistics(docs, id_column, text_column).withColumn("base_failed", failed).withColumn("votes", votes())
