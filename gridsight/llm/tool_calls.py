@@ -5,15 +5,18 @@ level, one more than the highest level they need, so that ascending (level, posi
 are checked against the schema of the tool, and call and result become one record of canonical JSON: keys sorted by code
 point, no white space, no number that JSON lacks.
 
-Levels are found round by round over the table of needs: a call is settled when all it needs is. Rounds are as many as
-the longest chain; what is left then needs itself. Nothing is gathered per conversation, so a conversation may be of any
-length.
+Levels are found round by round over the table of needs: a call is settled when all it needs is. Where what a call needs waits
+for one other call only, the need moves on to that one and keeps the distance, so that a chain takes rounds by the logarithm of its
+length. Settled calls leave the table; what is left in the end needs itself. Nothing is gathered per conversation, so a
+conversation may be of any length.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
+from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -80,13 +83,23 @@ def _refused(name: str) -> Any:
     raise ValueError(name)
 
 
+def _finite(digits: str) -> float:
+    value = float(digits)
+    return value if math.isfinite(value) else _refused(digits)
+
+
 def argument_problems(arguments: str | None, schema: dict | None) -> tuple[Any, list[str]]:
-    """The arguments as a value, and what is wrong with them; text that is no JSON stays text."""
+    """The arguments as a value, and what is wrong with them.
+
+    Text that is no JSON, or that has no canonical form (numbers beyond a double, half of a surrogate pair, too deep
+    nesting), stays text.
+    """
     try:
-        value = json.loads(arguments or "", parse_constant=_refused)
+        value = json.loads(arguments or "", parse_constant=_refused, parse_float=_finite)
+        canonical({"arguments": value}).encode()
+        return value, ["$: unknown tool"] if schema is None else problems(value, schema)
     except (ValueError, RecursionError):
         return arguments, ["$: not JSON"]
-    return value, ["$: unknown tool"] if schema is None else problems(value, schema)
 
 
 def _records(schemas: dict[str, dict]):
@@ -120,20 +133,41 @@ def _records(schemas: dict[str, dict]):
 
 
 def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of calls, from needs (conv_id, call_id, need) between known calls; null in a cycle."""
-    state = needs.select("conv_id", "call_id").distinct().withColumn("open", F.lit(True))
-    state = calls.select("conv_id", "call_id").join(state, ["conv_id", "call_id"], "left")
-    state = saved(state.select("conv_id", "call_id", F.when(F.col("open").isNull(), 0).alias("level")), "call-levels")
+    """(conv_id, call_id, level) of calls, from needs (conv_id, call_id, need) between known calls; calls of a cycle, and those that need one, are left out.
+
+    A row of the table says that the level of a call is at least ``least`` and at least ``steps`` more than that of ``need``.
+    """
+    key = ["conv_id", "call_id"]
+    size = calls.count()
+    edges = saved(needs.select(*key, "need", F.lit(1).alias("steps"), F.lit(0).alias("least")), "call-edges")
+    fresh = saved(calls.select(*key).join(edges.select(*key), key, "left_anti").withColumn("level", F.lit(0)), "call-levels")
+    found = [fresh]
     while True:
-        settled = state.where("level IS NOT NULL").select("conv_id", F.col("call_id").alias("need"), F.col("level").alias("below"))
-        waiting = state.where("level IS NULL").select("conv_id", "call_id")
-        looked = needs.join(waiting, ["conv_id", "call_id"], "left_semi").join(settled, ["conv_id", "need"], "left")
-        ready = looked.groupBy("conv_id", "call_id").agg(F.bool_and(F.col("below").isNotNull()).alias("all"), F.max("below").alias("below"))
-        ready = saved(ready.where(F.col("all")).select("conv_id", "call_id", (F.col("below") + 1).alias("found")), "call-ready")
-        if ready.limit(1).count() == 0:
-            return state
-        joined = state.join(ready, ["conv_id", "call_id"], "left")
-        state = saved(joined.select("conv_id", "call_id", F.coalesce("level", "found").alias("level")), "call-levels")
+        below = fresh.select("conv_id", F.col("call_id").alias("need"), F.col("level").alias("below"))
+        looked = edges.join(below, ["conv_id", "need"], "left")
+        reached = F.greatest("least", F.col("steps") + F.col("below"))
+        calls_left = looked.groupBy(*key).agg(
+            F.max(reached).alias("reached"), F.count_if(F.col("below").isNull()).alias("open"), F.max("steps").alias("most")
+        )
+        calls_left = saved(calls_left, "call-open")
+        fresh = saved(calls_left.where("open = 0").select(*key, F.col("reached").alias("level")), "call-levels")
+        found.append(fresh)
+        # more steps than there are calls: the call needs itself, or one that does
+        waiting = calls_left.where((F.col("open") > 0) & (F.col("most") <= size))
+        rest = looked.where("below IS NULL").join(waiting, key)
+        rest = rest.withColumn("least", F.greatest("least", F.coalesce("reached", F.lit(0))))
+        only = rest.where("open = 1").select(
+            "conv_id", F.col("call_id").alias("need"), F.col("need").alias("next"), F.col("steps").alias("further"), F.col("least").alias("floor")
+        )
+        moved = rest.join(only, ["conv_id", "need"], "left")
+        moved = moved.select(
+            *key, F.coalesce("next", "need").alias("need"), (F.col("steps") + F.coalesce("further", F.lit(0))).alias("steps"),
+            F.greatest("least", F.coalesce(F.col("steps") + F.col("floor"), F.lit(0))).alias("least"), F.col("next").isNotNull().alias("moved"),
+        )
+        edges = saved(moved, "call-edges")
+        if not fresh.limit(1).count() and not edges.where("moved").limit(1).count():
+            return reduce(DataFrame.union, found)
+        edges = edges.drop("moved")
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -144,7 +178,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     position is linked, then the least by its other columns; each other one is a row of status duplicate without a level, with its
     own arguments or content. Null conversations or identifiers match nothing: such a call is unanswered, such a
     result an orphan, each a row of its own. Status is ok, invalid (arguments break the schema, the tool is unknown, or a need names no call),
-    unanswered, cycle, orphan or duplicate. Null or empty arguments are no JSON. Empty tables give an empty one. Extra columns are
+    unanswered, cycle, orphan or duplicate. Null or empty arguments are no JSON; arguments may be of any length. Empty tables give an empty one. Extra columns are
     not read.
     """
     calls = calls.select(
