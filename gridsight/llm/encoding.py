@@ -13,10 +13,10 @@ import os
 import re
 import sys
 from array import array
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
-#: Parts kept by a worker, and the longest that is worth keeping, in characters.
-KEPT_PARTS = 500_000
+#: Parts kept by a worker in each of two generations, and the longest that is worth keeping, in characters.
+KEPT_PARTS = 350_000
 LONGEST_KEPT = 64
 #: Characters that are always a token of their own when letters stand before them and nothing after.
 STOPS = ".,;:!?|"
@@ -65,6 +65,26 @@ def splits_at_spaces(description: dict) -> bool:
     return bool(plain and simple and not description.get("normalizer") and not description.get("truncation"))
 
 
+class Parts(dict):
+    """What a function makes of each part met so far. When it is full, what was used last moves on to the next generation."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make = make
+        self.before: dict[str, bytes] = {}
+
+    def __missing__(self, part: str) -> bytes:
+        found = self.before.get(part)
+        if found is None:
+            found = self.make(part)
+        if len(part) <= LONGEST_KEPT:
+            if len(self) >= KEPT_PARTS:
+                self.before = dict(self)
+                self.clear()
+            self[part] = found
+        return found
+
+
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers."""
 
@@ -82,47 +102,47 @@ class Encoder:
         self.tokenize = self.library.model.tokenize
         self.shown = byte_characters()
         self.space = self.shown[ord(" ")]
-        self.stops = {stop: packed([token.id for token in self.tokenize(stop)]) for stop in STOPS}
-        self.known: dict[str, bytes] = {}
+        self.bytes_of = [packed([number]) for number in range(self.library.get_vocab_size(with_added_tokens=True))]
+        self.stops = {stop: self._token(stop) for stop in STOPS}
+        self.line_end = self._token(self.shown[ord("\n")])
+        self.known = Parts(lambda part: self._part(part, True))
 
     def _encode(self, texts: Sequence[str]) -> list[bytes]:
         return [packed(one.ids) for one in self.library.encode_batch(list(texts), add_special_tokens=False)]
 
-    def _part(self, part: str) -> bytes:
-        """Ids of a part; one of letters only is a single token to the pre-tokenizer."""
+    def _token(self, shown: str) -> bytes:
+        """Ids of one token of the pre-tokenizer."""
+        bytes_of = self.bytes_of
+        return b"".join([bytes_of[token.id] for token in self.tokenize(shown)])
+
+    def _letters(self, part: str, spaced: bool) -> bytes:
+        shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.shown)
+        return self._token(self.space + shown if spaced else shown)
+
+    def _part(self, part: str, spaced: bool) -> bytes:
+        """Ids of a part, with the space it starts with or without; letters are a single token to the pre-tokenizer, as is a
+        line end between two characters that are no white space."""
         if part.isalpha():
-            shown = self.space + (part if part.isascii() else part.encode().decode("latin-1").translate(self.shown))
-            return packed([token.id for token in self.tokenize(shown)])
+            return self._letters(part, spaced)
         if part[:-1].isalpha() and part[-1] in STOPS:
-            return (self.known.get(part[:-1]) or self._part(part[:-1])) + self.stops[part[-1]]
-        cut = self.library.pre_tokenizer.pre_tokenize_str(" " + part)
-        return packed([token.id for shown, _ in cut for token in self.tokenize(shown)])
+            return self._letters(part[:-1], spaced) + self.stops[part[-1]]
+        left, line_end, right = part.partition("\n")
+        if left and right and "\n" not in right and not left[-1].isspace() and not right[0].isspace():
+            return self._part(left, spaced) + self.line_end + self._part(right, False)
+        cut = self.library.pre_tokenizer.pre_tokenize_str(" " + part if spaced else part)
+        return b"".join([self._token(shown) for shown, _ in cut])
 
     def _whole(self, text: str) -> bool:
         return not self.cut or any(special in text for special in self.specials)
 
     def batch(self, texts: Sequence[str | None]) -> list[bytes]:
         """Ids of each text, in the order given; a null text is an empty one."""
-        if len(self.known) > KEPT_PARTS:
-            self.known.clear()
         split = [None if text and self._whole(text) else parts_of(text or "") for text in texts]
-        needed: set[str] = set()
-        for parts in split:
-            if parts is not None:
-                needed.update(parts[1])
-        long = {}
-        for part in needed.difference(self.known.keys() & needed):
-            (self.known if len(part) <= LONGEST_KEPT else long)[part] = self._part(part)
         firsts = iter(self._encode([parts[0] for parts in split if parts is not None]))
         wholes = iter(self._encode([text for text, parts in zip(texts, split) if parts is None]))
-        known, out = self.known, []
+        ids_of, out = self.known.__getitem__, []
         for parts in split:
-            if parts is None:
-                out.append(next(wholes))
-            elif long:
-                out.append(next(firsts) + b"".join([long[part] if part in long else known[part] for part in parts[1]]))
-            else:
-                out.append(next(firsts) + b"".join(map(known.__getitem__, parts[1])))
+            out.append(next(wholes) if parts is None else next(firsts) + b"".join(map(ids_of, parts[1])))
         return out
 
 
