@@ -5,7 +5,9 @@ fractions are rounded in pairs: words pass at random from one document of a pair
 holds none or all of its own, with odds that leave each one's expectation as it was. What the pair takes together does
 not change, so a source comes within one document of its target. One fractional document is left of a leaf of a few
 thousand; these residuals are paired again a level higher, in a tree of fixed fan-in, until each source has one left,
-which is drawn by its fraction.
+which is drawn by its fraction. What that draw adds or takes is made up for by documents of the last group that were
+rounded, the largest first that bring the sum nearer: a source of few documents, one of them long, would else miss its
+target by much.
 """
 
 from __future__ import annotations
@@ -73,6 +75,17 @@ def settle(rows: list[list], rng: random.Random) -> None:
         held = next((one for one in (held, row) if one[2] > 0.0), None)
 
 
+def make_up(rows: list[list], before: list[tuple], wanted: float) -> None:
+    """Rounds some fractions the other way, so that the words taken come nearer to those wanted; ``before`` has the copies and
+    fractions that ``rows``, largest first, were rounded from."""
+    missing = wanted - sum(size * copies for size, copies, _ in rows)
+    for row, (copies, fraction) in zip(rows, before):
+        change = 0 if fraction <= 0.0 else 1 if row[1] == copies else -1
+        if abs(missing - change * row[0]) < abs(missing):
+            row[1] += change
+            missing -= change * row[0]
+
+
 def _settled(seed: int, level: int, last: bool):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         # large documents first: what is left over at the end is then likely a small one
@@ -80,11 +93,13 @@ def _settled(seed: int, level: int, last: bool):
         first = rows.iloc[0]
         rng = random.Random(f"{seed}|{level}|{first['source']!r}|{first['node']}")
         state = [list(one) for one in zip(rows["size"], rows["copies"], rows["fraction"])]
+        before, wanted = [(one[1], one[2]) for one in state], sum(one[0] * (one[1] + one[2]) for one in state)
         settle(state, rng)
         if last:
             for one in state:
                 if one[2] > 0.0:
                     one[1], one[2] = one[1] + (rng.random() < one[2]), 0.0
+            make_up(state, before, wanted)
         return rows.assign(copies=[one[1] for one in state], fraction=[one[2] for one in state])
 
     return run
@@ -96,7 +111,7 @@ def mix(
     """Per row of the table: doc_id, source, size, source_size, target, copies, taken.
 
     The size is the words of the text, none for a null or empty one, which is taken no time. A null source is a source
-    of its own, last in order. Repeated rows are documents of their own. A null id is a document like others. Results
+    of its own, last in order. Texts are used whole, however long. Repeated rows are documents of their own. A null id is a document like others. Results
     depend on the rows and the seed alone, not on how they lie in files. An empty table gives an empty one.
     """
     size = F.size(words(F.col(text_column))).cast("long")
