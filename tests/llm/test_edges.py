@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gridsight.llm import mixing, naming, packing, parity_join, quality, records, token_counts, toxicity, weak_rules
+from gridsight.llm import mixing, naming, packing, parity_join, quality, records, token_counts, tool_calls, toxicity, weak_rules
 from gridsight.llm.common import ready
 from gridsight.llm.queries import vocabulary
 from gridsight.storage import new_folder
@@ -89,6 +89,34 @@ def test_equal_texts_across_separators(odd):
     assert found[2]["keep_id"] == 7 and found[2]["group_size"] == 3
 
 
+CALLS = "conv_id bigint, call_id string, position bigint, name string, arguments string, needs array<string>, level int, turn string"
+RESULTS = "conv_id bigint, call_id string, position bigint, content string, called string"
+
+
+def test_tool_calls_on_odd_rows(spark):
+    """Nulls in any column, long arguments, repeated rows, empty tables and columns with clashing names."""
+    ready(spark)
+    long = '{"query":"' + LONG + '","limit":2}'
+    calls = spark.createDataFrame([
+        (1, "a", 1, "search", long, [], 9, "x"), (1, "b", None, None, None, None, None, None), (None, "c", 2, "search", "{}", ["a"], 9, "x"),
+        (1, None, 3, "search", "", ["a", None], 9, "x"), (2, "d", 1, "search", long, ["d"], 9, "x"), (2, "e", 1, "no tool", "{}", ["e2"], 9, "x"),
+        (3, "f", 1, "search", long, [], 9, "x"), (3, "f", 1, "search", long, [], 9, "x"), (3, "f", 1, "search", "{}", [], 9, "x"),
+    ], CALLS)
+    results = spark.createDataFrame([(1, "a", 5, LONG, "x"), (1, "z", None, None, None), (None, None, 1, "", "x"), (3, "f", 2, None, "x")], RESULTS)
+    found = tool_calls.link(calls, results, tool_calls.SCHEMAS).collect()
+    assert len(found) == 11
+    status = {(row["conv_id"], row["call_id"], row["position"]): row["status"] for row in found if row["status"] != "duplicate"}
+    assert status == {
+        (1, "a", 1): "ok", (1, "b", None): "invalid", (None, "c", 2): "invalid", (1, None, 3): "invalid", (2, "d", 1): "cycle",
+        (2, "e", 1): "invalid", (3, "f", 1): "ok", (1, "z", None): "orphan", (None, None, 1): "orphan",
+    }
+    assert sum(row["status"] == "duplicate" for row in found) == 2
+    nothing = calls.where("false")
+    assert tool_calls.link(nothing, results.where("false"), tool_calls.SCHEMAS).collect() == []
+    assert tool_calls.link(calls, results.where("false"), tool_calls.SCHEMAS).count() == 9
+    assert {row["status"] for row in tool_calls.link(nothing, results, tool_calls.SCHEMAS).collect()} == {"orphan"}
+
+
 def test_records_reject_damage(spark, odd):
     folder = new_folder(spark, "damage")
     index = records.write_records(odd, vocabulary(), folder)

@@ -31,7 +31,7 @@ def test_ids_and_counts_are_the_librarys(text):
 
 
 def test_counts_of_special_strings_and_long_runs():
-    for text in ("a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x  <|endoftext|>", "ab" * 5000, " " * 3000, "a  b   c \n d"):
+    for text in ("a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x  <|endoftext|>", "ab" * 5000, " " * 3000, "a  b   c \n d", "a\n" * 5000, "x.\nY\n\nz", "Êa.\nÉ1,\t\nb"):
         assert counter.count(text) == len(library.encode(text, add_special_tokens=False).ids)
         assert encoder.batch([text])[0] == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     assert parts_of("a b  c")[1] == ["b ", "c"]
