@@ -13,9 +13,11 @@ by 1.25, so a document takes part in its own class and in the one below.
 
 Join. Keys of a batch of documents travel as packed arrays, one row per bucket of keys. A bucket finds the keys that
 several documents share. First each document is compared with the one that leads most of its keys; what is linked forms
-trees. Only keys whose documents are then still in different trees are opened: their remaining pairs are filtered by
-size and sketch inside the task, block by block, and the few that are left verified on whole sets. No pair that shares a key is left unless its documents are
-already connected. Documents with the same set in a task send keys once.
+trees. Only keys whose documents are then still in different trees are opened, in rounds: each document takes a few
+candidates of other trees that size and sketch do not rule out, these are verified on whole sets, and linked trees are
+joined, which closes most keys. No pair that shares a key is left unless its documents are already connected or it was
+refused. Documents with the same set in a task send keys once. Keys that very many documents have, as far as a bounded
+sample shows, are dealt by document instead of by key, and their leads found by a combining minimum.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ SHINGLE = 5
 #: Buckets of keys at least, and documents per bucket when there are more.
 BUCKETS = 256
 BUCKET_DOCS = 4000
+#: Documents of the sample that shows which keys are common, characters of each that are looked at, and the share that makes one common.
+SAMPLE_DOCS, SAMPLE_CHARS, COMMON_SHARE = 2000, 20_000, 0.01
 #: Keys packed together; bounds a worker's memory.
 FLUSH_KEYS = 500_000
 #: Distinct sets a worker remembers to spot repeats.
@@ -143,14 +147,16 @@ def _unpacked(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 SENT = "bucket long, doc_id long, n long, same_as long, payload binary"
 #: kind 0: a document, its set's size and the document of the same set that sent keys for it; kind 1: a key, a document
-#: that has it and the smallest one that has it.
+#: that has it and the smallest one that has it; kind 2: a common key and a document that has it.
 FOUND = "kind int, a long, b long, c long"
 
 
-def _send(buckets: int):
+def _send(buckets: int, common: np.ndarray):
     def flushed(ids: list[np.ndarray], keys: list[np.ndarray]) -> pd.DataFrame:
         doc_ids, all_keys = np.concatenate(ids), np.concatenate(keys)
         place = (all_keys % _U(buckets)).astype(np.int64)
+        spread = (scrambled(doc_ids.view(_U)) % _U(buckets)).astype(np.int64) + buckets
+        place = np.where(np.isin(all_keys, common), spread, place)
         order = np.argsort(place, kind="stable")
         place, doc_ids, all_keys = place[order], doc_ids[order], all_keys[order]
         begins = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
@@ -196,24 +202,49 @@ def _send(buckets: int):
     return run
 
 
-def _meet(rows: pd.DataFrame) -> pd.DataFrame:
-    documents = rows["payload"].isna()
-    out = [rows.loc[documents, ["doc_id", "n", "same_as"]].set_axis(["a", "b", "c"], axis=1).assign(kind=0)]
-    parts = [_unpacked(payload) for payload in rows.loc[~documents, "payload"]]
-    if parts:
-        doc_ids, keys = (np.concatenate(side) for side in zip(*parts))
-        order = np.lexsort((doc_ids, keys))
-        doc_ids, keys = doc_ids[order], keys[order]
-        fresh = np.concatenate(([True], (keys[1:] != keys[:-1]) | (doc_ids[1:] != doc_ids[:-1])))
-        doc_ids, keys = doc_ids[fresh], keys[fresh]
-        begins = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        sizes = np.diff(np.append(begins, len(keys)))
-        leads = np.repeat(doc_ids[begins], sizes)
-        several = np.repeat(sizes, sizes) > 1
-        number = keys[several].view(np.int64) ^ int(rows["bucket"].iloc[0])  # the low bytes of a key are zero
-        out.append(pd.DataFrame({"a": number, "b": doc_ids[several], "c": leads[several], "kind": 1}))
-    made = pd.concat([one.astype({"a": "Int64", "b": "Int64", "c": "Int64"}) for one in out])
-    return made[["kind", "a", "b", "c"]]
+def _meet(buckets: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        documents = rows["payload"].isna()
+        bucket = int(rows["bucket"].iloc[0])
+        out = [rows.loc[documents, ["doc_id", "n", "same_as"]].set_axis(["a", "b", "c"], axis=1).assign(kind=0)]
+        parts = [_unpacked(payload) for payload in rows.loc[~documents, "payload"]]
+        if parts and bucket >= buckets:
+            # the low bytes of a key are zero: all ones there tell common keys from others
+            number = np.concatenate([keys for _, keys in parts]).view(np.int64) ^ ((1 << (64 - 8 * KEY_BYTES)) - 1)
+            doc_ids = np.concatenate([ids for ids, _ in parts])
+            out.append(pd.DataFrame({"a": number, "b": doc_ids, "c": pd.array([pd.NA] * len(number), "Int64"), "kind": 2}))
+        elif parts:
+            doc_ids, keys = (np.concatenate(side) for side in zip(*parts))
+            order = np.lexsort((doc_ids, keys))
+            doc_ids, keys = doc_ids[order], keys[order]
+            fresh = np.concatenate(([True], (keys[1:] != keys[:-1]) | (doc_ids[1:] != doc_ids[:-1])))
+            doc_ids, keys = doc_ids[fresh], keys[fresh]
+            begins = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            sizes = np.diff(np.append(begins, len(keys)))
+            leads = np.repeat(doc_ids[begins], sizes)
+            several = np.repeat(sizes, sizes) > 1
+            number = keys[several].view(np.int64) ^ bucket
+            out.append(pd.DataFrame({"a": number, "b": doc_ids[several], "c": leads[several], "kind": 1}))
+        made = pd.concat([one.astype({"a": "Int64", "b": "Int64", "c": "Int64"}) for one in out])
+        return made[["kind", "a", "b", "c"]]
+
+    return run
+
+
+def _sampled_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in frames:
+        found = [np.unique(keys_of(elements)) for elements in map(shingles, rows["text"]) if len(elements)]
+        yield pd.DataFrame({"key": np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64)})
+
+
+def common_keys(rows: DataFrame, size: int) -> np.ndarray:
+    """Keys that a share of a bounded sample of documents has; they say where keys meet, not which."""
+    sample = rows.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    if size > SAMPLE_DOCS:
+        sample = sample.where(F.pmod(F.xxhash64("doc_id"), F.lit(size)) < SAMPLE_DOCS)
+    keys = sample.select("text").mapInPandas(_sampled_keys, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("docs"))
+    found = keys.where(F.col("docs") >= SAMPLE_DOCS * COMMON_SHARE).select("key").collect()
+    return np.sort(np.array([row["key"] for row in found], np.int64)).view(np.uint64)
 
 
 def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -269,58 +300,137 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return _sides(pairs, sets, ["elements"]).mapInPandas(_linked, "a long, b long, linked boolean")
 
 
-def _across(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a slot that share a key, have different roots and are not ruled out by size or sketch."""
-    rows = rows.sort_values(["key", "low_block", "high_block", "doc_id"])
-    group = rows[["key", "low_block", "high_block"]].to_numpy()
-    begins = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]).any(axis=1))))
-    ids, roots, sizes = (rows[name].to_numpy() for name in ("doc_id", "root", "n"))
-    marks = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1)
-    left, right = [], []
-    for begin, end in zip(begins, np.append(begins[1:], len(rows))):
-        for top in range(begin, end, TILE):
-            one, other = slice(top, min(top + TILE, end)), slice(top, end)
-            most = (sizes[one, None] + sizes[None, other]) // 9
-            close = (roots[one, None] != roots[None, other]) & (np.abs(sizes[one, None] - sizes[None, other]) <= most)
-            close &= ids[one, None] < ids[None, other]
-            x, y = np.nonzero(close)
-            distance = np.bitwise_count(marks[top + x] ^ marks[top + y]).sum(axis=1, dtype=np.int64)
-            near = distance <= most[x, y]
-            left.append(ids[top + x[near]])
-            right.append(ids[top + y[near]])
-    return pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)})
-
-
-def across_roots(opened: DataFrame) -> DataFrame:
-    """Pairs (a, b) of rows (key, size, doc_id, root, n, sketch) that share a key and may be linked across roots.
+def _across(quota: int, reach: int):
+    """Pairs of a slot that share a key, have different roots and are not ruled out by size or sketch.
+
+    Documents of a key stand by size; each is compared with at most ``reach`` after it, and gives at most ``quota`` pairs.
+    A row of nulls says that there were more.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["key", "low_block", "high_block", "n", "doc_id"])
+        group = rows[["key", "low_block", "high_block"]].to_numpy()
+        begins = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]).any(axis=1))))
+        ids, roots, sizes, own = (rows[name].to_numpy() for name in ("doc_id", "root", "n", "own"))
+        mixed = group[:, 1] != group[:, 2]
+        marks = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1)
+        left, right, more = [], [], False
+        for begin, end in zip(begins, np.append(begins[1:], len(rows))):
+            for top in range(begin, end, TILE):
+                last = min(top + TILE, end)
+                # larger sets than 1.25 times the largest of the tile differ too much
+                most_size = begin + np.searchsorted(sizes[begin:end], sizes[last - 1] * 5 // 4, "right")
+                stop = min(most_size, last + reach)
+                more |= stop < most_size
+                one, other = slice(top, last), slice(top, stop)
+                most = (sizes[one, None] + sizes[None, other]) // 9
+                close = (roots[one, None] != roots[None, other]) & (np.abs(sizes[one, None] - sizes[None, other]) <= most)
+                close &= np.arange(top, last)[:, None] < np.arange(top, stop)[None, :]
+                if mixed[begin]:  # pairs inside a block have met there
+                    close &= own[one, None] != own[None, other]
+                x, y = np.nonzero(close)
+                distance = np.bitwise_count(marks[top + x] ^ marks[top + y]).sum(axis=1, dtype=np.int64)
+                near = distance <= most[x, y]
+                x, y = x[near], y[near]
+                nth = np.arange(len(x)) - np.searchsorted(x, x)
+                more |= bool((nth >= quota).any())
+                x, y = x[nth < quota], y[nth < quota]
+                left.append(np.minimum(ids[top + x], ids[top + y]))
+                right.append(np.maximum(ids[top + x], ids[top + y]))
+        found = pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)}).drop_duplicates().astype("Int64")
+        return pd.concat([found, pd.DataFrame({"a": [pd.NA], "b": [pd.NA]}, dtype="Int64")]) if more else found
+
+    return run
+
+
+def across_roots(opened: DataFrame, quota: int, reach: int, every_block: bool) -> DataFrame:
+    """Pairs (a, b) of rows (key, size, doc_id, root, n, sketch) that share a key and may be linked across roots, some per
+    document, and rows of nulls where there are more.
 
     Only pairs that size and sketch leave open become rows. A key with more documents than a block is compared block by
-    block, so that no task holds a whole key of unbounded size.
+    block, so that no task holds a whole key of unbounded size; without ``every_block`` only inside blocks.
     """
     blocks = F.ceil(F.col("size") / BLOCK_DOCS).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    rows = opened.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = opened.withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), blocks - 1)) if every_block else F.col("own")
+    rows = rows.withColumn("other", other)
     rows = rows.withColumn("low_block", F.least("own", "other")).withColumn("high_block", F.greatest("own", "other"))
     slots = F.lit(max(BUCKETS, opened.count() // SLOT_ROWS))
     rows = rows.withColumn("slot", F.pmod(F.xxhash64("key", "low_block", "high_block"), slots))
-    columns = ["slot", "key", "low_block", "high_block", "doc_id", "root", "n", "sketch"]
-    return rows.select(*columns).groupBy("slot").applyInPandas(_across, "a long, b long")
+    columns = ["slot", "key", "low_block", "high_block", "own", "doc_id", "root", "n", "sketch"]
+    return rows.select(*columns).groupBy("slot").applyInPandas(_across(quota, reach), "a long, b long")
+
+
+def _reopened(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (key, doc_id, n, sketch) of the keys whose documents have several roots, with the root and the size of the key."""
+    rooted = rows.join(roots, rows["doc_id"] == roots["node"], "left").drop("node")
+    rooted = rooted.select(*rows.columns, F.coalesce("root", "doc_id").alias("root"))
+    keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"))
+    return rooted.join(keys.where("low <> high").select("key", "size"), "key")
+
+
+def _joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The roots (node, root) after links (a, b) have joined trees; roots are the smallest documents of their trees."""
+    ends = links
+    for side in ("a", "b"):
+        known = roots.select(F.col("node").alias("known"), F.col("root").alias("top"))
+        ends = ends.join(known, ends[side] == known["known"], "left").withColumn(side, F.coalesce("top", side)).drop("known", "top")
+    joined = saved(components(ends).select(F.col("node").alias("tree"), "component"), "parity-joined")
+    moved = roots.join(joined, roots["root"] == joined["tree"], "left").select("node", F.coalesce("component", "root").alias("root"))
+    return saved(moved.union(joined.where("tree <> component").select("tree", "component")), "parity-roots")
+
+
+def connected(shared: DataFrame, sets: DataFrame, roots: DataFrame, refused: DataFrame) -> DataFrame:
+    """The roots after all links between documents that share a key (key, doc_id) are found.
+
+    In rounds: each document of an open key takes a few candidates of other trees, these are verified, linked trees are
+    joined, and keys whose documents are then connected close. A group of linked documents costs its size in each of a
+    few rounds. Rounds take ever more candidates, so that refused pairs, which are remembered, end them too; they end when
+    no document has a candidate left that was not verified.
+    """
+    marks = sets.select("doc_id", "n", "sketch").hint("merge")
+    named = shared.select("key", "doc_id")
+    opened = saved(_reopened(named, roots).select("key", "doc_id").join(marks, "doc_id"), "parity-opened")
+    number, refused = 0, [refused]
+    while True:
+        opened = saved(_reopened(opened.select("key", "doc_id", "n", "sketch"), roots), "parity-open")
+        if not opened.limit(1).count():
+            return roots
+        quota, reach, every_block = 4**number, TILE if number == 0 else BLOCK_DOCS * 2, number > 1
+        tried = saved(across_roots(opened, quota, reach, every_block), "parity-tried")
+        pairs = tried.where("a IS NOT NULL").distinct()
+        for known in refused:
+            pairs = pairs.join(known, ["a", "b"], "left_anti")
+        answers = saved(verified(pairs, sets), "parity-answers")
+        links = answers.where("linked").select("a", "b")
+        found = links.limit(1).count()
+        if found:
+            roots = _joined_roots(roots, links)
+        more = tried.where("a IS NULL").limit(1).count() or (not every_block and opened.where(F.col("size") > BLOCK_DOCS).limit(1).count())
+        if not more:
+            return roots
+        refused.append(answers.where("NOT linked").select("a", "b"))
+        number += 1
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of the table: doc_id, n_shingles, component_id.
 
     The component is the smallest id reachable by links, the document's own included. A text without words has no
-    shingle and no link; a null text counts as such. Rows that share an id are one document with several texts. A row
+    shingle and no link; a null text counts as such. Texts are used whole, however long. Rows that share an id are one document with several texts. A row
     without an id is linked with nothing and has no component. An empty table gives an empty one. Other columns are not
     read.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    buckets = max(BUCKETS, rows.count() // BUCKET_DOCS)
-    met = rows.mapInPandas(_send(buckets), SENT).groupBy("bucket").applyInPandas(_meet, FOUND)
-    found = saved(met, "parity-found")
+    size = rows.count()
+    buckets = max(BUCKETS, size // BUCKET_DOCS)
+    sent = rows.mapInPandas(_send(buckets, common_keys(rows, size)), SENT)
+    found = saved(sent.groupBy("bucket").applyInPandas(_meet(buckets), FOUND), "parity-found")
     members = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("same_as"))
     shared = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("doc_id"), F.col("c").alias("lead"))
+    common = found.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("doc_id"))
+    leads = common.groupBy("key").agg(F.min("doc_id").alias("lead"))
+    shared = shared.union(common.join(leads, "key").distinct())
 
     # the document that leads most of a document's keys
     led = shared.where("doc_id <> lead").groupBy("doc_id", "lead").agg(F.count(F.lit(1)).alias("keys"))
@@ -329,25 +439,16 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     needed = saved(shared.select("doc_id").distinct(), "parity-needed")
     texts = rows.join(needed.hint("merge"), "doc_id", "left_semi").mapInPandas(_sets, "doc_id long, n long, sketch binary, elements binary")
     sets = saved(texts, "parity-sets")
-    checked = saved(verified(near_pairs(first, sets), sets), "parity-checked").where("linked")
+    checked = saved(verified(near_pairs(first, sets), sets), "parity-checked")
 
-    # a lead is smaller than those it leads: a forest
-    trees = checked.select(F.col("b").alias("node"), F.col("a").alias("parent"))
+    # a lead is smaller than those it leads: a forest whose roots are the smallest of their trees
+    trees = checked.where("linked").select(F.col("b").alias("node"), F.col("a").alias("parent"))
     twins = members.where("same_as IS NOT NULL").select(F.col("doc_id").alias("node"), F.col("same_as").alias("parent"))
     roots = saved(followed(trees), "parity-roots")
+    roots = connected(shared, sets, roots, checked.where("NOT linked").select("a", "b"))
 
-    # keys whose documents are not yet connected: their other pairs
-    rooted = shared.join(roots, shared["doc_id"] == roots["node"], "left")
-    rooted = rooted.select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"))
-    open_keys = open_keys.where("low <> high").select("key", "size")
-    marks = sets.select("doc_id", "n", "sketch").hint("merge")
-    opened = saved(rooted.join(open_keys, "key").join(marks, "doc_id"), "parity-open")
-    pairs = across_roots(opened).distinct().join(first, ["a", "b"], "left_anti")
-    late = saved(verified(pairs, sets), "parity-late").where("linked")
-
-    known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    links = known.union(late.select("a", "b")).union(twins.select(F.col("node").alias("a"), F.col("parent").alias("b")))
+    links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    links = links.union(twins.select(F.col("node").alias("a"), F.col("parent").alias("b")))
     joined = components(links)
     out = members.join(joined, members["doc_id"] == joined["node"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
