@@ -68,9 +68,10 @@ def splits_at_spaces(description: dict) -> bool:
 class Parts(dict):
     """What a function makes of each part met so far. When it is full, what was used last moves on to the next generation."""
 
-    def __init__(self, make: Callable[[str], bytes]):
+    def __init__(self, make: Callable[[str], bytes], kept: int):
         super().__init__()
         self.make = make
+        self.kept = kept
         self.before: dict[str, bytes] = {}
 
     def __missing__(self, part: str) -> bytes:
@@ -78,7 +79,7 @@ class Parts(dict):
         if found is None:
             found = self.make(part)
         if len(part) <= LONGEST_KEPT:
-            if len(self) >= KEPT_PARTS:
+            if len(self) >= self.kept:
                 self.before = dict(self)
                 self.clear()
             self[part] = found
@@ -88,7 +89,7 @@ class Parts(dict):
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT_PARTS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -105,7 +106,8 @@ class Encoder:
         self.bytes_of = [packed([number]) for number in range(self.library.get_vocab_size(with_added_tokens=True))]
         self.stops = {stop: self._token(stop) for stop in STOPS}
         self.line_end = self._token(self.shown[ord("\n")])
-        self.known = Parts(lambda part: self._part(part, True))
+        # no part of a text starts with a line end: with one, those that stand after a line end are kept
+        self.known = Parts(lambda part: self._part(part[1:], False) if part[:1] == "\n" else self._part(part, True), kept)
 
     def _encode(self, texts: Sequence[str]) -> list[bytes]:
         return [packed(one.ids) for one in self.library.encode_batch(list(texts), add_special_tokens=False)]
@@ -121,14 +123,15 @@ class Encoder:
 
     def _part(self, part: str, spaced: bool) -> bytes:
         """Ids of a part, with the space it starts with or without; letters are a single token to the pre-tokenizer, as is a
-        line end between two characters that are no white space."""
+        line end between two characters that are no white space. What stands before a stop or a line end, or after a line
+        end, is a part of its own."""
         if part.isalpha():
             return self._letters(part, spaced)
         if part[:-1].isalpha() and part[-1] in STOPS:
-            return self._letters(part[:-1], spaced) + self.stops[part[-1]]
+            return self.known[part[:-1] if spaced else "\n" + part[:-1]] + self.stops[part[-1]]
         left, line_end, right = part.partition("\n")
         if left and right and "\n" not in right and not left[-1].isspace() and not right[0].isspace():
-            return self._part(left, spaced) + self.line_end + self._part(right, False)
+            return self.known[left if spaced else "\n" + left] + self.line_end + self.known["\n" + right]
         cut = self.library.pre_tokenizer.pre_tokenize_str(" " + part if spaced else part)
         return b"".join([self._token(shown) for shown, _ in cut])
 
@@ -146,8 +149,8 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, kept: int = KEPT_PARTS) -> Encoder:
     """The encoder of a file, made once per worker."""
-    if ("ids", path) not in _encoders:
-        _encoders["ids", path] = Encoder(path)
-    return _encoders["ids", path]
+    if ("ids", path, kept) not in _encoders:
+        _encoders["ids", path, kept] = Encoder(path, kept)
+    return _encoders["ids", path, kept]

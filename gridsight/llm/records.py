@@ -42,7 +42,7 @@ from .encoding import encoder
 MASK = 0xA282EAD8
 INDEX = "doc_id bigint, file string, shard int, place bigint, offset bigint, bytes bigint, width int, ids_before bigint, n_tokens bigint"
 #: Texts encoded together, in characters; bounds a worker's memory whatever the length of a batch.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 500_000
 #: Records handed on together when read.
 READ_TOGETHER = 256
 

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from gridsight.llm import components, labelled, mixing, naming, packing, parity_join, quality, token_counts, tool_calls, toxicity, weak_rules
 from gridsight.llm.common import ready, table
-from gridsight.llm.encoding import Encoder, parts_of
+from gridsight.llm.encoding import Encoder, packed, parts_of
 from gridsight.llm.queries import vocabulary
 
 FOLDER = "/root/testdata/sf0.001"
@@ -200,6 +200,24 @@ def test_linked_sets_share_a_key():
             assert flipped <= len(base) + len(other) - 2 * common
 
 
+def test_new_parts_are_put_together_from_known_ones(monkeypatch):
+    encoder = Encoder(vocabulary())
+    encoder.batch(["x thinonwhly Reäheble thinonwhly.\nReäheble"])
+    asked, tokenize = [], encoder.tokenize
+    monkeypatch.setattr(encoder, "tokenize", lambda part: asked.append(part) or tokenize(part))
+    texts = ["x thinonwhly.", "x thinonwhly,\nReäheble! thinonwhly|\nReäheble", "x Reäheble.\nReäheble;"]
+    assert encoder.batch(texts) == [packed(one.ids) for one in encoder.library.encode_batch(texts, add_special_tokens=False)]
+    assert not asked
+
+
+def test_known_parts_are_bounded():
+    encoder = Encoder(vocabulary(), 500)
+    for start in range(0, 4000, 100):
+        texts = [" ".join(f"w{n}o.\nA{n} the b{n}, W{'e' * (n % 90)}" for n in range(start, start + 100))]
+        assert encoder.batch(texts) == [packed(one.ids) for one in encoder.library.encode_batch(texts, add_special_tokens=False)]
+        assert len(encoder.known) <= 500 and len(encoder.known.before) <= 500
+
+
 def test_near_duplicates_by_brute_force(spark):
     docs = table(spark, FOLDER, "documents")
     sets = {}
