@@ -14,6 +14,10 @@ from gridsight.llm.queries import vocabulary
 from gridsight.storage import folders, remove
 
 
+#: Parts of text a worker remembers while it packs, fewer than where packing runs alone: executors still hold what the stages before took.
+PACKING_PARTS = 100_000
+
+
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not toxic, by a model fitted on the labels."""
     ready(spark)
@@ -41,7 +45,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 1024 tokens."""
     ready(spark)
-    return packing.pack(docs, vocabulary())
+    return packing.pack(docs, vocabulary(), kept_parts=PACKING_PARTS)
 
 
 STAGES = [

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import saved
-from .encoding import encoder, packed
+from .encoding import KEPT_PARTS, encoder, packed
 from .records import BATCH_CHARS, batches_of
 
 #: Buckets at least, and documents a bucket about holds when there are more.
@@ -103,7 +103,7 @@ def plan_rows(plan: list[tuple[dict[int, int], int]]) -> tuple[list[tuple], int]
     return rows, sequences
 
 
-def _cut(vocabulary: str, end_id: int, capacity: int):
+def _cut(vocabulary: str, end_id: int, capacity: int, kept: int):
     end, width = packed([end_id]), 4 * capacity
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,7 +111,7 @@ def _cut(vocabulary: str, end_id: int, capacity: int):
             texts, doc_ids = rows["text"].tolist(), rows["doc_id"].astype("Int64")
             for start, stop in batches_of(texts, BATCH_CHARS):
                 out = []
-                for ids in encoder(vocabulary).batch(texts[start:stop]):
+                for ids in encoder(vocabulary, kept).batch(texts[start:stop]):
                     ids += end
                     full = len(ids) // width
                     crcs = [zlib.crc32(ids[place * width : (place + 1) * width]) for place in range(full)]
@@ -124,24 +124,26 @@ def _cut(vocabulary: str, end_id: int, capacity: int):
 
 
 def cut_documents(
-    docs: DataFrame, vocabulary: str, capacity: int, end_id: int, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame, vocabulary: str, capacity: int, end_id: int, id_column: str = "doc_id", text_column: str = "text", kept_parts: int = KEPT_PARTS
 ) -> DataFrame:
     """Per document: its tokens with the end id, a checksum of each full piece, and the length and checksum of its tail."""
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     schema = "doc_id bigint, doc_tokens bigint, crcs array<bigint>, tail int, tail_crc bigint"
-    return rows.mapInPandas(_cut(vocabulary, end_id, capacity), schema)
+    return rows.mapInPandas(_cut(vocabulary, end_id, capacity, kept_parts), schema)
 
 
 def pack(
-    docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text",
+    kept_parts: int = KEPT_PARTS,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every row of the table is packed, repeated rows each on their own. A null or empty text is its end id alone. A null
-    id stays null. A text of any length is cut whole. An empty table gives no piece. Other columns are not read.
+    id stays null. A text of any length is cut whole. An empty table gives no piece. Other columns are not read. A worker
+    remembers ``kept_parts`` parts in each of two generations, which decides on its memory and time alone.
     """
     spark = docs.sparkSession
-    cut = saved(cut_documents(docs, vocabulary, capacity, end_id, id_column, text_column), "packing-cut")
+    cut = saved(cut_documents(docs, vocabulary, capacity, end_id, id_column, text_column, kept_parts), "packing-cut")
     buckets = max(BUCKETS, cut.count() // BUCKET_ROWS)
     cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tail_crc", "doc_tokens"), F.lit(buckets)))
     # at most one row per length below the window

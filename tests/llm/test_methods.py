@@ -218,6 +218,17 @@ def test_known_parts_are_bounded():
         assert len(encoder.known) <= 500 and len(encoder.known.before) <= 500
 
 
+def test_the_pipeline_packs_with_fewer_known_parts(spark, monkeypatch):
+    import corpus_pipeline
+
+    kept, cut = [], packing.cut_documents
+    monkeypatch.setattr(packing, "cut_documents", lambda *given: kept.append(given[-1]) or cut(*given))
+    docs = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id bigint, text string")
+    rows = corpus_pipeline.packed(spark, docs, "")
+    assert sorted(tuple(row) for row in rows.collect()) == sorted(tuple(row) for row in packing.pack(docs, vocabulary()).collect())
+    assert kept[0] * 3 < kept[1]
+
+
 def test_near_duplicates_by_brute_force(spark):
     docs = table(spark, FOLDER, "documents")
     sets = {}
