@@ -12,12 +12,13 @@ rarely makes alike and which empty bands never lead. K follows from the size cla
 by 1.25, so a document takes part in its own class and in the one below.
 
 Join. Keys of a batch of documents travel as packed arrays, one row per bucket of keys. A bucket finds the keys that
-several documents share. First each document is compared with the one that leads most of its keys; what is linked forms
-trees. Only keys whose documents are then still in different trees are opened, in rounds: each document takes a few
-candidates of other trees that size and sketch do not rule out, these are verified on whole sets, and linked trees are
-joined, which closes most keys. No pair that shares a key is left unless its documents are already connected or it was
-refused. Documents with the same set in a task send keys once. Keys that very many documents have, as far as a bounded
-sample shows, are dealt by document instead of by key, and their leads found by a combining minimum.
+several documents share; the smallest document of a key leads it. All documents of the keys that one document leads are a
+team, so that two documents meet once per leader they have in common, not once per key. A team is compared in place: first
+by sizes and sketches, which leaves the documents that may be linked with any other; then these on whole sets, where a pair
+that links already connect is passed over. What comes out of a team are documents, then links that make a forest, so that
+rows grow with a team and not with its pairs. Each pair that shares a key is connected or was refused. Documents with the
+same set in a task send keys once. Keys that very many documents have, as far as a bounded sample shows, are dealt by
+document instead of by key, and their leads found by a combining minimum.
 """
 
 from __future__ import annotations
@@ -27,11 +28,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
-from .components import components, followed
+from .components import components
 
 SHINGLE = 5
 #: Buckets of keys at least, and documents per bucket when there are more.
@@ -43,9 +44,15 @@ SAMPLE_DOCS, SAMPLE_CHARS, COMMON_SHARE = 2000, 20_000, 0.01
 FLUSH_KEYS = 500_000
 #: Distinct sets a worker remembers to spot repeats.
 REMEMBERED = 200_000
-SKETCH_BITS = 512
-#: Documents of a key compared together, rows a slot of keys about holds, and rows compared with the others at a time.
-BLOCK_DOCS, SLOT_ROWS, TILE = 2048, 50_000, 64
+#: Positions of a sketch per element at least, and of any sketch.
+SKETCH_ROOM, LEAST_BITS = 2, 64
+#: Elements of a team's documents that are compared together, those that a document counts as more, and documents of teams
+#: that a slot holds, about.
+BLOCK_ELEMENTS, DOC_ELEMENTS, SLOT_DOCS = 2_000_000, 500, 2000
+#: Pairs that are compared in the time a row takes.
+ROW_PAIRS = 200
+#: Bits of the filter that says whose sets are needed.
+FILTER_BITS = 1 << 24
 KEY_BYTES, SET_BYTES = 5, 6
 
 _U = np.uint64
@@ -123,13 +130,27 @@ def keys_of(elements: np.ndarray) -> np.ndarray:
 
 
 def sketch(elements: np.ndarray) -> bytes:
-    """Parity of the elements over a fixed number of positions."""
-    counts = np.bincount((elements % _U(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS)
-    return np.packbits(counts & 1).tobytes()
+    """Parity of the elements over positions, a power of two of them that follows the size of the set.
+
+    Positions come from the part of a hash that whole sets are compared by.
+    """
+    bits = max(LEAST_BITS, 1 << (SKETCH_ROOM * len(elements) - 1).bit_length())
+    places = (elements >> _U(64 - 8 * SET_BYTES)) & _U(bits - 1)
+    return np.packbits(np.bincount(places.astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def folded(marks: np.ndarray, size: int) -> np.ndarray:
+    """Sketches (rows of bytes) as they are over fewer positions."""
+    while marks.shape[1] > size:
+        half = marks.shape[1] // 2
+        marks = marks[:, :half] ^ marks[:, half:]
+    return marks
 
 
 def sketch_distance(one: bytes, other: bytes) -> int:
-    return (int.from_bytes(one) ^ int.from_bytes(other)).bit_count()
+    size = min(len(one), len(other))
+    one, other = (folded(np.frombuffer(mark, np.uint8)[None], size) for mark in (one, other))
+    return int(np.bitwise_count(one ^ other).sum())
 
 
 def _packed(doc_ids: np.ndarray, keys: np.ndarray) -> bytes:
@@ -145,10 +166,10 @@ def _unpacked(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(planes.T).view("<i8").ravel(), keys.view("<u8").ravel()
 
 
-SENT = "bucket long, doc_id long, n long, same_as long, payload binary"
-#: kind 0: a document, its set's size and the document of the same set that sent keys for it; kind 1: a key, a document
-#: that has it and the smallest one that has it; kind 2: a common key and a document that has it.
-FOUND = "kind int, a long, b long, c long"
+SENT = "bucket long, doc_id long, n long, same_as long, sketch binary, payload binary"
+#: kind 0: a document, its set's size, the document of the same set that sent keys for it and otherwise the sketch; kind 1: a
+#: key, a document that has it, the smallest one that has it and how many have it; kind 2: a common key and a document that has it.
+FOUND = "kind int, a long, b long, c long, d long, sketch binary"
 
 
 def _send(buckets: int, common: np.ndarray):
@@ -163,7 +184,7 @@ def _send(buckets: int, common: np.ndarray):
         ends = np.append(begins[1:], len(place))
         payloads = [_packed(doc_ids[begin:end], all_keys[begin:end]) for begin, end in zip(begins, ends)]
         nothing = pd.array([None] * len(payloads), "Int64")
-        return pd.DataFrame({"bucket": place[begins], "doc_id": nothing, "n": nothing, "same_as": nothing, "payload": payloads})
+        return pd.DataFrame({"bucket": place[begins], "doc_id": nothing, "n": nothing, "same_as": nothing, "sketch": None, "payload": payloads})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[bytes, int] = {}
@@ -177,13 +198,14 @@ def _send(buckets: int, common: np.ndarray):
                 named = doc_id is not pd.NA
                 bucket = xxhash.xxh3_64_intdigest(str(doc_id)) % buckets
                 if not named or not len(elements):
-                    out.append((bucket, doc_id, len(elements), pd.NA, None))
+                    out.append((bucket, doc_id, len(elements), pd.NA, None, None))
                     continue
                 doc_id, mark = int(doc_id), xxhash.xxh3_128_digest(elements.tobytes())
                 same_as = seen.get(mark)
-                out.append((bucket, doc_id, len(elements), pd.NA if same_as in (None, doc_id) else same_as, None))
                 if same_as is not None:
+                    out.append((bucket, doc_id, len(elements), pd.NA if same_as == doc_id else same_as, None, None))
                     continue
+                out.append((bucket, doc_id, len(elements), pd.NA, sketch(elements), None))
                 if len(seen) >= REMEMBERED:
                     seen.clear()
                 seen[mark] = doc_id
@@ -194,7 +216,7 @@ def _send(buckets: int, common: np.ndarray):
                 if held >= FLUSH_KEYS:
                     yield flushed(ids, keys)
                     ids, keys, held = [], [], 0
-            made = pd.DataFrame(out, columns=["bucket", "doc_id", "n", "same_as", "payload"])
+            made = pd.DataFrame(out, columns=["bucket", "doc_id", "n", "same_as", "sketch", "payload"])
             yield made.astype({"doc_id": "Int64", "same_as": "Int64"})
         if held:
             yield flushed(ids, keys)
@@ -206,13 +228,13 @@ def _meet(buckets: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         documents = rows["payload"].isna()
         bucket = int(rows["bucket"].iloc[0])
-        out = [rows.loc[documents, ["doc_id", "n", "same_as"]].set_axis(["a", "b", "c"], axis=1).assign(kind=0)]
+        out = [rows.loc[documents, ["doc_id", "n", "same_as", "sketch"]].set_axis(["a", "b", "c", "sketch"], axis=1).assign(kind=0, d=pd.NA)]
         parts = [_unpacked(payload) for payload in rows.loc[~documents, "payload"]]
         if parts and bucket >= buckets:
             # the low bytes of a key are zero: all ones there tell common keys from others
             number = np.concatenate([keys for _, keys in parts]).view(np.int64) ^ ((1 << (64 - 8 * KEY_BYTES)) - 1)
             doc_ids = np.concatenate([ids for ids, _ in parts])
-            out.append(pd.DataFrame({"a": number, "b": doc_ids, "c": pd.array([pd.NA] * len(number), "Int64"), "kind": 2}))
+            out.append(pd.DataFrame({"a": number, "b": doc_ids, "c": pd.NA, "d": pd.NA, "sketch": None, "kind": 2}))
         elif parts:
             doc_ids, keys = (np.concatenate(side) for side in zip(*parts))
             order = np.lexsort((doc_ids, keys))
@@ -221,12 +243,13 @@ def _meet(buckets: int):
             doc_ids, keys = doc_ids[fresh], keys[fresh]
             begins = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
             sizes = np.diff(np.append(begins, len(keys)))
-            leads = np.repeat(doc_ids[begins], sizes)
-            several = np.repeat(sizes, sizes) > 1
+            leads, sizes = np.repeat(doc_ids[begins], sizes), np.repeat(sizes, sizes)
+            several = sizes > 1
             number = keys[several].view(np.int64) ^ bucket
-            out.append(pd.DataFrame({"a": number, "b": doc_ids[several], "c": leads[several], "kind": 1}))
-        made = pd.concat([one.astype({"a": "Int64", "b": "Int64", "c": "Int64"}) for one in out])
-        return made[["kind", "a", "b", "c"]]
+            shared = {"a": number, "b": doc_ids[several], "c": leads[several], "d": sizes[several]}
+            out.append(pd.DataFrame(shared | {"sketch": None, "kind": 1}))
+        made = pd.concat([one.astype(dict.fromkeys("abcd", "Int64") | {"sketch": object}) for one in out])
+        return made[["kind", "a", "b", "c", "d", "sketch"]]
 
     return run
 
@@ -247,170 +270,155 @@ def common_keys(rows: DataFrame, size: int) -> np.ndarray:
     return np.sort(np.array([row["key"] for row in found], np.int64)).view(np.uint64)
 
 
-def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in frames:
-        found = [shingles(text) for text in rows["text"]]
-        packed = [one.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - SET_BYTES :].tobytes() for one in found]
-        yield pd.DataFrame({
-            "doc_id": rows["doc_id"], "n": [len(one) for one in found],
-            "sketch": [sketch(one) for one in found], "elements": packed,
-        })
+def teams(shared: DataFrame) -> DataFrame:
+    """Rows (team, doc_id) of rows (key, doc_id, lead, size): documents that share a key have a team in common.
 
-
-def _elements(packed: bytes) -> np.ndarray:
-    size = len(packed) // SET_BYTES
-    wide = np.zeros((size, 8), np.uint8)
-    wide[:, 8 - SET_BYTES :] = np.frombuffer(packed, np.uint8).reshape(size, SET_BYTES)
-    return wide.view("<u8").ravel()
-
-
-def _near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs whose sketches do not rule a link out."""
-    for rows in frames:
-        keep = [
-            sketch_distance(one, other) <= most_different(n, m)
-            for one, other, n, m in zip(rows["sketch_a"], rows["sketch_b"], rows["n_a"], rows["n_b"])
-        ]
-        yield rows.loc[keep, ["a", "b"]]
-
-
-def _linked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs with whether whole sets are similar enough."""
-    for rows in frames:
-        answers = []
-        for one, other in zip(rows["elements_a"], rows["elements_b"]):
-            left, right = _elements(one), _elements(other)
-            common = len(left) + len(right) - len(np.union1d(left, right))
-            answers.append(100 * common >= 80 * (len(left) + len(right) - common))
-        yield rows[["a", "b"]].assign(linked=answers)
+    A team is what a document leads, or one of its keys where these have so few documents in common that fewer pairs
+    are worth more rows. Teams whose hashes are equal are one.
+    """
+    led = shared.groupBy("lead", "doc_id").agg(F.count(F.lit(1)).alias("keys"), F.sum("size").alias("pairs"))
+    led = saved(led, "parity-led")
+    leads = led.groupBy("lead").agg(F.count(F.lit(1)).cast("double").alias("docs"), F.sum("keys").alias("keys"), F.sum("pairs").alias("pairs"))
+    wide = leads.where(F.col("docs") * F.col("docs") + ROW_PAIRS * F.col("docs") > F.col("pairs") + ROW_PAIRS * F.col("keys")).select("lead")
+    whole = led.join(wide, "lead", "left_anti").select(F.xxhash64("lead").alias("team"), "doc_id")
+    apart = shared.join(wide, "lead", "left_semi").select(F.xxhash64("lead", "key").alias("team"), "doc_id")
+    return saved(whole.union(apart.distinct()), "parity-teams")
 
 
-def _sides(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
-    for side in ("a", "b"):
-        own = sets.select(F.col("doc_id").alias(side), *[F.col(name).alias(f"{name}_{side}") for name in columns])
-        pairs = pairs.join(own.hint("merge"), side)
-    return pairs
+def _dealt(members: DataFrame, documents: DataFrame) -> DataFrame:
+    """Rows (slot, team, low, high, own, doc_id, n, payload) of members (team, doc_id) and documents (doc_id, n, payload).
 
+    A team with more elements than a block is compared block by block, so that no task holds a whole team of unbounded size.
+    """
+    sizes = members.join(documents.select("doc_id", "n"), "doc_id")
+    sizes = sizes.groupBy("team").agg(F.sum(F.col("n") + DOC_ELEMENTS).alias("elements"))
+    large = sizes.where(F.col("elements") > BLOCK_ELEMENTS).select("team", F.ceil(F.col("elements") / BLOCK_ELEMENTS).cast("int").alias("blocks"))
+    rows = members.join(large, "team", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+    slots = F.lit(max(BUCKETS, members.count() // SLOT_DOCS))
+    rows = rows.withColumn("slot", F.pmod(F.xxhash64("team", "low", "high"), slots)).join(documents, "doc_id")
+    # as many tasks as a shuffle has: few bytes may be much work
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select("slot", "team", "low", "high", "own", "doc_id", "n", "payload").repartition(tasks, "slot")
+
+
+def _blocks(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Parts of a slot that are compared, each by size."""
+    rows = rows.sort_values(["team", "low", "high", "n", "doc_id"], ignore_index=True)
+    group = rows[["team", "low", "high"]].to_numpy()
+    begins = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]).any(axis=1))))
+    for begin, end in zip(begins, np.append(begins[1:], len(rows))):
+        if end - begin > 1:
+            yield rows.iloc[begin:end]
+
+
+def _open(block: pd.DataFrame, marks: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Places of a block, the places after each that sizes and sketches leave open, and the distances of the sketches."""
+    ids, sizes, own = (block[name].to_numpy() for name in ("doc_id", "n", "own"))
+    mixed = block["low"].iloc[0] != block["high"].iloc[0]
+    stops = np.searchsorted(sizes, sizes * 5 // 4, "right")  # larger sets than 1.25 times differ too much
+    widths = np.fromiter(map(len, marks), np.int64, len(marks))
+    for width in np.unique(widths):
+        # sketches grow with the sets, those of the sets up to 1.25 times are twice as wide at most
+        begin, last, end = (np.searchsorted(widths, value, side) for value, side in ((width, "left"), (width, "right"), (2 * width, "right")))
+        same, wider = (np.frombuffer(b"".join(part), np.uint8) for part in (marks[begin:last], marks[last:end]))
+        table = np.concatenate((same.reshape(-1, width), folded(wider.reshape(-1, 2 * width), width))).view(np.uint64)
+        for place in range(begin, last):
+            after = slice(place + 1, stops[place])
+            if after.start >= after.stop:
+                continue
+            distances = np.bitwise_count(table[place - begin] ^ table[place + 1 - begin : after.stop - begin]).sum(axis=1, dtype=np.int64)
+            near = (distances <= (sizes[place] + sizes[after]) // 9) & (ids[after] != ids[place])
+            if mixed:  # pairs inside a block have met there
+                near &= own[after] != own[place]
+            if near.any():
+                found = np.flatnonzero(near)
+                yield place, place + 1 + found, distances[found]
+
+
+def _kept(rows: pd.DataFrame) -> pd.DataFrame:
+    """Documents of a slot's teams that sizes and sketches leave open with another one."""
+    out = [rows.iloc[:0]]
+    for block in _blocks(rows):
+        kept = np.zeros(len(block), bool)
+        for place, others, _ in _open(block, block["payload"].tolist()):
+            kept[place] = kept[others] = True
+        out.append(block[kept])
+    return pd.concat(out)[["team", "doc_id"]].drop_duplicates()
+
+
+def candidates(members: DataFrame, marks: DataFrame) -> DataFrame:
+    """The members (team, doc_id) that may be linked with others of their team, by sketches (doc_id, n, payload)."""
+    return _dealt(members, marks).groupBy("slot").applyInPandas(_kept, "team long, doc_id long").distinct()
+
+
+def filter_of(ids: DataFrame) -> np.ndarray:
+    """Bytes of a filter of documents (doc_id); its size is bounded, so that it may hold others too."""
+    place = _place("doc_id")
+    found = ids.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    parts = np.zeros((FILTER_BITS >> 15, 1 << 12), np.uint8)
+    for row in found.collect():
+        parts[row["part"] - 1] = np.frombuffer(row["bits"], np.uint8)
+    return parts.ravel()
+
+
+def _place(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)) + 1
+
+
+def _sets(held: np.ndarray):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in frames:
+            place = rows["place"].to_numpy() - 1
+            rows = rows[(held[place >> 3] >> (place & 7) & 1).astype(bool)]
+            found = [shingles(text) for text in rows["text"]]
+            packed = [one.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - SET_BYTES :].tobytes() for one in found]
+            yield pd.DataFrame({"doc_id": rows["doc_id"], "n": [len(one) for one in found], "payload": packed})
 
-def near_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    return _sides(pairs, sets, ["n", "sketch"]).mapInPandas(_near, "a long, b long")
+    return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    return _sides(pairs, sets, ["elements"]).mapInPandas(_linked, "a long, b long, linked boolean")
+def sets_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The sets (doc_id, n, payload) of the texts of some documents, and of few others."""
+    named = rows.where("doc_id IS NOT NULL").withColumn("place", _place("doc_id"))
+    return named.mapInPandas(_sets(filter_of(ids)), "doc_id long, n long, payload binary")
 
 
-def _across(quota: int, reach: int):
-    """Pairs of a slot that share a key, have different roots and are not ruled out by size or sketch.
+def _elements(packed: bytes) -> np.ndarray:
+    size = len(packed) // SET_BYTES
+    wide = np.zeros((size, 8), np.uint8)
+    wide[:, 8 - SET_BYTES :] = np.frombuffer(packed, np.uint8).reshape(size, SET_BYTES)
+    return wide.view("<u8").ravel()
 
-    Documents of a key stand by size; each is compared with at most ``reach`` after it, and gives at most ``quota`` pairs.
-    A row of nulls says that there were more.
-    """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["key", "low_block", "high_block", "n", "doc_id"])
-        group = rows[["key", "low_block", "high_block"]].to_numpy()
-        begins = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]).any(axis=1))))
-        ids, roots, sizes, own = (rows[name].to_numpy() for name in ("doc_id", "root", "n", "own"))
-        mixed = group[:, 1] != group[:, 2]
-        marks = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1)
-        left, right, more = [], [], False
-        for begin, end in zip(begins, np.append(begins[1:], len(rows))):
-            for top in range(begin, end, TILE):
-                last = min(top + TILE, end)
-                # larger sets than 1.25 times the largest of the tile differ too much
-                most_size = begin + np.searchsorted(sizes[begin:end], sizes[last - 1] * 5 // 4, "right")
-                stop = min(most_size, last + reach)
-                more |= stop < most_size
-                one, other = slice(top, last), slice(top, stop)
-                most = (sizes[one, None] + sizes[None, other]) // 9
-                close = (roots[one, None] != roots[None, other]) & (np.abs(sizes[one, None] - sizes[None, other]) <= most)
-                close &= np.arange(top, last)[:, None] < np.arange(top, stop)[None, :]
-                if mixed[begin]:  # pairs inside a block have met there
-                    close &= own[one, None] != own[None, other]
-                x, y = np.nonzero(close)
-                distance = np.bitwise_count(marks[top + x] ^ marks[top + y]).sum(axis=1, dtype=np.int64)
-                near = distance <= most[x, y]
-                x, y = x[near], y[near]
-                nth = np.arange(len(x)) - np.searchsorted(x, x)
-                more |= bool((nth >= quota).any())
-                x, y = x[nth < quota], y[nth < quota]
-                left.append(np.minimum(ids[top + x], ids[top + y]))
-                right.append(np.maximum(ids[top + x], ids[top + y]))
-        found = pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)}).drop_duplicates().astype("Int64")
-        return pd.concat([found, pd.DataFrame({"a": [pd.NA], "b": [pd.NA]}, dtype="Int64")]) if more else found
+def linked(left: np.ndarray, right: np.ndarray) -> bool:
+    """Whether whole sets are similar enough."""
+    common = len(left) + len(right) - len(np.union1d(left, right))
+    return 100 * common >= 80 * (len(left) + len(right) - common)
 
-    return run
 
+def _links(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links of a slot that connect what is linked inside a block, nearest sketches first."""
+    found: list[tuple[int, int]] = []
+    for block in _blocks(rows):
+        ids = block["doc_id"].to_numpy()
+        sets = [_elements(packed) for packed in block["payload"]]
+        roots = np.unique(ids, return_inverse=True)[1]
+        for place, others, distances in _open(block, [sketch(one) for one in sets]):
+            others = others[np.argsort(distances, kind="stable")]
+            while len(others := others[roots[others] != roots[place]]):
+                other, others = others[0], others[1:]
+                if linked(sets[place], sets[other]):
+                    found.append((min(ids[place], ids[other]), max(ids[place], ids[other])))
+                    roots[roots == roots[other]] = roots[place]
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-def across_roots(opened: DataFrame, quota: int, reach: int, every_block: bool) -> DataFrame:
-    """Pairs (a, b) of rows (key, size, doc_id, root, n, sketch) that share a key and may be linked across roots, some per
-    document, and rows of nulls where there are more.
 
-    Only pairs that size and sketch leave open become rows. A key with more documents than a block is compared block by
-    block, so that no task holds a whole key of unbounded size; without ``every_block`` only inside blocks.
-    """
-    blocks = F.ceil(F.col("size") / BLOCK_DOCS).cast("int")
-    rows = opened.withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), blocks - 1)) if every_block else F.col("own")
-    rows = rows.withColumn("other", other)
-    rows = rows.withColumn("low_block", F.least("own", "other")).withColumn("high_block", F.greatest("own", "other"))
-    slots = F.lit(max(BUCKETS, opened.count() // SLOT_ROWS))
-    rows = rows.withColumn("slot", F.pmod(F.xxhash64("key", "low_block", "high_block"), slots))
-    columns = ["slot", "key", "low_block", "high_block", "own", "doc_id", "root", "n", "sketch"]
-    return rows.select(*columns).groupBy("slot").applyInPandas(_across(quota, reach), "a long, b long")
-
-
-def _reopened(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows (key, doc_id, n, sketch) of the keys whose documents have several roots, with the root and the size of the key."""
-    rooted = rows.join(roots, rows["doc_id"] == roots["node"], "left").drop("node")
-    rooted = rooted.select(*rows.columns, F.coalesce("root", "doc_id").alias("root"))
-    keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"))
-    return rooted.join(keys.where("low <> high").select("key", "size"), "key")
-
-
-def _joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """The roots (node, root) after links (a, b) have joined trees; roots are the smallest documents of their trees."""
-    ends = links
-    for side in ("a", "b"):
-        known = roots.select(F.col("node").alias("known"), F.col("root").alias("top"))
-        ends = ends.join(known, ends[side] == known["known"], "left").withColumn(side, F.coalesce("top", side)).drop("known", "top")
-    joined = saved(components(ends).select(F.col("node").alias("tree"), "component"), "parity-joined")
-    moved = roots.join(joined, roots["root"] == joined["tree"], "left").select("node", F.coalesce("component", "root").alias("root"))
-    return saved(moved.union(joined.where("tree <> component").select("tree", "component")), "parity-roots")
-
-
-def connected(shared: DataFrame, sets: DataFrame, roots: DataFrame, refused: DataFrame) -> DataFrame:
-    """The roots after all links between documents that share a key (key, doc_id) are found.
-
-    In rounds: each document of an open key takes a few candidates of other trees, these are verified, linked trees are
-    joined, and keys whose documents are then connected close. A group of linked documents costs its size in each of a
-    few rounds. Rounds take ever more candidates, so that refused pairs, which are remembered, end them too; they end when
-    no document has a candidate left that was not verified.
-    """
-    marks = sets.select("doc_id", "n", "sketch").hint("merge")
-    named = shared.select("key", "doc_id")
-    opened = saved(_reopened(named, roots).select("key", "doc_id").join(marks, "doc_id"), "parity-opened")
-    number, refused = 0, [refused]
-    while True:
-        opened = saved(_reopened(opened.select("key", "doc_id", "n", "sketch"), roots), "parity-open")
-        if not opened.limit(1).count():
-            return roots
-        quota, reach, every_block = 4**number, TILE if number == 0 else BLOCK_DOCS * 2, number > 1
-        tried = saved(across_roots(opened, quota, reach, every_block), "parity-tried")
-        pairs = tried.where("a IS NOT NULL").distinct()
-        for known in refused:
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
-        answers = saved(verified(pairs, sets), "parity-answers")
-        links = answers.where("linked").select("a", "b")
-        found = links.limit(1).count()
-        if found:
-            roots = _joined_roots(roots, links)
-        more = tried.where("a IS NULL").limit(1).count() or (not every_block and opened.where(F.col("size") > BLOCK_DOCS).limit(1).count())
-        if not more:
-            return roots
-        refused.append(answers.where("NOT linked").select("a", "b"))
-        number += 1
+def verified(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all members (team, doc_id) of a team whose sets (doc_id, n, payload) are linked."""
+    return _dealt(members, sets).groupBy("slot").applyInPandas(_links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -426,29 +434,19 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     buckets = max(BUCKETS, size // BUCKET_DOCS)
     sent = rows.mapInPandas(_send(buckets, common_keys(rows, size)), SENT)
     found = saved(sent.groupBy("bucket").applyInPandas(_meet(buckets), FOUND), "parity-found")
-    members = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("same_as"))
-    shared = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("doc_id"), F.col("c").alias("lead"))
+    members = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("same_as"), F.col("sketch").alias("payload"))
+    shared = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("doc_id"), F.col("c").alias("lead"), F.col("d").alias("size"))
     common = found.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("doc_id"))
-    leads = common.groupBy("key").agg(F.min("doc_id").alias("lead"))
+    leads = common.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("size"))
     shared = shared.union(common.join(leads, "key").distinct())
 
-    # the document that leads most of a document's keys
-    led = shared.where("doc_id <> lead").groupBy("doc_id", "lead").agg(F.count(F.lit(1)).alias("keys"))
-    best = led.groupBy("doc_id").agg(F.max(F.struct("keys", (-F.col("lead")).alias("minus"))).alias("best"))
-    first = saved(best.select((-F.col("best.minus")).alias("a"), F.col("doc_id").alias("b")), "parity-first")
-    needed = saved(shared.select("doc_id").distinct(), "parity-needed")
-    texts = rows.join(needed.hint("merge"), "doc_id", "left_semi").mapInPandas(_sets, "doc_id long, n long, sketch binary, elements binary")
-    sets = saved(texts, "parity-sets")
-    checked = saved(verified(near_pairs(first, sets), sets), "parity-checked")
-
-    # a lead is smaller than those it leads: a forest whose roots are the smallest of their trees
-    trees = checked.where("linked").select(F.col("b").alias("node"), F.col("a").alias("parent"))
-    twins = members.where("same_as IS NOT NULL").select(F.col("doc_id").alias("node"), F.col("same_as").alias("parent"))
-    roots = saved(followed(trees), "parity-roots")
-    roots = connected(shared, sets, roots, checked.where("NOT linked").select("a", "b"))
-
-    links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    links = links.union(twins.select(F.col("node").alias("a"), F.col("parent").alias("b")))
+    marks = members.where("payload IS NOT NULL").select("doc_id", "n", "payload")
+    near = saved(candidates(teams(shared), marks), "parity-near")
+    sets = saved(sets_of(rows, near.select("doc_id")), "parity-sets")
+    links = saved(verified(near, sets), "parity-links")
+
+    twins = members.where("same_as IS NOT NULL").select("doc_id", "same_as")
+    links = links.union(twins)
     joined = components(links)
     out = members.join(joined, members["doc_id"] == joined["node"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -182,6 +182,62 @@ def test_a_group_of_near_duplicates_costs_its_size(spark, monkeypatch, maker):
     assert counts[300] <= 3 * counts[150] and counts[300] <= 20 * 300
 
 
+def changed(rng, text, changes):
+    text = list(text)
+    for _ in range(changes):
+        text[rng.randrange(len(text))] = f"x{rng.random()}"
+    return " ".join(text)
+
+
+def test_long_documents_that_are_close_but_not_linked_cost_their_number(spark, monkeypatch):
+    """No table that is written grows like the pairs of documents that share keys and are no near duplicates."""
+    ready(spark)
+    counts = {}
+    for size in (80, 160):
+        rng = random.Random(5)
+        base = [f"w{place}" for place in range(1500)]
+        texts = {doc_id: changed(rng, base, 40) for doc_id in range(size)}
+        texts[size] = changed(rng, texts[3].split(), 2)
+        made = counts[size] = Counter()
+
+        def counted(df, purpose, made=made):
+            table = saved(df, purpose)
+            made[purpose] += table.count()
+            return table
+
+        monkeypatch.setattr(parity_join, "saved", counted)
+        found = parity_join.near_duplicates(spark.createDataFrame([*texts.items()], "doc_id bigint, text string")).collect()
+        assert {row["doc_id"]: row["component_id"] for row in found} == near(texts) == {**{doc_id: doc_id for doc_id in texts}, size: 3}
+    assert not {purpose: rows for purpose, rows in counts[160].items() if rows > 3 * counts[80][purpose] + 10}, counts
+
+
+@pytest.mark.parametrize("row_pairs", [0, 200])
+def test_teams_in_blocks_and_by_key(spark, monkeypatch, row_pairs):
+    """Sets on both sides of a width of sketches, groups linked in chains, an id with two texts, blocks of a few documents."""
+    ready(spark)
+    monkeypatch.setattr(parity_join, "BLOCK_ELEMENTS", 4000)
+    monkeypatch.setattr(parity_join, "ROW_PAIRS", row_pairs)
+    rng, texts = random.Random(8), {}
+    base = [f"w{place}" for place in range(290)]
+    for doc_id in range(60):
+        base = changed(rng, base, doc_id % 2).split()
+        texts[doc_id] = changed(rng, base[: rng.randrange(240, 290)], doc_id % 5)
+    texts |= {60 + doc_id: f"a b c d e f {doc_id}" for doc_id in range(20)} | {80: texts[5], 81: "", 82: None}
+    rows = [*texts.items(), (81, texts[7])]
+    found = parity_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    groups = near(texts | {81: texts[7]})
+    assert len(set(groups.values())) > 25 and max(Counter(groups.values()).values()) > 5
+    assert Counter((row["doc_id"], row["component_id"]) for row in found) == Counter((doc_id, groups[doc_id]) for doc_id, _ in rows)
+
+
+def test_sketches_of_different_widths():
+    rng = random.Random(4)
+    one = np.unique(np.array([rng.getrandbits(64) for _ in range(250)], np.uint64))
+    other = np.unique(np.concatenate((one[20:], np.array([rng.getrandbits(64) for _ in range(60)], np.uint64))))
+    assert len(parity_join.sketch(other)) == 2 * len(parity_join.sketch(one))
+    assert 60 < parity_join.sketch_distance(parity_join.sketch(one), parity_join.sketch(other)) <= 80
+
+
 ODD_ARGUMENTS = {
     '{"x":1e999}': '"{\\"x\\":1e999}"', "[" * 3000 + "]" * 3000: None, '{"x":"\\ud800"}': None, "NaN": '"NaN"', None: "null", "": '""',
     '{"b":1.0,"a":[2,{"d":null,"c":"é"}]}': '{"a":[2,{"c":"é","d":null}],"b":1}', "1" * 5000: None, '{"x":' * 990 + "1" + "}" * 990: None,
