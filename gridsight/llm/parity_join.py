@@ -279,7 +279,8 @@ def teams(shared: DataFrame) -> DataFrame:
     led = shared.groupBy("lead", "doc_id").agg(F.count(F.lit(1)).alias("keys"), F.sum("size").alias("pairs"))
     led = saved(led, "parity-led")
     leads = led.groupBy("lead").agg(F.count(F.lit(1)).cast("double").alias("docs"), F.sum("keys").alias("keys"), F.sum("pairs").alias("pairs"))
-    wide = leads.where(F.col("docs") * F.col("docs") + ROW_PAIRS * F.col("docs") > F.col("pairs") + ROW_PAIRS * F.col("keys")).select("lead")
+    wide = leads.where(F.col("docs") * F.col("docs") + ROW_PAIRS * F.col("docs") > F.col("pairs") + ROW_PAIRS * F.col("keys"))
+    wide = saved(wide.select("lead"), "parity-wide")
     whole = led.join(wide, "lead", "left_anti").select(F.xxhash64("lead").alias("team"), "doc_id")
     apart = shared.join(wide, "lead", "left_semi").select(F.xxhash64("lead", "key").alias("team"), "doc_id")
     return saved(whole.union(apart.distinct()), "parity-teams")
@@ -437,7 +438,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     members = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("same_as"), F.col("sketch").alias("payload"))
     shared = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("doc_id"), F.col("c").alias("lead"), F.col("d").alias("size"))
     common = found.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("doc_id"))
-    leads = common.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("size"))
+    leads = saved(common.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("size")), "parity-common")
     shared = shared.union(common.join(leads, "key").distinct())
 
     marks = members.where("payload IS NOT NULL").select("doc_id", "n", "payload")
